@@ -15,20 +15,18 @@ ColumnLike = Column | str
 
 # What str.strip() removes once compatibility spaces have been folded to U+0020.
 _BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029"
-# Compatibility characters that fold to more than one character and do occur in station files.
-_WIDE_FOLDS = ("℃", "℉", "㎜", "㎝", "㎞", "㎡", "⑩")
+# Blocks whose characters turn up in data cells: Latin-1 and general punctuation (spaces),
+# super- and subscripts, enclosed numbers, CJK punctuation, half- and full-width forms.
+_BLOCKS = ((0xA0, 0x100), (0x2000, 0x20A0), (0x2460, 0x2500), (0x3000, 0x3040), (0xFF00, 0xFFF0))
 
 
 def _one_to_one_folds() -> tuple[str, str]:
-    """All BMP characters whose NFKC form is a single different character."""
+    """Characters of those blocks whose NFKC form is a single different character."""
     source, target = [], []
-    for point in range(0x80, 0x10000):
-        if 0xD800 <= point <= 0xDFFF:
-            continue
-        char = chr(point)
-        folded = unicodedata.normalize("NFKC", char)
-        if folded != char and len(folded) == 1:
-            source.append(char)
+    for point in (p for block in _BLOCKS for p in range(*block)):
+        folded = unicodedata.normalize("NFKC", chr(point))
+        if folded != chr(point) and len(folded) == 1:
+            source.append(chr(point))
             target.append(folded)
     return "".join(source), "".join(target)
 
@@ -48,17 +46,15 @@ def col(c: ColumnLike) -> Column:
 def cell_text(cell: ColumnLike, full: bool = False) -> Column:
     """Comparable form of a cell; never null.
 
-    The default folds every one-to-one compatibility character with the built-in
-    ``translate``. ``full=True`` runs complete NFKC (which also composes half-width kana
-    with their voice marks) in a vectorised UDF; it is meant for header texts.
+    The default folds characters one to one with the built-in ``translate`` and is meant for
+    data cells. ``full=True`` runs complete NFKC (units such as ℃, half-width kana with voice
+    marks) in a vectorised UDF and is meant for the few header cells of a file.
     """
     text = F.coalesce(col(cell).cast("string"), F.lit(""))
     if full:
         text = _nfkc(text)
     else:
-        for char in _WIDE_FOLDS:
-            text = F.replace(text, F.lit(char), F.lit(unicodedata.normalize("NFKC", char)))
-        text = F.translate(text, _FOLD_FROM, _FOLD_TO)
+        text = F.translate(F.replace(text, F.lit("⑩"), F.lit("10")), _FOLD_FROM, _FOLD_TO)
     return F.btrim(F.translate(text, "\n\r", ""), F.lit(_BLANKS))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fogbank.functions import dates
 from fogbank.functions.text import cell_text
-from fogbank.operators.segments import ROWS_PER_SEGMENT, join_on, ordered_rank, row_segment
+from fogbank.operators.segments import ROWS_PER_SEGMENT, guarded, join_on, ordered_rank, row_segment
 
 
 def resolve_datetimes(df: DataFrame, keys: Sequence[str], row: str, cell: str,
@@ -77,7 +77,7 @@ def _carry_years(df: DataFrame, keys: Sequence[str], row: str, segment: Column,
         (F.month(shifted) * 100 + F.dayofmonth(shifted)).alias("md"),
         ((p["mo"] == 12) & (p["d"] == 31) & (p["h"] == 24)).alias("crossed")))
 
-    local = df.withColumn("_seg", segment).withColumn("_link", link)
+    local = df.withColumn("_seg", guarded(keys, segment)).withColumn("_link", link)
     local = local.withColumn("_prev", F.last("_link", ignorenulls=True).over(before))
     own_step = F.when(own.isNull() & F.col("_prev").isNotNull(),
                       _year_turn(p["mo"], p["d"], F.col("_prev"))).otherwise(0)

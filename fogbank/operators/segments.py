@@ -61,7 +61,7 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], segme
     ``at_most`` only the first rows are kept, and segments that start later are dropped
     before anything is sorted.
     """
-    cut = df.withColumn("_seg", segment)
+    cut = df.withColumn("_seg", guarded(keys, segment))
     by_order = Window.partitionBy(*_keys(keys)).orderBy("_seg")
     sizes = cut.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(by_order) - F.col("_n"))
@@ -77,14 +77,16 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], segme
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; no join hint, so the size decides the strategy."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k)
-                             for k in right.columns])
-    condition = None
+    """Plain equi-join without a hint. When ``left`` is already partitioned by the keys for a
+    window, a shuffled join reuses that partitioning; a small ``right`` is broadcast by size."""
+    return left.join(right, list(keys), how)
+
+
+def guarded(keys: Sequence[str], segment: Column) -> Column:
+    """``segment``, or an error for a null key: an equi-join would drop the row silently."""
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+        segment = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key column {k}"))).otherwise(segment)
+    return segment
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -96,7 +98,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     its last (first) non-null values; those rows are filled along the key and handed to the
     next segment.
     """
-    cut = df.withColumn("_seg", segment).withColumns({f"_v_{n}": e for n, e in columns.items()})
+    cut = df.withColumn("_seg", guarded(keys, segment)).withColumns({f"_v_{n}": e for n, e in columns.items()})
     position = F.struct(*order)
     pick = F.min_by if backward else F.max_by
     summary = cut.groupBy(*keys, "_seg").agg(*[
@@ -124,7 +126,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
                 segment: Column, name: str) -> DataFrame:
     """Sum of ``value`` over the key's rows up to and including this one."""
-    cut = df.withColumn("_seg", segment).withColumn("_v", value)
+    cut = df.withColumn("_seg", guarded(keys, segment)).withColumn("_v", value)
     by_order = Window.partitionBy(*_keys(keys)).orderBy("_seg")
     sums = (cut.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_s"))
             .withColumn("_before", F.coalesce(F.sum("_s").over(
