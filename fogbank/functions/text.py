@@ -39,6 +39,20 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _folded_rows(rows: pd.Series) -> pd.Series:
+    def fold(text):
+        if text is None:
+            return ""
+        return unicodedata.normalize("NFKC", text).replace("\n", "").replace("\r", "").strip()
+    return rows.map(lambda table: [[fold(t) for t in row] for row in table])
+
+
+def folded_texts(rows: ColumnLike) -> Column:
+    """``cell_text(full=True)`` of rows of cells, for the heads of files."""
+    return _folded_rows(col(rows))
+
+
 def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

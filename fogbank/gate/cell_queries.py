@@ -261,15 +261,14 @@ SHEETS = """sh AS (SELECT DISTINCT sheet AS file, CAST(substr(sheet, 2) AS INT)
 
 @query("g1_header_rows", "ev", f"+ {SHEETS} SELECT file, CAST(t AS INT) AS header_row FROM sh")
 def _(spark, d):
-    rows = sheet_rows(spark, d)
-    return layout.header_rows(layout.head_texts(rows)).select("file", F.col("header_row").cast("int").alias("header_row"))
+    return layout.with_shapes(layout.head_table(sheet_rows(spark, d))).select("file", "header_row")
 
 
 @query("g2_data_starts", "ev", f"""+ {SHEETS} SELECT file, CAST(t AS INT) AS header_row, CAST(0 AS INT) AS dt_col,
   CAST(t + 3 AS INT) AS data_start, CAST(42 AS INT) AS width FROM sh""")
 def _(spark, d):
-    rows = sheet_rows(spark, d)
-    return layout.file_shapes(rows, layout.head_texts(rows)).select("file", "header_row", "dt_col", "data_start", "width")
+    shapes = layout.with_shapes(layout.head_table(sheet_rows(spark, d)))
+    return shapes.select("file", "header_row", "dt_col", "data_start", "width")
 
 
 @query("g3_header_texts", "ev", f"""+ {SHEETS} SELECT file, CAST(c AS INT) AS c, CASE WHEN c = 0 THEN CASE WHEN t = 2 THEN '観測データ ' || file
@@ -277,20 +276,16 @@ def _(spark, d):
    ELSE list_extract(['気温(°C)', '品質情報|品質', '降水量(mm)', '風速(m/s)', '風向', '露点温度(°C)', '相対湿度(%)'], CAST(c AS INT)) END AS texts
    FROM sh, range(0, 8) r(c)""")
 def _(spark, d):
-    rows = sheet_rows(spark, d)
-    texts = layout.head_texts(rows)
-    headers = layout.header_texts(texts, layout.file_shapes(rows, texts))
+    headers = layout.with_headers(layout.with_shapes(layout.head_table(sheet_rows(spark, d))))
     # The eight columns left of the locations.
-    return headers.filter("c < 8").select("file", "c", F.array_join("texts", "|").alias("texts"))
+    return (headers.select("file", F.inline("columns")).filter("c < 8")
+            .select("file", "c", F.array_join("texts", "|").alias("texts")))
 
 
 @query("g4_column_roles", "ev", f"""+ {SHEETS} SELECT file, CAST(1 AS INT) AS c_temp, CAST(3 AS INT) AS c_rain, CAST(4 AS INT) AS c_wind,
   CAST(6 AS INT) AS c_dew, CAST(7 AS INT) AS c_rh, CAST(NULL AS INT) AS c_pressure, CAST(5 AS INT) AS c_wind_deg FROM sh""")
 def _(spark, d):
-    rows = sheet_rows(spark, d)
-    texts = layout.head_texts(rows)
-    shapes = layout.file_shapes(rows, texts)
-    roles = layout.assign_measures(layout.header_texts(texts, shapes), shapes)
+    roles = layout.described_files(sheet_rows(spark, d))
     return roles.select("file", "c_temp", "c_rain", "c_wind", "c_dew", "c_rh", "c_pressure", "c_wind_deg")
 
 
@@ -318,8 +313,9 @@ CHECKS = """v AS (SELECT sheet AS file, ordinal, k >= 90 AS bad, row_number() OV
 @query("a4_column_check", "lb", f"+ {CHECKS} SELECT file, c, n_values, n_bad, ok FROM lt")
 def _(spark, d):
     rows = sheet_rows(spark, d)
-    starts = layout.file_shapes(rows, layout.head_texts(rows)).select(
-        "file", F.col("data_start").alias("start"), F.explode(F.sequence(F.lit(8), F.lit(39))).alias("c"))
+    starts = layout.with_shapes(layout.head_table(rows)).select(
+        "file", F.col("data_start").alias("start"), F.lit("auto").alias("mode"),
+        F.explode(F.sequence(F.lit(8), F.lit(39))).alias("c"))
     return layout.check_columns(rows, starts).select("file", "c", "n_values", "n_bad", "ok")
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
-from fogbank.functions.text import cell_text, is_phenomenon_value, sheet_letter
+from fogbank.functions.text import cell_text, folded_texts, is_phenomenon_value, sheet_letter
 from fogbank.operators.segments import join_on, ordered_rank, row_segment
+from fogbank.session import materialise
 
 HEAD_ROWS = K.HEADER_SEARCH_ROWS + K.SUBHEADER_ROWS
 
@@ -34,15 +35,15 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def any_text(texts: str, words: Sequence[str]) -> Column:
+def any_text(texts: Column | str, words: Sequence[str]) -> Column:
     return F.exists(texts, lambda t: contains_any(t, words))
 
 
-def is_metadata(texts: str) -> Column:
+def is_metadata(texts: Column | str) -> Column:
     return any_text(texts, K.METADATA_KEYWORDS)
 
 
-def is_measure(texts: str) -> Column:
+def is_measure(texts: Column | str) -> Column:
     """A known measure, direction or datetime word, or a unit in parentheses."""
     words = [w for ws in K.MEASURE_KEYWORDS.values() for w in ws]
     words += [*K.WIND_DIRECTION_KEYWORDS, *K.DATETIME_KEYWORDS]
@@ -50,156 +51,160 @@ def is_measure(texts: str) -> Column:
     return any_text(texts, words) | F.exists(texts, lambda t: t.rlike(unit))
 
 
-def head_texts(rows: DataFrame) -> DataFrame:
-    """Non-blank texts (file, r, c, t) of the first rows, completely folded."""
-    head = rows.filter(F.col("r") < HEAD_ROWS).select("file", "r", F.posexplode("fields").alias("c", "text"))
-    return (head.select("file", "r", "c", cell_text("text", full=True).alias("t")).filter(F.col("t") != ""))
+def head_table(rows: DataFrame) -> DataFrame:
+    """One row per file: width, n_rows and ``head``, its first rows with folded texts.
 
+    All later steps are expressions on this row, so the file is read once for its layout.
+    """
+    first = F.when(F.col("r") < HEAD_ROWS, F.struct(F.col("r").cast("int").alias("r"), "fields"))
+    per_file = rows.groupBy("file").agg(
+        F.max(F.size("fields")).alias("width"), (F.max("r") + 1).alias("n_rows"),
+        F.sort_array(F.collect_list(first)).alias("_head"))
+    return per_file.select("file", "width", "n_rows", F.arrays_zip(
+        F.col("_head.r").alias("r"), folded_texts("_head.fields").alias("t")).alias("head"))
 
-def header_rows(texts: DataFrame) -> DataFrame:
-    """Header row per file: 年月日時 in the first column, else most measure words (two or more).
 
-    A file for which neither is found is absent; its header row is 0.
-    """
-    words = [w for m in K.REQUIRED_MEASURES for w in K.MEASURE_KEYWORDS[m]]
-    found = [F.max(F.when(F.contains("t", F.lit(w)), 1).otherwise(0)) for w in words]
-    per_row = (texts.filter(F.col("r") < K.HEADER_SEARCH_ROWS).groupBy("file", "r")
-               .agg(F.max((F.col("c") == 0) & (F.col("t") == K.HEADER_KEYWORD)).alias("exact"),
-                    reduce(lambda a, b: a + b, found).alias("hits")))
-    many = F.when(F.col("hits") >= 2, F.struct(F.col("hits"), -F.col("r")))
-    return per_row.groupBy("file").agg(F.coalesce(
-        F.min(F.when(F.col("exact"), F.col("r"))), F.max_by("r", many)).alias("header_row")
-    ).filter(F.col("header_row").isNotNull())
+def _first_index(texts: Column, words: Sequence[str]) -> Column:
+    return F.array_min(F.transform(texts, lambda t, i: F.when(contains_any(t, words), i)))
 
 
-def file_shapes(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Per file: header row, datetime column, first data row, width.
+def with_shapes(heads: DataFrame) -> DataFrame:
+    """Header row, datetime column and first data row.
 
-    ``data_start_fixed`` is the first data row when the datetime column is the fixed one.
+    The header row has 年月日時 in its first column, else the most measure words (two or
+    more), else it is row 0. Up to three rows below it without a datetime belong to the
+    header. ``data_start_fixed`` is the first data row for the fixed datetime column.
     """
-    sizes = rows.groupBy("file").agg(F.max(F.size("fields")).alias("width"),
-                                     (F.max("r") + 1).alias("n_rows"))
-    shapes = (sizes.join(header_rows(texts), "file", "left")
-              .withColumn("header_row", F.coalesce("header_row", F.lit(0)).cast("int")))
-    with_header = texts.join(shapes.select("file", "header_row"), "file")
-    in_header = F.col("r") <= F.col("header_row")
-    dt_word = contains_any(F.col("t"), K.DATETIME_KEYWORDS)
-    dt = with_header.groupBy("file").agg(F.min(F.when(in_header & dt_word, F.col("c"))).alias("dt_col"))
-    shapes = (shapes.join(dt, "file", "left")
-              .withColumn("dt_col", F.coalesce("dt_col", F.lit(0)).cast("int")))
-    # First row below the header whose datetime cell is filled.
-    below = (texts.join(shapes.select("file", "header_row", "dt_col"), "file")
-             .filter(F.col("r") > F.col("header_row")).groupBy("file")
-             .agg(F.min(F.when(F.col("c") == F.col("dt_col"), F.col("r"))).alias("_auto"),
-                  F.min(F.when(F.col("c") == K.FIXED_DATETIME_COLUMN, F.col("r"))).alias("_fixed")))
-    shapes = shapes.join(below, "file", "left")
-
-    def start(filled: str) -> Column:
+    words = [w for m in K.REQUIRED_MEASURES for w in K.MEASURE_KEYWORDS[m]]
+
+    def hits(texts: Column) -> Column:
+        return reduce(lambda a, b: a + b, [
+            F.when(any_text(texts, [w]), 1).otherwise(0) for w in words])
+
+    searched = F.filter("head", lambda x: x["r"] < K.HEADER_SEARCH_ROWS)
+    exact = F.array_min(F.transform(searched, lambda x: F.when(
+        F.get(x["t"], F.lit(0)) == K.HEADER_KEYWORD, x["r"])))
+    best = F.array_max(F.transform(searched, lambda x: F.struct(hits(x["t"]).alias("n"), (-x["r"]).alias("r"))))
+    out = heads.withColumn("_best", best).withColumn("header_row", F.coalesce(
+        exact, F.when(F.col("_best.n") >= 2, -F.col("_best.r")), F.lit(0)).cast("int"))
+    in_header = F.filter("head", lambda x: x["r"] <= F.col("header_row"))
+    dt = F.array_min(F.transform(in_header, lambda x: _first_index(x["t"], K.DATETIME_KEYWORDS)))
+    out = out.withColumn("dt_col", F.coalesce(dt, F.lit(0)).cast("int"))
+
+    def start(column: Column) -> Column:
+        filled = F.array_min(F.transform("head", lambda x: F.when(
+            (x["r"] > F.col("header_row")) & (F.get(x["t"], column) != ""), x["r"])))
         most = F.least(F.col("header_row") + 1 + K.SUBHEADER_ROWS, F.col("n_rows"))
-        return F.least(F.coalesce(F.col(filled), most), most).cast("int")
+        return F.least(F.coalesce(filled, most), most).cast("int")
 
-    return (shapes.withColumn("data_start", start("_auto")).withColumn("data_start_fixed", start("_fixed"))
-            .drop("_auto", "_fixed", "n_rows"))
+    return (out.withColumn("data_start", start(F.col("dt_col")))
+            .withColumn("data_start_fixed", start(F.lit(K.FIXED_DATETIME_COLUMN))).drop("_best"))
 
 
-def header_texts(texts: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Header texts of every column from the top down, sub-header rows included."""
-    used = texts.join(shapes.select("file", "data_start"), "file").filter(F.col("r") < F.col("data_start"))
-    ordered = F.sort_array(F.collect_list(F.struct("r", "t")))
-    return used.groupBy("file", "c").agg(F.transform(ordered, lambda x: x["t"]).alias("texts"))
+def with_headers(shapes: DataFrame) -> DataFrame:
+    """``columns``: per column with any header text its number and the texts from the top down."""
+    used = F.filter("head", lambda x: x["r"] < F.col("data_start"))
+    texts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0))), lambda c: F.struct(
+        c.alias("c"), F.filter(F.transform(F.col("_used"), lambda x: F.get(x["t"], c)),
+                               lambda t: t != "").alias("texts")))
+    return (shapes.withColumn("_used", used).withColumn("columns", F.filter(
+        texts, lambda x: F.size(x["texts"]) > 0)).drop("_used"))
 
 
 def _unclaimed(name: str, taken: list[str]):
     def test(x: Column) -> Column:
-        ok = x[name] & (x["c"] != F.col("dt_col"))
+        ok = x[name] & ~x["meta"] & (x["c"] != F.col("dt_col"))
         for other in taken:
             ok &= F.coalesce(x["c"] != F.col(other), F.lit(True))
         return ok
     return test
 
 
-def assign_measures(headers: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Columns of the measures and the wind direction, one row per file.
+def assign_measures(headers: DataFrame) -> DataFrame:
+    """Columns of the measures and the wind direction, and the kind of every header.
 
     A column belongs to the first measure it matches that has no column yet, left to right.
     That equals letting the measures choose in order, each its leftmost free column.
     """
-    marks = headers.withColumn("meta", is_metadata("texts"))
-    described = F.struct(
-        F.col("c"), *[any_text("texts", words).alias(m) for m, words in K.MEASURE_KEYWORDS.items()],
-        any_text("texts", K.WIND_DIRECTION_KEYWORDS).alias("direction"))
-    # A file has as many header columns as its sheet is wide.
-    per_file = marks.filter(~F.col("meta")).groupBy("file").agg(F.collect_list(described).alias("_cols"))
-    out = shapes.join(per_file, "file", "left")
+    def described(x: Column) -> Column:
+        return F.struct(
+            x["c"].alias("c"), x["texts"].alias("texts"), is_metadata(x["texts"]).alias("meta"),
+            is_measure(x["texts"]).alias("measure"),
+            *[any_text(x["texts"], words).alias(m) for m, words in K.MEASURE_KEYWORDS.items()],
+            any_text(x["texts"], K.WIND_DIRECTION_KEYWORDS).alias("direction"))
+
+    out = headers.withColumn("columns", F.transform("columns", described))
     taken: list[str] = []
     for name in [*K.MEASURE_KEYWORDS, "direction"]:
         target = "c_wind_deg" if name == "direction" else f"c_{name}"
-        free = F.filter("_cols", _unclaimed(name, list(taken)))
+        free = F.filter("columns", _unclaimed(name, list(taken)))
         out = out.withColumn(target, F.array_min(F.transform(free, lambda x: x["c"])))
         taken.append(target)
     last = F.greatest(*[F.col(c) for c in taken])
-    return out.drop("_cols").withColumn("last_measure", F.coalesce(last, F.col("dt_col")))
+    return out.withColumn("last_measure", F.coalesce(last, F.col("dt_col")))
+
+
+def described_files(rows: DataFrame) -> DataFrame:
+    return assign_measures(with_headers(with_shapes(head_table(rows))))
 
 
 def check_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Do the first 3,000 non-blank values of each column look like codes?
 
-    ``columns`` holds (file, c, start). Adds n_values, n_bad, ok and up to five bad samples in
+    ``columns`` holds (file, c, mode, start). Adds n_values, n_bad, ok and up to five bad samples in
     the order they were met. A column without values passes.
     """
+    column = ["file", "c", "mode"]
     data = (rows.select("file", "r", F.posexplode("fields").alias("c", "text"))
-            .filter(F.col("text").isNotNull()).join(columns.select("file", "c", "start"), ["file", "c"])
+            .filter(F.col("text").isNotNull()).join(columns.select(*column, "start"), ["file", "c"])
             .filter(F.col("r") >= F.col("start")).withColumn("t", cell_text("text")).filter(F.col("t") != ""))
-    first = ordered_rank(data.select("file", "c", "r", "t"), ["file", "c"], ["r"], row_segment("r"),
+    first = ordered_rank(data.select(*column, "r", "t"), column, ["r"], row_segment("r"),
                          at_most=K.CODE_CHECK_VALUES)
     bad = ~is_phenomenon_value("t")
-    per_text = first.groupBy("file", "c", "t").agg(
+    per_text = first.groupBy(*column, "t").agg(
         F.count(F.lit(1)).alias("n"), F.min("r").alias("r"), F.first(bad).alias("bad"))
+    # At most 3,000 texts per column are left here.
     listed = F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("bad"), F.struct("r", "t")))),
                                  lambda x: x["t"]), 1, 5)
-    counts = per_text.groupBy("file", "c").agg(
+    counts = per_text.groupBy(*column).agg(
         F.sum("n").alias("n_values"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"),
         listed.alias("samples"))
-    checked = columns.join(counts, ["file", "c"], "left").fillna(0, subset=["n_values", "n_bad"])
+    checked = columns.join(counts, column, "left").fillna(0, subset=["n_values", "n_bad"])
     return (checked.withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
             .withColumn("ok", F.col("n_bad") <= F.col("n_values") * K.CODE_CHECK_TOLERANCE))
 
 
 def detect(rows: DataFrame, layout: str = "auto") -> Layout:
-    """Layout of every file. ``auto`` falls back to the fixed columns where it finds too little."""
+    """Layout of every file. ``auto`` falls back to the fixed columns where it finds too little.
+
+    The verdicts on columns and the file layouts are written once: they are a few rows per
+    file, and every later step reads them.
+    """
     if layout not in ("auto", "fixed"):
         raise ValueError(f"layout must be auto or fixed, not {layout!r}")
-    texts = head_texts(rows)
-    shapes = file_shapes(rows, texts)
-    headers = header_texts(texts, shapes)
-    measured = assign_measures(headers, shapes)
-
-    beside = (headers.join(measured.select("file", "last_measure", "data_start"), "file")
-              .filter(F.col("c") > F.col("last_measure"))
-              .withColumn("header", F.col("texts")[0])
-              .withColumn("known", is_metadata("texts") | is_measure("texts")))
+    described = described_files(rows)
+    # Small: as many rows as there are columns to look at, from one row per file.
+    beside = (described.select("file", "last_measure", "data_start", F.explode("columns").alias("x"))
+              .filter(F.col("x.c") > F.col("last_measure"))
+              .select("file", "data_start", F.col("x.c").alias("c"), F.col("x.texts")[0].alias("header"),
+                      (F.col("x.meta") | F.col("x.measure")).alias("known")))
     numbers_only = F.col("header").rlike(r"^[\d.\-/]+$")
     auto = (beside.filter(~F.col("known") & ~numbers_only)
             .select("file", "c", F.col("header").alias("name"), F.col("data_start").alias("start"),
                     F.lit("auto").alias("mode")))
     first, last = K.FIXED_LOCATION_COLUMNS
-    slots = shapes.filter(F.col("width") > first).select(
-        "file", F.col("data_start_fixed").alias("start"),
-        F.explode(F.sequence(F.lit(first), F.least(F.lit(last), F.col("width") - 1))).alias("c"))
-    names = texts.filter(F.col("r") == K.FIXED_NAME_ROW).select("file", "c", F.col("t").alias("_t"))
-    fixed = (slots.join(names, ["file", "c"], "left")
-             .select("file", "c", F.coalesce("_t", F.concat(F.lit("地点_"), sheet_letter("c"))).alias("name"),
+    name_row = F.filter("head", lambda x: x["r"] == K.FIXED_NAME_ROW)[0]["t"]
+    fixed = (described.filter(F.col("width") > first)
+             .select("file", F.col("data_start_fixed").alias("start"), name_row.alias("_names"),
+                     F.explode(F.sequence(F.lit(first), F.least(F.lit(last), F.col("width") - 1))).alias("c"))
+             .select("file", "c", F.coalesce(F.nullif(F.get("_names", F.col("c")), F.lit("")),
+                                             F.concat(F.lit("地点_"), sheet_letter("c"))).alias("name"),
                      "start", F.lit("fixed").alias("mode")))
-
-    if layout == "auto":
-        checked = check_columns(rows, auto)
-        located = checked.filter("ok").select("file").distinct()
-        verdicts = checked.unionByName(check_columns(rows, fixed.join(located, "file", "left_anti")))
-    else:
-        verdicts = check_columns(rows, fixed)
+    candidates = auto.unionByName(fixed) if layout == "auto" else fixed
+    verdicts = materialise(check_columns(rows, candidates), "column-checks")
     found = verdicts.filter("ok").groupBy("file").agg(F.max(F.col("mode") == "auto").alias("_auto"))
     any_measure = F.coalesce(*[F.col(f"c_{m}") for m in K.MEASURES]).isNotNull()
-    files = measured.join(found, "file", "left").withColumn(
+    files = described.join(found, "file", "left").withColumn(
         "_located", F.coalesce("_auto", F.lit(False)))
     if layout == "fixed":
         source = F.lit("fixed")
@@ -238,5 +243,5 @@ def detect(rows: DataFrame, layout: str = "auto") -> Layout:
     named_away = (beside.filter("known").join(files.filter(F.col("_mode") == "auto").select("file"), "file", "left_semi")
                   .select("file", "c", letter.alias("letter"), "header",
                           F.lit(K.REASON_NOT_LOCATION).alias("reason")))
-    return Layout(files.drop("_auto", "_located", "_mode", "data_start_fixed", "last_measure"),
-                  locations, rejected.unionByName(named_away))
+    files = files.drop("_auto", "_located", "_mode", "data_start_fixed", "last_measure", "columns", "head", "n_rows")
+    return Layout(materialise(files, "file-layouts"), locations, rejected.unionByName(named_away))
