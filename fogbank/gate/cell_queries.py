@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions import calendar, classes, dates, text
 from fogbank.gate.catalog import query
-from fogbank.gate.views import (CODE, DEGREES, events, fine_stamp, labels, observations, predictions, r6,
-                                recordings, scored, sheet_rows, stamp, table)
+from fogbank.gate.views import (DEGREES, events, labels, landed_rows, observations, r6,
+                                scored, sheet_rows, stamp, table)
 from fogbank.operators import cleaning, layout
 from fogbank.plans.load import load_rows
 from fogbank.sources import grid
@@ -324,13 +322,13 @@ def _(spark, d):
   header || CASE WHEN row_number() OVER (PARTITION BY file, header ORDER BY c) > 1 THEN '(' || letter || ')' ELSE '' END AS name
   FROM lt WHERE ok""")
 def _(spark, d):
-    return layout.detect(sheet_rows(spark, d)).locations
+    return layout.detect(landed_rows(spark, d)).locations
 
 
 @query("g6_excluded_columns", "lb", f"""+ {CHECKS} SELECT file, letter, header FROM lt WHERE NOT ok
   UNION ALL SELECT DISTINCT file, 'AO', '水温' FROM lt UNION ALL SELECT DISTINCT file, 'AP', '取水口' FROM lt""")
 def _(spark, d):
-    return layout.detect(sheet_rows(spark, d)).excluded.select("file", "letter", "header")
+    return layout.detect(landed_rows(spark, d)).excluded.select("file", "letter", "header")
 
 
 @query("w12_duplicate_names", "", """SELECT n_nationkey AS c, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) > 1
@@ -346,7 +344,7 @@ def _(spark, d):
 @query("s3_load_observations", "ob", f"""SELECT sheet AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(temp, 6) AS temp, rain,
   round(wind, 6) AS wind, dew, rh, CAST({DEGREES} AS DOUBLE) AS wind_deg FROM ob""")
 def _(spark, d):
-    obs = load_rows(sheet_rows(spark, d)).obs
+    obs = load_rows(landed_rows(spark, d)).obs
     return obs.select("file", stamp("ts").alias("ts"), r6("temp").alias("temp"), "rain", r6("wind").alias("wind"),
                       "dew", "rh", "wind_deg")
 
@@ -356,4 +354,4 @@ def _(spark, d):
   FROM hours h JOIN lt ON lt.file = h.file AND lt.ok
   LEFT JOIN lb ON lb.sheet = h.file AND lb.ts = h.ts AND lb.ordinal = lt.ordinal""")
 def _(spark, d):
-    return load_rows(sheet_rows(spark, d)).labels.select("file", stamp("ts").alias("ts"), "location_id", "code")
+    return load_rows(landed_rows(spark, d)).labels.select("file", stamp("ts").alias("ts"), "location_id", "code")

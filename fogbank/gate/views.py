@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
-from fogbank.session import prepare
+from fogbank.session import materialise, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -234,3 +234,8 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct((F.col("titles") + 1).alias("r"), F.array(none, none, none, none, none, F.lit("風向")).alias("fields")),
             F.struct((F.col("titles") + 2).alias("r"), F.array(none, none, F.lit("品質")).alias("fields"))))).alias("_h"))
     return head.select("file", "_h.r", "_h.fields").unionByName(rows)
+
+
+def landed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The station files as a stored table, which is how a loader meets them."""
+    return materialise(sheet_rows(spark, sf_dir), "station-files")
