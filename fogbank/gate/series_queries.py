@@ -443,14 +443,15 @@ def _(spark, d):
     return metrics.best_threshold(scored(spark, d), ["location_id"]).withColumn("threshold_f1", r6("threshold_f1"))
 
 
+BLENDED = ", ".join(f"w * forest[{i}] + (1 - w) * boosted[{i}]" for i in range(1, 12))
 BW = """+ w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS w),
-  bp AS (SELECT event_id, location_id, code, w, list_transform(range(1, 12), i -> w * forest[i] + (1 - w) * boosted[i]) AS p FROM sc, w),
+  bp AS (SELECT event_id, location_id, code, w, [BLENDED] AS p FROM sc, w),
   bq AS (SELECT location_id, code, w, CAST(list_position(p, list_max(p)) - 1 AS INT) AS pred FROM bp),
   g AS (SELECT location_id, w, code, pred, count(*) AS n FROM bq GROUP BY ALL),
   cl AS (SELECT location_id, w, code AS c, sum(n) AS support, 0 AS predicted, sum(CASE WHEN code = pred THEN n ELSE 0 END) AS hits FROM g GROUP BY ALL
      UNION ALL SELECT location_id, w, pred, 0, sum(n), 0 FROM g GROUP BY ALL),
   cs AS (SELECT location_id, w, c, sum(support) AS support, 2.0::DOUBLE * sum(hits) / (sum(support) + sum(predicted)) AS f1 FROM cl GROUP BY ALL),
-  bs AS (SELECT location_id, w, coalesce(avg(f1) FILTER (c BETWEEN 1 AND 6 AND support > 0), avg(f1)) AS score FROM cs GROUP BY ALL)"""
+  bs AS (SELECT location_id, w, coalesce(avg(f1) FILTER (c BETWEEN 1 AND 6 AND support > 0), avg(f1)) AS score FROM cs GROUP BY ALL)""".replace("BLENDED", BLENDED)
 
 
 @query("a17_weight_scores", "sc", f"{BW} SELECT location_id, w, round(score, 6) AS score FROM bs")
@@ -464,7 +465,7 @@ def _(spark, d):
     return metrics.best_weight(scored(spark, d), ["location_id"], "forest", "boosted").withColumn("score", r6("score"))
 
 
-@query("m5_blend", "sc", """+ b AS (SELECT event_id, list_transform(range(1, 12), i -> 0.25::DOUBLE * forest[i] + 0.75::DOUBLE * boosted[i]) AS p FROM sc)
+@query("m5_blend", "sc", f"""+ b AS (SELECT event_id, [{BLENDED}] AS p FROM (SELECT *, 0.25::DOUBLE AS w FROM sc))
   SELECT event_id, CAST(list_position(p, list_max(p)) - 1 AS INT) AS code, round(p[2] + p[3] + p[4] + p[5] + p[6] + p[7], 6) AS fog_prob FROM b""")
 def _(spark, d):
     b = scored(spark, d).select("event_id", classes.blend("forest", "boosted", 0.25).alias("p"))
@@ -477,7 +478,7 @@ def _(spark, d):
 
 
 @query("a19_run_means", "sc", f"""{MX}, r AS (SELECT location_id, sum(hits) / sum(support) AS accuracy,
-    CASE WHEN location_id < 'P2' THEN avg(f1) FILTER (c BETWEEN 1 AND 6 AND support > 0) END AS fog_f1, avg(f1) AS m FROM f1 GROUP BY ALL)
+    CASE WHEN location_id < 'P2' THEN avg(f1) FILTER (c BETWEEN 1 AND 6 AND support > 0) END AS fog_f1, avg(f1) AS m FROM f1 GROUP BY location_id)
   SELECT count(*) AS n_models, count(fog_f1) AS n_scored, round(avg(accuracy), 6) AS mean_accuracy, round(avg(fog_f1), 6) AS mean_fog_f1,
     round(avg(m) FILTER (fog_f1 IS NOT NULL), 6) AS mean_forest_fog_f1, round(avg(m / 2) FILTER (fog_f1 IS NOT NULL), 6) AS mean_boosted_fog_f1 FROM r""")
 def _(spark, d):

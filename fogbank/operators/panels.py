@@ -37,10 +37,10 @@ def pages(labels: DataFrame, sheet: Sequence[str], locations: DataFrame, key: st
     """Page number and page count of every recorded location of a month, in column order."""
     recorded = recorded_locations(labels, [*sheet, key], ts, code)
     listed = recorded.join(locations.select(*sheet, key, "ordinal"), [*sheet, key])
-    ranked = ordered_rank(listed, [*sheet, "ym"], ["ordinal"], row_segment("ordinal"), "_i", "_n")
+    ranked = ordered_rank(listed, [*sheet, "ym"], ["ordinal"], row_segment("ordinal"), "_i", "_total")
     return (ranked.withColumn("page", (F.floor((F.col("_i") - 1) / size) + 1).cast("int"))
-            .withColumn("n_pages", F.ceil(F.col("_n") / size).cast("int"))
-            .drop("_i", "_n", "n_recorded"))
+            .withColumn("n_pages", F.ceil(F.col("_total") / size).cast("int"))
+            .drop("_i", "_total", "n_recorded"))
 
 
 def monthly_panel(obs: DataFrame, labels: DataFrame, locations: DataFrame, sheet: Sequence[str],
