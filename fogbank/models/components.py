@@ -102,14 +102,20 @@ class Boosted:
         return cls(OneVsRest(classifier=booster, weightCol="weight", parallelism=4).fit(rows), list(classes), params)
 
     def slots(self, df: DataFrame, name: str = "boosted") -> DataFrame:
-        """Each booster's probability, sigmoid(2 * margin), scaled to sum 1 over the classes."""
-        self.model.setRawPredictionCol("_raw").setPredictionCol("_best")
-        out = self.model.transform(df).withColumn("_m", vector_to_array("_raw"))
-        shares = {c: 1 / (1 + F.exp(-2 * F.get("_m", F.lit(i)))) for i, c in enumerate(self.classes)}
+        """Each booster's probability of its class, scaled to sum 1 over the classes.
+
+        The boosters are applied one by one: the combined model would pass every row through
+        a Python function.
+        """
+        out = df
+        for i, booster in enumerate(self.model.models):
+            booster.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol("")
+            out = booster.transform(out).withColumn(f"_s{i}", F.get(vector_to_array(f"_p{i}"), F.lit(1)))
+        shares = {c: F.col(f"_s{i}") for i, c in enumerate(self.classes)}
         total = sum(list(shares.values())[1:], list(shares.values())[0])
         return out.withColumn(name, F.array(*[
             shares[i] / total if i in shares else F.lit(0.0) for i in range(K.CODE_SLOTS)])
-        ).drop("_raw", "_m", "_best")
+        ).drop(*[f"{c}{i}" for i in range(len(self.classes)) for c in ("_p", "_raw", "_s")])
 
     def importances(self) -> list[float]:
         """Mean over the boosters."""

@@ -213,17 +213,19 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
     predictions = new_table_path(spark, "test-predictions")
     models: dict[str, FogModel] = {}
 
-    def fit(g) -> tuple[str, FogModel]:
+    # A folder per job: concurrent jobs must not commit into the same one.
+    def fit(numbered) -> tuple[str, FogModel]:
+        i, g = numbered
         mine = table.filter(F.col("location_id") == g.location_id)
         train = mine.filter(F.col("ts") <= F.lit(g.train_end))
         model = fit_and_select(train, F.col("ts") <= F.lit(g.fit_end) if g.fit_end else F.lit(False), features, plan,
                                tune=plan.search == "location")
         model.predict(mine.filter(F.col("ts") > F.lit(g.train_end)), ["location_id", "ts", "code"]).withColumn(
-            "pooled", F.lit(False)).write.mode("append").parquet(predictions)
+            "pooled", F.lit(False)).write.parquet(f"{predictions}/own-{i}")
         return g.location_id, model
 
     with ThreadPoolExecutor(max(1, plan.threads)) as pool:
-        models.update(pool.map(fit, own))
+        models.update(pool.map(fit, enumerate(own)))
 
     pooled, rescued = None, []
     if short:
@@ -233,8 +235,8 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
         known = cuts.filter(F.col("reason").isNotNull() & (F.col("n") >= plan.rescue_min_rows)
                             & (F.col("n_classes") >= 2)).select("location_id", "train_end")
         theirs = table.join(known, "location_id").filter(F.col("ts") > F.col("train_end"))
-        pooled.predict(theirs, ["location_id", "ts", "code"]).withColumn("pooled", F.lit(True)).write.mode(
-            "append").parquet(predictions)
+        pooled.predict(theirs, ["location_id", "ts", "code"]).withColumn("pooled", F.lit(True)).write.parquet(
+            f"{predictions}/rescued")
         models.update({g.location_id: pooled for g in rescued})
 
     eligible = cuts.drop("fit_end", "train_end")
@@ -242,7 +244,7 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
         eligible = splits.with_lost_locations(eligible, locations, ["location_id"])
     if not models:
         return Trained({}, _empty_registry(spark), eligible, None)
-    tested = spark.read.parquet(predictions)
+    tested = spark.read.parquet(f"{predictions}/*")
     return Trained(models, _registry(spark, models, {g.location_id for g in rescued}, tested, table, kind),
                    eligible, tested)
 
