@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,23 +21,25 @@ _MARK = "\x01"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}){1,2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def micros(t: ColumnLike) -> Column:
     """Microseconds since the epoch; the driver tables carry zone-less timestamps."""
     return F.unix_micros(col(t).cast("timestamp"))
 
 
-def datetime_parts(cell: ColumnLike) -> Column:
-    """Struct of year (null when the cell leaves it out), month, day, hour, minute.
-
-    Null unless the text has the station date shape. The pattern runs once per cell: it
-    rewrites the text into marked fields which are then split.
-    """
-    text = cell_text(cell)
+def _split_date(text: Column) -> Column:
     marked = F.regexp_replace(text, f"^{_DATE}{_TIME}$", _MARK.join(["", "$1", "$2", "$3", "$4", "$5"]))
-    field = F.split(marked, _MARK)
+    return F.split(marked, _MARK)
+
 
+def _parts(field: Column) -> Column:
     def part(i: int) -> Column:
-        return F.try_element_at(field, F.lit(i + 1)).try_cast("int")
+        # Digits or empty; an empty text would make the cast build an error per row.
+        return F.nullif(F.get(field, F.lit(i)), F.lit("")).cast("int")
 
     return F.when(
         F.size(field) == 6,
@@ -44,6 +48,15 @@ def datetime_parts(cell: ColumnLike) -> Column:
                  F.coalesce(part(5), F.lit(0)).alias("mi")))
 
 
+def datetime_parts(cell: ColumnLike) -> Column:
+    """Struct of year (null when the cell leaves it out), month, day, hour, minute.
+
+    Null unless the text has the station date shape. The pattern runs once per cell: it
+    rewrites the text into marked fields which are then split.
+    """
+    return let(_split_date(cell_text(cell)), _parts)
+
+
 def in_range(p: Column) -> Column:
     return (p["mo"].between(1, 12) & p["d"].between(1, 31)
             & p["h"].between(0, 24) & p["mi"].between(0, 59))
@@ -56,18 +69,23 @@ def from_parts(p: Column, year: Column) -> Column:
         F.unix_micros(midnight) + (p["h"] * 60 + p["mi"]) * F.lit(60_000_000).cast("bigint")))
 
 
-def free_datetime(cell: ColumnLike) -> Column:
-    """Datetimes that do not have the station date shape: ISO text and yyyymmdd."""
-    text = cell_text(cell)
+def _free(text: Column) -> Column:
     return (F.when(text.rlike(_ISO_DATE), text.try_cast("timestamp"))
             .when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
 
 
+def free_datetime(cell: ColumnLike) -> Column:
+    """Datetimes that do not have the station date shape: ISO text and yyyymmdd."""
+    return let(cell_text(cell), _free)
+
+
 def parse_datetime(cell: ColumnLike, fallback_year: Column | None = None) -> Column:
     """Datetime of one text cell on its own; a year-less cell needs ``fallback_year``."""
-    p = datetime_parts(cell)
-    year = p["y"] if fallback_year is None else F.coalesce(p["y"], fallback_year.cast("int"))
-    return F.when(p.isNotNull(), from_parts(p, year)).otherwise(free_datetime(cell))
+    def year(p: Column) -> Column:
+        return p["y"] if fallback_year is None else F.coalesce(p["y"], fallback_year.cast("int"))
+
+    return let(cell_text(cell), lambda text: let(let(_split_date(text), _parts), lambda p: F.when(
+        p.isNotNull(), from_parts(p, year(p))).otherwise(_free(text))))
 
 
 def parse_serial(value: ColumnLike) -> Column:

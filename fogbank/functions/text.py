@@ -76,16 +76,19 @@ def is_blank(cell: ColumnLike) -> Column:
     return cell_text(cell) == ""
 
 
+_NUMBER = r"^(?i)[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)$"
+
+
 def _plain_double(text: Column) -> Column:
-    # The cast would also read Java's "1.5d" and "1.5f".
-    return F.when(~text.rlike(r"\d[dDfF]$"), text.try_cast("double"))
+    # Only texts that are numbers reach the cast: it would also read Java's "1.5d", and a
+    # failing cast costs far more than the pattern.
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def number(cell: ColumnLike) -> Column:
     """Numeric coercion; anything else, and NaN, is null."""
     text = F.btrim(col(cell).cast("string"), F.lit(_BLANKS))
-    value = _plain_double(text)
-    return F.when(~F.isnan(value), value)
+    return _plain_double(text)
 
 
 def phenomenon_code(cell: ColumnLike) -> Column:

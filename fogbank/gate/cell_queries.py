@@ -204,11 +204,12 @@ def _(spark, d):
 
 
 # Every customer's orders form one sheet in date order; most leave the year out. A year is
-# written on the first order and wherever more than half a year has passed.
+# written on the first order, after long gaps, on leap days, and on 31 December, whose hour 24
+# already belongs to the next year.
 CARRY = """g AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r,
     lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
-  y AS (SELECT *, p IS NULL OR d - p > 150 OR (month(d) = 2 AND day(d) = 29) AS dated FROM g)"""
+  y AS (SELECT *, p IS NULL OR d - p > 150 OR (month(d) = 2 AND day(d) = 29) OR (month(d) = 12 AND day(d) = 31) AS dated FROM g)"""
 
 
 @query("w2_year_carry", "", f"""WITH {CARRY} SELECT o_custkey, CAST(r AS BIGINT) AS r,
@@ -220,6 +221,7 @@ def _(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("d", "o_orderkey")
     s = o.withColumn("r", F.row_number().over(w).cast("bigint")).withColumn("p", F.lag("d").over(w))
     dated = F.col("p").isNull() | (F.datediff("d", "p") > 150) | ((F.month("d") == 2) & (F.dayofmonth("d") == 29))
+    dated |= (F.month("d") == 12) & (F.dayofmonth("d") == 31)
     cell = F.concat(F.when(dated, F.date_format("d", "yyyy年M月d日")).otherwise(F.date_format("d", "M月d日")), F.lit("24時"))
     out = cleaning.resolve_datetimes(s.select("o_custkey", "r", cell.alias("cell")), ["o_custkey"], "r", "cell")
     return out.select("o_custkey", "r", stamp("ts").alias("ts"))

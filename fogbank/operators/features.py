@@ -86,12 +86,13 @@ def fill_history(df: DataFrame, rain_zero: bool = True) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                  buckets: int = 4096, levels: int = 2) -> DataFrame:
+                  buckets: int = 65_536, levels: int = 1) -> DataFrame:
     """Exact median of each column per key, as rows (keys, measure, n_rows, n, median).
 
     ``percentile`` would keep every distinct value of a key in one task. Here the middle
-    ranks are located by histograms whose partial counts combine before the shuffle; only
-    the values of the one bucket that holds a middle rank are ever put in order.
+    ranks are located by a histogram whose partial counts combine before the shuffle; only
+    the distinct values of the one bucket that holds a middle rank are ever put in order.
+    More ``levels`` narrow that bucket again, for values with extreme outliers.
     """
     rows = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_e"))

@@ -48,7 +48,9 @@ def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     cut = df.withColumn("_seg", guarded(keys, time_segment(ts, width_us)))
     inside = Window.partitionBy(*keys, "_seg").orderBy(ts)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead in reversed order keeps the frame growing instead of rescanning it per row.
+    ahead = (Window.partitionBy(*keys, "_seg").orderBy(F.desc(ts))
+             .rowsBetween(Window.unboundedPreceding, 0))
     local = cut.withColumn("_i", F.row_number().over(inside).cast("bigint"))
 
     def known(c):
@@ -57,7 +59,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     local = local.withColumns({f"_k_{c}": known(c) for c in columns})
     local = local.withColumns({
         **{f"_p_{c}": F.last(f"_k_{c}", ignorenulls=True).over(back) for c in columns},
-        **{f"_n_{c}": F.first(f"_k_{c}", ignorenulls=True).over(ahead) for c in columns}})
+        **{f"_n_{c}": F.last(f"_k_{c}", ignorenulls=True).over(ahead) for c in columns}})
     edges = local.groupBy(*keys, "_seg").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(f"_k_{c}", F.col(f"_k_{c}.i")).alias(f"_l_{c}") for c in columns],
@@ -70,10 +72,10 @@ def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
             (F.col("_start") + F.col(f"{name}.i")).alias("i"), F.col(f"{name}.v").alias("v")))
 
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    later = along.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(*keys, "_seg", "_start", *[
         F.last(placed(f"_l_{c}"), ignorenulls=True).over(earlier).alias(f"_gp_{c}") for c in columns], *[
-        F.first(placed(f"_f_{c}"), ignorenulls=True).over(later).alias(f"_gn_{c}") for c in columns])
+        F.last(placed(f"_f_{c}"), ignorenulls=True).over(later).alias(f"_gn_{c}") for c in columns])
     joined = join_on(local, edges, [*keys, "_seg"])
     at = F.col("_start") + F.col("_i")
     filled = {}

@@ -177,12 +177,12 @@ def check_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
 def detect(rows: DataFrame, layout: str = "auto") -> Layout:
     """Layout of every file. ``auto`` falls back to the fixed columns where it finds too little.
 
-    The verdicts on columns and the file layouts are written once: they are a few rows per
-    file, and every later step reads them.
+    File heads, the verdicts on columns and the layouts are written once: they are a few rows
+    per file, and every later step reads them.
     """
     if layout not in ("auto", "fixed"):
         raise ValueError(f"layout must be auto or fixed, not {layout!r}")
-    described = described_files(rows)
+    described = materialise(described_files(rows), "file-heads")
     # Small: as many rows as there are columns to look at, from one row per file.
     beside = (described.select("file", "last_measure", "data_start", F.explode("columns").alias("x"))
               .filter(F.col("x.c") > F.col("last_measure"))

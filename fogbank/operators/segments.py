@@ -4,7 +4,8 @@ A window over ``partitionBy(key)`` sends a key to one task, however large it is.
 operators here cut every key into segments of consecutive order values. Rows are sorted
 inside their segment only, and what has to cross a segment border travels either as
 copies of the rows near the border (``with_halo``, for frames of limited reach) or in one
-summary row per segment (``ordered_rank``, ``carry_forward``, for unlimited reach).
+summary row per segment (``ordered_rank`` and the operators built like it, for unlimited
+reach).
 
 The segment width is an argument of every operator. Observation tables hold one row per
 key and timestamp, so a segment holds at most width / grain rows: with the default of
@@ -87,53 +88,3 @@ def guarded(keys: Sequence[str], segment: Column) -> Column:
     for k in keys:
         segment = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key column {k}"))).otherwise(segment)
     return segment
-
-
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  columns: dict[str, Column], segment: Column, backward: bool = False,
-                  include_current: bool = True) -> DataFrame:
-    """Last non-null value of each expression at or before the row (``backward``: at or after).
-
-    ``columns`` maps new column names to expressions. Each segment contributes one row with
-    its last (first) non-null values; those rows are filled along the key and handed to the
-    next segment.
-    """
-    cut = df.withColumn("_seg", guarded(keys, segment)).withColumns({f"_v_{n}": e for n, e in columns.items()})
-    position = F.struct(*order)
-    pick = F.min_by if backward else F.max_by
-    summary = cut.groupBy(*keys, "_seg").agg(*[
-        pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_s_{n}")
-        for n in columns])
-    segments = Window.partitionBy(*_keys(keys)).orderBy("_seg")
-    inside = Window.partitionBy(*_keys(keys), "_seg").orderBy(*order)
-    if backward:
-        outer = segments.rowsBetween(1, Window.unboundedFollowing)
-        inner = inside.rowsBetween(0 if include_current else 1, Window.unboundedFollowing)
-        take = F.first
-    else:
-        outer = segments.rowsBetween(Window.unboundedPreceding, -1)
-        inner = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-        take = F.last
-    handed = summary.select(*keys, "_seg", *[
-        take(F.col(f"_s_{n}"), ignorenulls=True).over(outer).alias(f"_h_{n}") for n in columns])
-    joined = join_on(cut, handed, [*keys, "_seg"])
-    return (joined.withColumns({
-        n: F.coalesce(take(F.col(f"_v_{n}"), ignorenulls=True).over(inner), F.col(f"_h_{n}"))
-        for n in columns})
-        .drop("_seg", *[f"_v_{n}" for n in columns], *[f"_h_{n}" for n in columns]))
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                segment: Column, name: str) -> DataFrame:
-    """Sum of ``value`` over the key's rows up to and including this one."""
-    cut = df.withColumn("_seg", guarded(keys, segment)).withColumn("_v", value)
-    by_order = Window.partitionBy(*_keys(keys)).orderBy("_seg")
-    sums = (cut.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_s"))
-            .withColumn("_before", F.coalesce(F.sum("_s").over(
-                by_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .drop("_s"))
-    inside = (Window.partitionBy(*_keys(keys), "_seg").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    return (join_on(cut, sums, [*keys, "_seg"])
-            .withColumn(name, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-            .drop("_seg", "_v", "_before"))
