@@ -54,7 +54,8 @@ def test_measure_columns(found):
     a, b = files["a"], files["b"]
     assert (a.header_row, a.dt_col, a.data_start, a.source) == (2, 0, 3, "auto")
     assert (a.c_temp, a.c_rain, a.c_wind, a.c_dew, a.c_rh, a.c_wind_deg) == (1, 4, 6, 8, 9, 7)
-    assert (b.header_row, b.data_start, b.c_wind, b.c_wind_deg) == (2, 5, 3, 4)
+    # Columns B and D carry 品質情報 in a sub-header row, which makes them metadata.
+    assert (b.header_row, b.data_start, b.c_temp, b.c_rain, b.c_wind, b.c_wind_deg) == (2, 5, None, 2, 4, None)
 
 
 def test_location_columns(found):
