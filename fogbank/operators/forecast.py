@@ -130,7 +130,13 @@ def choose_source(locations: DataFrame, own: DataFrame, default: DataFrame, key:
 
 def forecast_for_each(chosen: DataFrame, own: DataFrame, default: DataFrame,
                       key: str = "location_id") -> DataFrame:
-    """Every location with the rows of its forecast; an equi-join on the chosen source."""
-    sources = own.withColumnRenamed(key, "source").unionByName(
-        default.withColumn("source", F.lit("default")), allowMissingColumns=True)
-    return chosen.join(sources, "source")
+    """Every location with the rows of its forecast.
+
+    Locations with their own forecast meet it by id. The others all share the default, which
+    is one forecast horizon long: joined by itself it is small enough to be broadcast, and no
+    task has to hold everything that shares it.
+    """
+    theirs = chosen.filter(F.col("source") != "default").join(own, key)
+    shared = chosen.filter(F.col("source") == "default").join(
+        default.withColumn("source", F.lit("default")), "source")
+    return theirs.unionByName(shared, allowMissingColumns=True)

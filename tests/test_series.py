@@ -37,6 +37,23 @@ def test_suspicious_blocks(spark):
     assert blocks(spark, [1] * 10) == []
 
 
+def test_a_key_with_most_rows_is_cut_and_stays_exact(spark):
+    from pyspark.sql import Window
+
+    from fogbank.operators.segments import ordered_rank, time_segment
+    minutes = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("v"))
+    cut = minutes.groupBy("k", time_segment("ts", 86_400_000_000)).count().agg(F.max("count")).first()[0]
+    assert cut <= 1440
+    ranked = ordered_rank(minutes, ["k"], ["ts"], time_segment("ts", 86_400_000_000), "r", "n")
+    plain = minutes.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("ts")))
+    joined = ranked.join(plain.select("k", "ts", "w"), ["k", "ts"])
+    assert joined.count() == 30_000 and joined.filter("r <> w").isEmpty()
+    rolled = features.rolling(minutes, ["k"], {"n": (F.count("v"), 3)}, width_us=86_400_000_000)
+    assert rolled.count() == 30_000 and rolled.filter("k = 'hot'").agg(F.max("n")).first()[0] == 120
+
+
 def test_null_key_is_an_error(spark):
     df = spark.createDataFrame([(None, T0, 1)], "location_id string, ts timestamp, code int")
     with pytest.raises(Exception, match="null in key column"):
