@@ -13,6 +13,7 @@ from fogbank.functions.dates import datetime_parts, parse_datetime
 from fogbank.functions.text import number, phenomenon_code, wind_degrees
 from fogbank.operators.cleaning import resolve_datetimes
 from fogbank.operators.layout import Layout, detect
+from fogbank.session import materialise
 from fogbank.sources.grid import output_prefix, read_rows
 
 
@@ -39,18 +40,20 @@ def dated_rows(rows: DataFrame, layout: Layout) -> DataFrame:
     columns = [f"c_{m}" for m in [*K.MEASURES, K.WIND_DIRECTION]]
     data = (rows.join(layout.files.select("file", "dt_col", "data_start", *columns), "file")
             .filter(F.col("r") >= F.col("data_start")).withColumn("dt_cell", field("dt_col")))
-    own = data.withColumn("_own", parse_datetime("dt_cell"))
     parts = datetime_parts("dt_cell")
-    year_less = data.filter(parts.isNotNull() & parts["y"].isNull()).select("file").distinct()
-    narrow = data.join(year_less, "file", "left_semi").select("file", "r", "dt_cell")
-    carried = (resolve_datetimes(narrow, ["file"], "r", "dt_cell", out="_carried")
-               .filter(F.col("_carried").isNotNull()).select("file", "r", "_carried"))
-    return (own.join(carried, ["file", "r"], "left")
-            .withColumn("ts", F.coalesce("_own", "_carried")).drop("_own", "_carried", "dt_col", "data_start"))
+    # A list of files, written once: known to be small, it is broadcast in the joins below, and
+    # files that always give the year are not shuffled at all.
+    year_less = materialise(data.filter(parts.isNotNull() & parts["y"].isNull()).select("file").distinct(),
+                            "year-less-files")
+    own = data.withColumn("ts", parse_datetime("dt_cell"))
+    complete = own.join(year_less, "file", "left_anti")
+    partial = data.join(year_less, "file", "left_semi")
+    carried = resolve_datetimes(partial.select("file", "r", "dt_cell"), ["file"], "r", "dt_cell").drop("dt_cell")
+    return complete.unionByName(partial.join(carried, ["file", "r"])).drop("dt_col", "data_start")
 
 
 def load_rows(rows: DataFrame, layout: str = "auto") -> Loaded:
-    """Rows (file, r, fields) to observations and labels. Nothing runs until a table is used."""
+    """Rows (file, r, fields) to observations and labels. Only the layout is found right away."""
     found = detect(rows, layout)
     dated = dated_rows(rows, found)
     # The last row of a timestamp wins; both tables come from this one shuffle.

@@ -81,6 +81,16 @@ def test_loaded_tables(found):
     assert codes[("b", "I")] == (300, [0, 2])
 
 
+def test_left_out_years(spark):
+    rows = observatory_rows()
+    for row in rows[4:]:
+        row[0] = row[0].replace("2024年", "")
+    obs = load_rows(as_rows(spark, {"a": rows, "b": observatory_rows()})).obs
+    ends = obs.groupBy("file").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n")).collect()
+    assert {(r.file, r.a, r.z, r.n) for r in ends} == {
+        (f, dt.datetime(2024, 7, 1, 1), dt.datetime(2024, 7, 2), 24) for f in "ab"}
+
+
 def test_fixed_layout(spark):
     found = layout.detect(as_rows(spark, {"a": observatory_rows()}), "fixed")
     f = found.files.first()
