@@ -188,8 +188,8 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def examples(texts: list[str], per_text: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their tags. Numbers that only fail a checksum keep the label of their form."""
+def examples(texts: list[str], per_text: int, rng: np.random.Generator, least: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """``least`` windows or more and their tags. Numbers that only fail a checksum keep the label of their form."""
     pool: list[tuple[int, str]] = []
     places = []
     for t in texts:
@@ -215,19 +215,19 @@ def examples(texts: list[str], per_text: int, rng: np.random.Generator) -> tuple
         x.append(ids)
         y.append(tags)
 
-    for t, spans, a, b in places:
+    for t, spans, a, b in places * max(1, -(-least // (2 * len(places)))):
         add(t[a:b], [(k, s - a, e - a) for k, s, e in spans if s < b and e > a])
         # The same place with one to three known spans side by side.
-        before, after = t[a: a + REACH], t[b - REACH: b]
-        before, after = re.sub(r"[0-9@+]", "", before), re.sub(r"[0-9@+]", "", after)
-        text, marks = before.rstrip() + " ", []
+        before, after = re.sub(r"[0-9@+]", "", t[a: a + REACH]).rstrip(), re.sub(r"[0-9@+]", "", t[b - REACH: b]).lstrip()
+        text = before[int(rng.integers(0, len(before) + 1)):]  # texts also begin and end near a number
+        text, marks = text and text + " ", []
         for k in rng.integers(0, len(pool), int(rng.integers(1, 4))):
             kind, s = pool[int(k)]
             if kind == 3 and rng.random() < 0.3:
                 s = s.split(" ", 1)[-1] if " " in s else s  # without the country
             marks.append((kind, len(text), len(text) + len(s)))
             text += s + str(rng.choice([" ", " ", ", ", "; ", "\n"]))
-        add(text + after.lstrip(), marks)
+        add(text + after[: int(rng.integers(0, len(after) + 1))], marks)
     return np.array(x), np.array(y)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm import html, katz, langid, lines, mixing, pii, secrets, seeds, simhash, tokens
+from fogbank.llm import html, katz, langid, lines, mixing, oracles, pii, secrets, seeds, simhash, tokens
 from fogbank.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,4 +66,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_decontaminate": oracles.DECONTAMINATE, "op9_line_quality": oracles.LINE_QUALITY}

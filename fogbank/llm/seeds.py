@@ -84,5 +84,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents without an overlap, with all their columns. Rows without an id are judged together."""
-    bad = overlaps(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(materialise(bad, "benchmark-leaks"), F.col(key).eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = overlaps(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("_bad_id")).distinct()
+    return docs.join(materialise(bad, "benchmark-leaks"), F.col(key).eqNullSafe(F.col("_bad_id")), "left_anti")

@@ -264,12 +264,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     out_ids = rows.where("doc_id <> component_id").select("doc_id").distinct()
     again = materialise(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
                         .select("doc_id"), "simhash-repeated")
-    kept = docs.where(F.col(key).isNotNull()).join(out_ids.withColumnRenamed("doc_id", "out_id"), F.col(key) == F.col("out_id"), "left_anti")
+    kept = docs.where(F.col(key).isNotNull()).join(out_ids.withColumnRenamed("doc_id", "_out_id"), F.col(key) == F.col("_out_id"), "left_anti")
     if not again.isEmpty():
-        other = again.withColumnRenamed("doc_id", "again_id")
-        twice = kept.join(other, F.col(key) == F.col("again_id"), "left_semi").dropDuplicates([key])
-        kept = kept.join(other, F.col(key) == F.col("again_id"), "left_anti").unionByName(twice)
-    nameless = rows.where("doc_id IS NULL AND component_id IS NULL").select("fp", "root").distinct()
+        other = again.withColumnRenamed("doc_id", "_again_id")
+        twice = kept.join(other, F.col(key) == F.col("_again_id"), "left_semi").dropDuplicates([key])
+        kept = kept.join(other, F.col(key) == F.col("_again_id"), "left_anti").unionByName(twice)
+    nameless = (rows.where("doc_id IS NULL AND component_id IS NULL")
+                .select(F.col("fp").alias("_of_fp"), F.col("root").alias("_root")).distinct())
     if not nameless.isEmpty():
         some = docs.where(F.col(key).isNull())
         full = some.select(*[F.col(c) for c in docs.columns], F.lit(0).cast("long").alias("_fp"))
@@ -281,6 +282,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
             return apply
 
-        marked = map_rows(full, make, text).join(nameless, F.col("_fp") == F.col("fp"))
-        kept = kept.unionByName(marked.dropDuplicates(["root"]).select(*docs.columns))
+        marked = map_rows(full, make, text).join(nameless, F.col("_fp") == F.col("_of_fp"))
+        kept = kept.unionByName(marked.dropDuplicates(["_root"]).select(*docs.columns))
     return kept

@@ -1,0 +1,334 @@
+"""The training-data operators against brute force, libraries and planted cases, and on odd inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from fogbank.llm import html, katz, langid, lines, mixing, pii, queries, secrets, seeds, simhash, tokens
+from fogbank.llm.common import remainder
+
+SMALL = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, g, s, len(t) if t else None) for i, t, g, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, columns whose names clash with results."""
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(1, "The cat sat on the mat. Call +1 (212) 555-0100 now.", "en", "a"), (1, "The cat sat on the mat. Call +1 (212) 555-0100 now.", "en", "a"),
+            (2, None, "en", "a"), (3, "", None, None), (None, "a b c d e f g h", None, None), (4, " \n\t ", "fr", "b"),
+            (5, long, "en", "b"), (6, long + " end", "en", None), (7, "x", "de", "c"), (None, None, None, None), (8, "12345 !!! 678", "en", "c")]
+    return (table(spark, rows).withColumn("fp", F.lit("?")).withColumn("score", F.lit(-1)).withColumn("g", F.lit("g")).withColumn("size", F.lit(0))
+            .withColumn("s", F.lit(1)).withColumn("tokens", F.lit("t")).withColumn("row", F.lit(0)).withColumn("lines", F.lit(0)))
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def local(name):
+    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SMALL}/{name}.parquet' ORDER BY doc_id").fetchall()
+
+
+def test_every_operator_takes_odd_and_empty_tables(spark, odd):
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (None, ""), (3, "one")], "item_id bigint, text string")
+    runs = {
+        "langid": lambda d: langid.identify(d, remainder("doc_id", 4) == 2), "pii": pii.personal_data, "secrets": secrets.find_secrets,
+        "tokens": lambda d: tokens.count_tokens(d, queries.public_tokenizers.path("word_bpe_49k.json")),
+        "simhash": simhash.near_duplicates, "katz": lambda d: katz.score(d, remainder("doc_id", 7) == 2), "lines": lines.judged,
+        "mixing": mixing.mixed_counts}
+    for name, run in runs.items():
+        got, nothing = run(odd).collect(), run(odd.limit(0)).collect()
+        assert nothing == [], name
+        if name != "secrets":
+            assert sorted((str(r["doc_id"]) for r in got)) == sorted(str(r["doc_id"]) for r in odd.collect()), name
+    assert rows_of(seeds.overlaps(odd, bench)) == [(None, 1, 8, 8)]
+    assert seeds.overlaps(odd.limit(0), bench).count() == 0 and seeds.overlaps(odd, bench.limit(0)).count() == 0
+    pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (None, "u", "<p>a</p>"), (3, "u", "x" * 100_000)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["n_chars"] for r in html.extract(pages.withColumn("text", F.lit(1))).collect()} == {1: 0, 2: 0, None: 1, 3: 100_000}
+    kept = simhash.one_of_each(odd)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "5", "7", "8", "None"]) and kept.columns == odd.columns
+    assert seeds.clean(odd, bench).where("doc_id IS NULL").count() == 0
+    assert pii.redacted(odd).where("doc_id = 1").first()["text"] == "The cat sat on the mat. Call [PHONE] now."
+
+
+def test_languages_of_held_out_texts(spark):
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, "/root/testdata/sf0.01").collect()}
+    known = duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    held = [(d, g) for d, g in known if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert all(got[d]["held_out"] for d, _ in held) and sum(r["held_out"] for r in got.values()) == len(held)
+    assert np.mean([got[d]["lang_pred"] == g for d, g in held]) > 0.98
+    assert not any(r["rejected"] for r in got.values()) and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_long_texts_score_as_their_pieces():
+    model = langid.train(["the cat and the dog"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+    p, some = model.scores(["the cat " * 100_000, "", "123"])
+    assert p[0].argmax() == model.langs.index("en") and some.tolist() == [True, False, False]
+
+
+def test_base_spans_by_the_patterns():
+    plain = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             2: r"[0-9]([\x20-]?[0-9])+", 3: r"\+[0-9][\x20().0-9-]+[0-9]"}
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choice("aZ0123456789.@@-+ ()%\n") for _ in range(rng.randrange(50)))
+        want = [(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, t) if pii.passes(k, m[0])]
+        assert pii.base_spans(t) == want, t
+    assert pii.base_spans("1.2.3." + "0" * 5000) == [(1, 0, 5006)] and pii.base_spans("4111 1111 1111 1111") == [(2, 0, 19)]
+
+
+def test_tagger_adds_numbers_that_hide_each_other(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = table(spark, [(-1, "pay 4111111111111111 4012888888881881 soon", None, None), (-2, "call +1 (826) 555-4081 190.137.223.204 now", None, None)])
+    got = {r["doc_id"]: r for r in pii.personal_data(docs.unionByName(planted)).collect()}
+    assert got[-1]["spans"] == "card:4:20,card:21:37" and got[-1]["n_card"] == 0
+    assert got[-2]["spans"] == "ip:23:38,phone:5:22"
+    for i, t in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        base = pii.base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {pii.joined([s]) for s in base} <= set(got[i]["spans"].split(","))
+
+
+def test_tagger_gradients():
+    from fogbank.llm.tagger import Tagger
+
+    model = Tagger(3, dim=3, hidden=4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 9, (2, 6)), rng.integers(0, 3, (2, 6))
+    _, grads = model.step(x, y)
+    for name in model.p:
+        at = tuple(rng.integers(0, s) for s in model.p[name].shape)
+        if name == "E":
+            at = (int(x[0, 2]), 1)
+        old = model.p[name][at]
+        sides = []
+        for d in (1e-3, -1e-3):
+            model.p[name][at] = old + d
+            sides.append(model.step(x, y)[0])
+        model.p[name][at] = old
+        assert abs((sides[0] - sides[1]) / 2e-3 - grads[name][at]) < 1e-3, name
+
+
+def test_secrets_found_and_place_holders_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    key = hashlib.sha1(b"k").hexdigest()
+    fakes = table(spark, [(-1, f'the token = "{key}" it', None, "a"), (-2, 'the token = "xxxxxxxxxxxxxxxxxxxxxxxx1xxxxxxx" it', None, "a"),
+                          (-3, 'the token = "your_token_goes_here_1" it', None, "a"), (-4, "no secret 9807915762804490 here", None, "a")])
+    found = rows_of(secrets.find_secrets(docs.unionByName(fakes)).select("doc_id", "start", "end"))
+    planted = [(i, m.start(1), m.end(1)) for i, t in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+               for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)]
+    assert set(planted) <= {tuple(r) for r in found}
+    assert [r[0] for r in found if r[0] < 0] == [-1] and len(found) <= len(planted) + 1
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    counter = tokens.Counter(tokens.Vocabulary(open(path, encoding="utf-8").read()))
+    rng = random.Random(1)
+    odd = ["", "a" * 3000, "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "ΣΑΣ Σ", "İstanbul don't'S 12³½", "é 힣가", "a\x00b\x1cc\x85d"]
+    odd += ["".join(rng.choice("aabbccddeetthhnn 's.,!é\n") for _ in range(60)) for _ in range(300)]
+    texts = odd + [r[1] for r in local("documents")]
+    assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = queries.op4_token_counts(spark, SMALL).collect()
+    assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in got) and len(got) == len(local("documents"))
+
+
+def slow_fingerprint(text: str) -> int:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_classes(ids, fps, most=3):
+    label = {i: i for i in ids}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, x in zip(ids, fps):
+        for b, y in zip(ids, fps):
+            if b < a and (x ^ y).bit_count() <= most:
+                p, q = sorted((top(a), top(b)))
+                label[q] = p
+    return {i: top(i) for i in ids}
+
+
+def test_simhash_classes_by_brute_force(spark):
+    rows = local("documents")
+    fps = {i: slow_fingerprint(t) for i, t, *_ in rows}
+    want = slow_classes(list(fps), list(fps.values()))
+    got = queries.op5_simhash(spark, SMALL).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def test_links_survive_every_way_of_dealing(spark):
+    """A tiny group limit sends the same close variants through all levels and the tiles."""
+    rng = random.Random(2)
+    values = set()
+    for c in [rng.getrandbits(64) for _ in range(30)]:
+        for _ in range(15):
+            x = c
+            for b in rng.sample(range(64), rng.randrange(6)):
+                x ^= 1 << b
+            values.add(x)
+    values |= {0x0F0F ^ 1 << b for b in range(64)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    want = slow_classes(values, [v & (1 << 64) - 1 for v in values])
+    distinct = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    for limit in (4, 100_000):
+        roots = {r["a"]: r["root"] for r in simhash.classes(simhash.links(distinct, limit=limit)).collect()}
+        assert {v: roots.get(v, v) for v in values} == want, limit
+
+
+def test_katz_by_brute_force(spark):
+    rows = [(i, t, g, s) for i, t, g, s in local("documents") if len(t) < 2500][:60] + [(900, None, None, None), (901, "never seen words the of", None, None)]
+    split = {i: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"] for i, t, *_ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in split}
+    c1, c2 = Counter(), Counter()
+    for i, ws in split.items():
+        if not held[i]:
+            c1.update(ws)
+            c2.update(zip(["<s>", *ws], ws))
+    n, v = sum(c1.values()), len(c1)
+    of = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
+    low1, low2 = katz.discounts(of(c1)), katz.discounts(of(c2))
+    kept = lambda r, low: low[r - 1] if r <= katz.K else r - katz.RESERVE
+    unknown = 1 - sum(kept(r, low1) for r in c1.values()) / n
+    p1 = lambda w: kept(c1[w], low1) / n if w in c1 else unknown
+    after: dict = {}
+    for (a, w), r in c2.items():
+        after.setdefault(a, {})[w] = r
+    size = lambda a: c1["</s>"] if a == "<s>" else c1[a]
+
+    def p2(a, w):
+        if a not in after:
+            return p1(w)
+        if w in after[a]:
+            return kept(after[a][w], low2) / size(a)
+        left = 1 - sum(kept(r, low2) for r in after[a].values()) / size(a)
+        return left / (1 - sum(p1(x) for x in after[a])) * p1(w)
+
+    for a in list(after)[:20]:
+        assert abs(sum(p2(a, w) for w in c1) + p2(a, "<unknown>") - 1) < 1e-9
+    got = {r["doc_id"]: r for r in katz.score(table(spark, rows), remainder("doc_id", 7) == 2, block=500).collect()}
+    assert len(got) == len(split)
+    for i, ws in split.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(w in c1 for w in ws), n)
+        assert abs(r["base_score"] - sum(np.log10((c1[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6
+        assert abs(r["score"] - sum(np.log10(p2(a, w)) for a, w in zip(["<s>", *ws], ws))) < 1e-3
+
+
+def test_page_text():
+    page = ("<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='ad'>Buy this now, please, it is good.</div>"
+            "<article><h1>Title</h1><p>First &amp; long paragraph, with words,\n and  more.<p>Short.<script>var a='</p>';</script><ul><li>one<li>two</ul>"
+            "<div class=\"comments\"><p>A reader says: very long, long, long comment, indeed.</p></div></article><footer>&copy;</footer>")
+    assert html.main_text(page) == "Title\nFirst & long paragraph, with words, and more.\nShort.\none\ntwo"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>a</nav>") == ""
+    assert html.main_text("<div>" * 5000 + "deep") == "deep"
+
+
+def test_pages_of_the_table(spark):
+    import html as entities
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = [" ".join(entities.unescape(re.sub("</?b>", "", p).replace("<br>", " ")).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
+        return "\n".join(p for p in parts if p)
+
+    want = {i: article(h) for i, h in duckdb.sql(f"SELECT page_id, html FROM '{SMALL}/pages.parquet'").fetchall()}
+    assert {r["page_id"]: r["text"] for r in queries.op7_html_text(spark, SMALL).collect()} == want
+
+
+def test_planted_leaks_with_substitutions(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
+    words = item.split()
+    changed = " ".join("CHANGED" if k % 6 == 4 else w for k, w in enumerate(words))
+    other = " ".join(random.Random(3).sample(words, len(words)))
+    docs = table(spark, [(1, f"x y {item.upper()}. z", None, None), (2, f"{changed} more", None, None), (3, other, None, None),
+                         (4, " ".join(words[:14]), None, None), (5, " ".join(words[:6]), None, None)])
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [r[0] for r in rows_of(seeds.overlaps(docs, bench))] == [1, 2, 4]
+    assert rows_of(seeds.overlaps(docs, bench, broadcast_bytes=0)) == rows_of(seeds.overlaps(docs, bench))
+
+
+@pytest.mark.parametrize("name", ["op8_decontaminate", "op9_line_quality"])
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
+
+
+def test_boilerplate_documents_are_rejected_and_copies_are_not(spark):
+    line = " ".join(f"boiler{i}" for i in range(30))
+    name = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    body = lambda i: " ".join(f"own{name(i)}x{name(k)}" for k in range(60))
+    rows = [(i, f"{line}\n{line} two\nonly {i}", None, "a") for i in range(40)] + [(100 + i, f"{body(i)}\n{line}", None, "a") for i in range(40)]
+    rows += [(200 + i, body(99), None, "a") for i in range(30)]
+    got = {r["doc_id"]: r for r in lines.judged(table(spark, rows), share=0.1).collect()}
+    assert not any(got[i]["kept"] for i in range(40)) and all(got[100 + i]["kept"] for i in range(40)) and all(got[200 + i]["kept"] for i in range(30))
+
+
+def test_mix_follows_the_targets(spark):
+    for d in (SMALL, "/root/testdata/sf0.01"):
+        got = queries.op10_mix_sources(spark, d).toPandas().merge(
+            duckdb.sql(f"SELECT doc_id, coalesce(source, '~') AS source FROM '{d}/documents.parquet'").df(), on="doc_id")
+        per = got.groupby("source").agg(size=("size", "sum"), of=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+        assert (per["size"] == per["of"]).all() and (got["taken"] <= 3 * got["size"]).all()
+        assert abs(per["target"].sum() - per["size"].sum()) < 1e-6 * per["size"].sum()
+        weights = [1 + i % 3 for i in range(len(per))]
+        assert np.allclose(per["target"], mixing.targets(per["size"].tolist(), weights))
+        assert ((per["taken"] - per["target"]).abs() <= 4 * 64).all()
+    assert mixing.targets([1, 100], [1, 1]) == [3.0, 98.0] and mixing.by_code_point(["b", None, "a"]) == ["a", "b", None]
+
+
+def test_mix_schedule_is_whole(spark):
+    rows = [(i, "w " * (i % 7), None, "a" if i % 3 else "b") for i in range(200)]
+    laid, schedule = mixing.mix(table(spark, rows), block=16)
+    per_slot = {r["slot"]: r["n"] for r in schedule.groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    total = sum(r["size"] for r in laid.collect())
+    assert set(per_slot) <= set(range(-(-total // 16))) and set(per_slot.values()) == {16}
+    assert rows_of(mixing.mixed_counts(table(spark, rows))) == rows_of(mixing.mixed_counts(table(spark, rows[::-1]).repartition(7)))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    rows = {i: t for i, t, *_ in local("documents")}
+    fps = {i: slow_fingerprint(t) for i, t in rows.items()}
+    first = {i for i, c in slow_classes(list(fps), list(fps.values())).items() if i == c}
+    leaks = {r["doc_id"] for r in queries.op8_decontaminate(spark, SMALL).collect()}
+    assert {r["doc_id"] for r in got} == first - leaks and len(got) == len({r["doc_id"] for r in got})
+    stages = [name for name, _ in corpus_pipeline.STAGES]
+    assert stages == ["language", "near_duplicates", "decontamination", "personal_data", "mixing"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
