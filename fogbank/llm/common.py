@@ -30,6 +30,21 @@ def texts_of(df: DataFrame, key: str, text: str, **more: Column) -> DataFrame:
                      *[c.alias(name) for name, c in more.items()])
 
 
+def hash_sample(df: DataFrame, rows: int, where: Column, key: str = "doc_id", text: str = "text") -> list:
+    """The ``rows`` rows with ``where`` that come first by a hash of their id, on the driver; reruns agree.
+
+    Only rows below a bound of the hash are gathered, about as many as asked for, so that what tasks send to the driver does
+    not grow with their number; the bound is raised until there are enough rows.
+    """
+    h, part = F.xxhash64(key), min(1.0, 2 * rows / max(df.count(), 1))
+    while True:
+        bound = int(-(1 << 63) + part * ((1 << 64) - 1))
+        got = df.where((h <= F.lit(min(bound, (1 << 63) - 1))) & where).orderBy(h, key, text).limit(rows).collect()
+        if len(got) >= rows or part >= 1:
+            return got
+        part = min(1.0, part * min(64.0, 2 * rows / max(len(got), 1)))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
            size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about ``size`` bytes of text, one row at least."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import map_rows, map_texts, texts_of
+from fogbank.llm.common import hash_sample, map_rows, map_texts, texts_of
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
 UNKNOWN = "und"
@@ -189,8 +189,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, whole: int, keep: f
 
 def sample(docs: DataFrame, lang: str, learn: Column, rows: int) -> tuple[list[str], list[str]]:
     """At most ``rows`` labelled texts, the lowest by a hash of the id, so that reruns agree."""
-    known = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(rows).select("text", "lang").collect())
+    known = hash_sample(docs, rows, learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return [r["text"] for r in known], [r["lang"] for r in known]
 
 
