@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import map_rows, map_texts, replaced, texts_of
+from fogbank.llm.common import hash_sample, map_rows, map_texts, replaced, texts_of
 from fogbank.llm.tagger import Tagger, codes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -233,15 +233,8 @@ def examples(texts: list[str], per_text: int, rng: np.random.Generator, least: i
 
 def learn(docs: DataFrame, rows: int = 500, per_text: int = 3, epochs: int = 6) -> Tagger | None:
     """Tagger from the ``rows`` texts with a digit or @ that come first by a hash of the id, ``per_text`` places of each."""
-    some = (docs.where(F.col("text").rlike(TRIGGER)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows))
-
-    def near(chunk: pa.RecordBatch) -> dict:
-        # Only the text around digits and @ travels; stretches are joined by line ends.
-        cut = ["\n".join(t[a:b] for a, b in stretches(t)[:64]) for t in chunk.column("text").to_pylist()]
-        return {"doc_id": chunk.column("doc_id"), "text": cut}
-
-    texts = [r["text"] for r in map_texts(some, "doc_id bigint, text string", lambda: near).collect()]
-    x, y = examples(texts, per_text, np.random.default_rng(11))
+    some = hash_sample(docs, rows, F.col("text").rlike(TRIGGER))
+    x, y = examples([r["text"] for r in some], per_text, np.random.default_rng(11))
     if not len(x):
         return None
     model = Tagger(1 + 2 * len(KINDS))
