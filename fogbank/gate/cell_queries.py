@@ -301,7 +301,7 @@ def _(spark, d):
 # Values of a location column in row order; '99' and 'x' do not look like codes.
 CHECKS = """v AS (SELECT sheet AS file, ordinal, k >= 90 AS bad, row_number() OVER (PARTITION BY sheet, ordinal ORDER BY ts) AS i
     FROM lb WHERE NOT (k >= 50 AND k < 60)),
-  chk AS (SELECT file, ordinal, count(*) AS n_values, count(*) FILTER (bad) AS n_bad FROM v WHERE i <= 3000 GROUP BY ALL),
+  chk AS (SELECT file, ordinal, count(*) AS n_values, count(*) FILTER (bad) AS n_bad FROM v GROUP BY ALL),
   allcol AS (SELECT DISTINCT sheet AS file, o AS ordinal FROM ev, range(1, 33) r(o)),
   cols AS (SELECT a.file, a.ordinal, coalesce(n_values, 0) AS n_values, coalesce(n_bad, 0) AS n_bad,
      coalesce(n_bad, 0) <= coalesce(n_values, 0) * 0.1::DOUBLE AS ok FROM allcol a LEFT JOIN chk USING (file, ordinal)),

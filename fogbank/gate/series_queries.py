@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,15 +249,16 @@ def _(spark, d):
     return out.select("location_id", stamp("ts").alias("ts"), r6("temp").alias("temp"), r6("rh").alias("rh"), "dew", "wind")
 
 
-@query("s5_forecast_points", "", """SELECT n_nationkey - 1 AS position, n_name AS name, n_nationkey * 1.5::DOUBLE AS temp
-  FROM nation WHERE n_nationkey > 0 AND n_nationkey % 6 <> 0""")
+@query("s5_forecast_points", "", """SELECT n_nationkey AS position, n_name AS name, n_nationkey * 1.5::DOUBLE AS temp
+  FROM nation WHERE n_nationkey % 6 <> 0""")
 def _(spark, d):
     from fogbank.sources.forecast_json import match_points
-    n = table(spark, d, "nation").filter("n_nationkey > 0")
-    names = n.select((F.col("n_nationkey") - 1).cast("int").alias("position"), F.col("n_name").alias("name"))
+    n = table(spark, d, "nation")
+    names = n.select(F.col("n_nationkey").cast("int").alias("position"), F.col("n_name").alias("name"))
     hourly = F.struct(F.array(F.lit("2024-01-01T00:00")).alias("time"),
                       F.array(F.col("n_nationkey") * 1.5).alias("temperature_2m"))
-    items = n.select((F.col("n_nationkey") - 1).cast("int").alias("position"),
+    # Every sixth point has no hours and drops out.
+    items = n.select(F.col("n_nationkey").cast("int").alias("position"),
                      F.when(F.col("n_nationkey") % 6 != 0, hourly).alias("hourly"))
     out = forecast.payload_rows(match_points(items, names), ["position", "name"])
     return out.select(F.col("position").cast("int").alias("position"), "name", "temp")
@@ -275,18 +278,23 @@ def _(spark, d):
                                  (F.col("n_nationkey") * 3 + F.col("copy")).alias("row_no")))
 
 
+def other_name():
+    """Names of which every third is spelled differently, and so matches no place."""
+    return F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name"))
+
+
 @query("j3_located", "nm", """SELECT n.location_id, n.name, CAST(c_nationkey AS DOUBLE) AS lat FROM nm n JOIN (SELECT DISTINCT n_name, c_nationkey
   FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 3 <> 0) c ON c.n_name = n.name""")
 def _(spark, d):
-    c = table(spark, d, "customer").filter("c_nationkey % 3 <> 0").select("c_nationkey").distinct()
+    c = table(spark, d, "customer").select("c_nationkey").distinct()
     n = table(spark, d, "nation")
-    coords = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("name"), F.col("c_nationkey").cast("double").alias("lat"))
+    coords = c.join(n, c.c_nationkey == n.n_nationkey).select(other_name().alias("name"), F.col("c_nationkey").cast("double").alias("lat"))
     return forecast.locate(place_names(spark, d), coords).select("location_id", "name", "lat")
 
 
 @query("j3_match_report", "nm", """SELECT count(*) FILTER (CAST(substr(location_id, 2) AS INT) % 3 <> 0) AS n_matched, count(*) AS n_locations FROM nm""")
 def _(spark, d):
-    coords = table(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(F.col("n_name").alias("name"))
+    coords = table(spark, d, "nation").select(other_name().alias("name"))
     return forecast.match_report(place_names(spark, d), coords)
 
 
@@ -572,13 +580,15 @@ def _(spark, d):
     return panels.probability_grid(predictions(spark, d)).withColumn("max_prob_pct", r6("max_prob_pct"))
 
 
-@query("a7_wide_grid", "pr", """SELECT location_id, round(max(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-01' THEN fog_prob END) * 100, 6) AS "2024-01-01",
-  round(max(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' THEN fog_prob END) * 100, 6) AS "2024-01-15" FROM pr GROUP BY ALL""")
+# Every day the events cover.
+DAYS = [dt.date(2024, 1, i) for i in range(1, 31)]
+
+
+@query("a7_wide_grid", "pr", "SELECT location_id, " + ", ".join(
+    f"""round(max(CASE WHEN CAST(ts AS DATE) = DATE '{x}' THEN fog_prob END) * 100, 6) AS "{x}" """ for x in DAYS) + "FROM pr GROUP BY location_id")
 def _(spark, d):
-    import datetime as dt
-    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 15)]
-    wide = panels.wide_grid(panels.probability_grid(predictions(spark, d)), days)
-    return wide.select("location_id", *[r6(F.col(f"`{x}`")).alias(str(x)) for x in days])
+    wide = panels.wide_grid(panels.probability_grid(predictions(spark, d)), DAYS)
+    return wide.select("location_id", *[r6(F.col(f"`{x}`")).alias(str(x)) for x in DAYS])
 
 
 @query("a8_breakdown", "pr", """SELECT location_id, code, count(*) AS hours, max(max(fog_prob)) OVER (PARTITION BY location_id) AS max_fog_prob
@@ -605,13 +615,17 @@ def _(spark, d):
     return panels.long_export(panels.named_predictions(predictions(spark, d), place_names(spark, d), limits(spark, d)))
 
 
+# The names of all 32 locations; those without a nation keep their id.
+PLACES = [f"NATION_{i}" if i < 25 else f"P{i}" for i in range(32)]
+
+
 @query("s8_wide_export", "pr nm", """SELECT strftime(ts, '%Y/%m/%d %H:%M') AS "日時", """ + ", ".join(
-    f"""CAST(max(CASE WHEN location_id = '{p}' THEN code END) AS INT) AS "{p}_予測コード",
-    max(CASE WHEN location_id = '{p}' THEN round_even(fog_prob * 100, 1) END) AS "{p}_霧確率(%)" """
-    for p in ("P29", "P30", "P31")) + "FROM pr GROUP BY ts")
+    f"""CAST(max(CASE WHEN location_id = 'P{i}' THEN code END) AS INT) AS "{p}_予測コード",
+    max(CASE WHEN location_id = 'P{i}' THEN round_even(fog_prob * 100, 1) END) AS "{p}_霧確率(%)" """
+    for i, p in enumerate(PLACES)) + "FROM pr GROUP BY ts")
 def _(spark, d):
     named = panels.named_predictions(predictions(spark, d), place_names(spark, d), limits(spark, d))
-    return panels.wide_export(named, ["P29", "P30", "P31"])
+    return panels.wide_export(named, PLACES)
 
 
 @query("u2_stacked_parts", "lb", """SELECT location_id, code, count(*) AS n FROM lb WHERE code IS NOT NULL GROUP BY ALL""")
@@ -628,12 +642,15 @@ def _(spark, d):
     return panels.wide_to_long(o, ["id"], ["AC", "AD"])
 
 
-@query("u6_long_to_wide", "ev", """SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS ts, max(value) FILTER (event_type = 'click') AS click,
-  max(value) FILTER (event_type = 'view') AS view FROM ev GROUP BY hour""")
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("u6_long_to_wide", "ev", """SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS ts, """ + ", ".join(
+    f"max(value) FILTER (event_type = '{x}') AS {x}" for x in EVENT_TYPES) + " FROM ev GROUP BY hour")
 def _(spark, d):
     e = events(spark, d)
-    return (e.groupBy(F.col("hour").alias("h")).pivot("event_type", ["click", "view"]).agg(F.max("value"))
-            .select(stamp("h").alias("ts"), "click", "view"))
+    return (e.groupBy(F.col("hour").alias("h")).pivot("event_type", EVENT_TYPES).agg(F.max("value"))
+            .select(stamp("h").alias("ts"), *EVENT_TYPES))
 
 
 @query("p4_recent_history", "lb", f"""+ l AS (SELECT location_id, coalesce(max(ts) FILTER (code IS NOT NULL), max(ts)) AS z FROM lb GROUP BY ALL)

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,7 +381,8 @@ def load_or_train(spark: SparkSession, path: str | None, train) -> Trained:
     if path:
         try:
             return load_models(spark, path)
-        except Exception as unreadable:  # missing, partial or incompatible store
+        except (AnalysisException, KeyError, TypeError, json.JSONDecodeError) as unreadable:
+            # Missing, empty or incompatible; any other fault is not a reason to train everything again.
             print(f"training again, no usable models in {path}: {type(unreadable).__name__}")
     trained = train()
     if path and trained.models:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions.text import cell_text, folded_texts, is_phenomenon_value, sheet_letter
-from fogbank.operators.segments import join_on, ordered_rank, row_segment
+from fogbank.operators.segments import join_on
 from fogbank.session import materialise
 
 HEAD_ROWS = K.HEADER_SEARCH_ROWS + K.SUBHEADER_ROWS
@@ -149,27 +149,26 @@ def described_files(rows: DataFrame) -> DataFrame:
 
 
 def check_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Do the first 3,000 non-blank values of each column look like codes?
+    """Do the non-blank values of each column look like codes?
 
     ``columns`` holds (file, c, mode, start). Adds n_values, n_bad, ok and up to five bad samples in
-    the order they were met. A column without values passes.
+    the order they were met. All values count, so a column that turns bad late is seen. A column
+    without values passes.
     """
     column = ["file", "c", "mode"]
-    data = (rows.select("file", "r", F.posexplode("fields").alias("c", "text"))
-            .filter(F.col("text").isNotNull()).join(columns.select(*column, "start"), ["file", "c"])
-            .filter(F.col("r") >= F.col("start")).withColumn("t", cell_text("text")).filter(F.col("t") != ""))
-    first = ordered_rank(data.select(*column, "r", "t"), column, ["r"], row_segment("r"),
-                         at_most=K.CODE_CHECK_VALUES)
-    bad = ~is_phenomenon_value("t")
-    per_text = first.groupBy(*column, "t").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("r"), F.first(bad).alias("bad"))
-    # At most 3,000 texts per column are left here.
-    listed = F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("bad"), F.struct("r", "t")))),
-                                 lambda x: x["t"]), 1, 5)
-    counts = per_text.groupBy(*column).agg(
-        F.sum("n").alias("n_values"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"),
-        listed.alias("samples"))
-    checked = columns.join(counts, column, "left").fillna(0, subset=["n_values", "n_bad"])
+    # Only the columns to look at are taken out of a row; a sheet's width bounds the list.
+    wanted = columns.groupBy("file").agg(F.collect_list(F.struct("c", "mode", "start")).alias("_look"))
+    data = (rows.select("file", "r", "fields").join(wanted, "file")
+            .select("file", "r", "fields", F.explode("_look").alias("x")).filter(F.col("r") >= F.col("x.start"))
+            .select("file", "r", "x.c", "x.mode", cell_text(F.get("fields", F.col("x.c"))).alias("t"))
+            .filter(F.col("t").isNotNull() & (F.col("t") != "")).withColumn("_bad", ~is_phenomenon_value("t")))
+    counts = data.groupBy(*column).agg(F.count(F.lit(1)).alias("n_values"), F.count_if("_bad").alias("n_bad"))
+    # The five earliest bad texts: tasks keep five per column before anything is shuffled.
+    earliest = Window.partitionBy(*column).orderBy("r")
+    samples = (data.filter("_bad").groupBy(*column, "t").agg(F.min("r").alias("r"))
+               .withColumn("_i", F.row_number().over(earliest)).filter(F.col("_i") <= 5)
+               .groupBy(*column).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]).alias("samples")))
+    checked = columns.join(counts, column, "left").join(samples, column, "left").fillna(0, subset=["n_values", "n_bad"])
     return (checked.withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
             .withColumn("ok", F.col("n_bad") <= F.col("n_values") * K.CODE_CHECK_TOLERANCE))
 

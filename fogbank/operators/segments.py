@@ -42,7 +42,7 @@ def with_halo(df: DataFrame, t: str, reach_us: int, width_us: int = WIDTH_US) ->
     partitioned by key and ``_seg`` sees everything it needs for rows with ``_own``.
     """
     us = micros(t)
-    own = F.floor(us / width_us).cast("bigint")
+    own = guarded([], F.floor(us / width_us).cast("bigint"))
     last = F.floor((us + reach_us) / width_us).cast("bigint")
     # Only rows within reach of the border are copied: reach / width of the table.
     return (df.withColumn("_seg", F.explode(F.sequence(own, last)))
@@ -84,7 +84,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def guarded(keys: Sequence[str], segment: Column) -> Column:
-    """``segment``, or an error for a null key: an equi-join would drop the row silently."""
+    """``segment``, or an error for a null key or order value: an equi-join would drop the row silently."""
+    segment = F.when(segment.isNull(), F.raise_error(F.lit("null in order column"))).otherwise(segment)
     for k in keys:
         segment = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key column {k}"))).otherwise(segment)
     return segment

@@ -54,6 +54,9 @@ def publish(obs: DataFrame, labels: DataFrame, locations: DataFrame, forecast: D
     ``own_forecasts`` optionally holds others by location.
     """
     key = ["location_id"]
+    again = [r["location_id"] for r in locations.groupBy(*key).count().where("count > 1").limit(5).collect()]
+    if again:
+        raise ValueError(f"location_id must be unique over all files, repeated: {', '.join(map(str, again))}")
     out = {"quality": quality.recording_quality(labels, key),
            "blocks": quality.suspicious_blocks(labels, key)}
 

@@ -17,11 +17,12 @@ ITEM = T.StructType([T.StructField("hourly", HOURLY)])
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Items (file, position, hourly) of landed responses, one response per file.
 
-    A response is one object for a single point or an array of objects for several.
+    A response is one object for a single point or an array of objects for several. It is read whole,
+    as the hours of one request are few. A broken response is an error, not an empty one.
     """
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    several = F.from_json("value", T.ArrayType(ITEM))
-    single = F.array(F.from_json("value", ITEM))
+    several = F.from_json("value", T.ArrayType(ITEM), {"mode": "FAILFAST"})
+    single = F.array(F.from_json("value", ITEM, {"mode": "FAILFAST"}))
     items = F.when(F.ltrim("value").startswith("["), several).otherwise(single)
     return raw.select("file", F.posexplode(items).alias("position", "item")).select("file", "position", "item.hourly")
 
@@ -38,7 +39,7 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
 
 def read_forecasts(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     """Hourly rows of a several-point response; ``names`` holds (position, name)."""
-    return shape_forecast(match_points(read_payloads(spark, path), names), ["name"])
+    return _not_empty(shape_forecast(match_points(read_payloads(spark, path), names), ["name"]), path)
 
 
 def _not_empty(rows: DataFrame, path: str) -> DataFrame:

@@ -162,3 +162,16 @@ def test_export_starts_with_a_byte_order_mark(spark, tmp_path):
     exports.write_csv(spark.range(3).select(F.col("id").alias("日時")).coalesce(1), str(tmp_path / "out"))
     part = next((tmp_path / "out").glob("part-*"))
     assert part.read_bytes().startswith(b"\xef\xbb\xbf" + "日時".encode())
+
+
+def test_a_column_that_turns_bad_late_is_rejected(spark):
+    """All values of a column decide, not the first thousands."""
+    from fogbank.operators.layout import check_columns
+
+    rows = spark.range(8000).select(
+        F.lit("f").alias("file"), F.col("id").cast("int").alias("r"),
+        F.array(F.lit("2"), F.when(F.col("id") < 4000, "1").otherwise(F.concat(F.lit("8."), (F.col("id") % 7).cast("string")))).alias("fields"))
+    columns = spark.createDataFrame([("f", 0, "auto", 0), ("f", 1, "auto", 0)], "file string, c int, mode string, start int")
+    got = {r["c"]: r for r in check_columns(rows, columns).collect()}
+    assert got[0]["ok"] and (got[0]["n_values"], got[0]["n_bad"]) == (8000, 0)
+    assert not got[1]["ok"] and got[1]["n_bad"] == 4000 and got[1]["samples"] == ["8.3", "8.4", "8.5", "8.6", "8.0"]
