@@ -13,10 +13,20 @@ from fogbank.functions.text import ColumnLike, cell_text, col
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
-# year? month day, then optionally hour and minute; a trailing :seconds is read and dropped.
+# Fixed format of the station clocks, which results depend on: year (may be left out), month, day, then optionally
+# hour and minute; a trailing :seconds is read and dropped.
 _DATE = r"(?:(\d{4})\s*[年/.-]\s*)?(\d{1,2})\s*[月/.-]\s*(\d{1,2})\s*日?"
 _TIME = r"(?:[\sT]*(\d{1,2})\s*[時:]\s*(\d{1,2})?\s*分?(?::\d{1,2})?)?"
 _MARK = "\x01"
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+# Other forms that are read, each with the pattern that the whole text must match.
+_FREE_FORMS = (
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{8}" + _CLOCK, "yyyyMMdd H:mm[:ss]"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}(:\d{2})? [APap][Mm]$", "yyyy/M/d h:mm[:ss] a"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}(:\d{2})? [APap][Mm]$", "yyyy-M-d h:mm[:ss] a"),
+    (r"^[A-Za-z]{3,9} \d{1,2} \d{4}" + _CLOCK, "MMM d yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}" + _CLOCK, "d MMM yyyy[ H:mm[:ss]]"))
 # Texts outside that shape are accepted when they are ISO-like.
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}){1,2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 
@@ -70,12 +80,18 @@ def from_parts(p: Column, year: Column) -> Column:
 
 
 def _free(text: Column) -> Column:
-    return (F.when(text.rlike(_ISO_DATE), text.try_cast("timestamp"))
-            .when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
+    # Commas and hyphens beside a month name, and all but its first three letters, are no part of the form.
+    named = F.regexp_replace(F.regexp_replace(text, r"(?<=[A-Za-z0-9]), *| *-(?=[A-Za-z])|(?<=[A-Za-z])-", " "),
+                             r"\b([A-Za-z]{3})[A-Za-z]+\b", "$1")
+    plain = F.when(text.rlike(r"[A-Za-z]{3}"), F.initcap(named)).otherwise(F.upper(text))
+    found = F.when(text.rlike(_ISO_DATE), text.try_cast("timestamp"))
+    for shape, form in _FREE_FORMS:
+        found = found.when(plain.rlike(shape), F.try_to_timestamp(plain, F.lit(form)))
+    return found
 
 
 def free_datetime(cell: ColumnLike) -> Column:
-    """Datetimes that do not have the station date shape: ISO text and yyyymmdd."""
+    """Datetimes that do not have the station date shape: ISO text, yyyymmdd, 12-hour clocks and month names."""
     return let(cell_text(cell), _free)
 
 

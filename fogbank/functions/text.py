@@ -15,23 +15,41 @@ ColumnLike = Column | str
 
 # What str.strip() removes once compatibility spaces have been folded to U+0020.
 _BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029"
-# Blocks whose characters turn up in data cells: Latin-1 and general punctuation (spaces),
-# super- and subscripts, enclosed numbers, CJK punctuation, half- and full-width forms.
-_BLOCKS = ((0xA0, 0x100), (0x2000, 0x20A0), (0x2460, 0x2500), (0x3000, 0x3040), (0xFF00, 0xFFF0))
+_VOICE_MARKS = "\u3099\u309a"
 
 
-def _one_to_one_folds() -> tuple[str, str]:
-    """Characters of those blocks whose NFKC form is a single different character."""
-    source, target = [], []
-    for point in (p for block in _BLOCKS for p in range(*block)):
-        folded = unicodedata.normalize("NFKC", chr(point))
-        if folded != chr(point) and len(folded) == 1:
-            source.append(chr(point))
-            target.append(folded)
-    return "".join(source), "".join(target)
+def _folds() -> dict[str, str]:
+    """Characters of the basic plane, but for surrogates, whose NFKC form differs, with that form."""
+    points = (chr(p) for block in ((0x80, 0xD800), (0xE000, 0x10000)) for p in range(*block))
+    return {c: folded for c in points if (folded := unicodedata.normalize("NFKC", c)) != c}
 
 
-_FOLD_FROM, _FOLD_TO = _one_to_one_folds()
+_FOLDS = _folds()
+_FOLD_FROM = "".join(c for c, folded in _FOLDS.items() if len(folded) == 1)
+_FOLD_TO = "".join(folded for folded in _FOLDS.values() if len(folded) == 1)
+_LONGER = {c: folded for c, folded in _FOLDS.items() if len(folded) > 1}
+# Kana that a voice mark turns into another character; half-width kana carry theirs apart.
+_VOICED = {pair: one for p in range(0x3041, 0x3100) for mark in _VOICE_MARKS
+           if len(one := unicodedata.normalize("NFC", pair := chr(p) + mark)) == 1}
+_REPLACED = {**_LONGER, **_VOICED}
+
+
+def _folded(text: Column) -> Column:
+    """NFKC of a text from built-in functions: all folds of single characters, and voice marks of kana.
+
+    Plain ASCII is left alone; characters that fold to several, which are rare, are looked up one by one.
+    """
+    single = F.translate(text, _FOLD_FROM, _FOLD_TO)
+    # One literal, which the optimizer turns into a map; no folded text holds these control characters.
+    table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in _REPLACED.items())), F.lit("\x02"), F.lit("\x01"))
+    pieces = F.regexp_extract_all(single, F.lit(f"(?s).[{_VOICE_MARKS}]?"), F.lit(0))
+    # A character before a mark that it does not join is looked up alone.
+    looked_up = F.array_join(F.transform(pieces, lambda p: F.coalesce(
+        F.try_element_at(table, p), F.concat(F.coalesce(F.try_element_at(table, F.substring(p, 1, 1)), F.substring(p, 1, 1)),
+                                             F.substring(p, 2, 1)))), "")
+    rare = F.translate(single, "".join(_LONGER) + _VOICE_MARKS, "") != single
+    return (F.when(F.octet_length(text) == F.char_length(text), text)
+            .when(rare, looked_up).otherwise(single))
 
 
 @F.pandas_udf(T.StringType())
@@ -60,15 +78,15 @@ def col(c: ColumnLike) -> Column:
 def cell_text(cell: ColumnLike, full: bool = False) -> Column:
     """Comparable form of a cell; never null.
 
-    The default folds characters one to one with the built-in ``translate`` and is meant for
-    data cells. ``full=True`` runs complete NFKC (units such as ℃, half-width kana with voice
-    marks) in a vectorised UDF and is meant for the few header cells of a file.
+    The default folds characters with built-in functions and is meant for data cells; it equals NFKC but for letters
+    typed apart from their accents and characters outside the basic plane. ``full=True`` runs complete NFKC in a
+    vectorised UDF and is meant for the few header cells of a file.
     """
     text = F.coalesce(col(cell).cast("string"), F.lit(""))
     if full:
         text = _nfkc(text)
     else:
-        text = F.translate(F.replace(text, F.lit("⑩"), F.lit("10")), _FOLD_FROM, _FOLD_TO)
+        text = _folded(text)
     return F.btrim(F.translate(text, "\n\r", ""), F.lit(_BLANKS))
 
 

@@ -9,7 +9,7 @@ from fogbank.functions import calendar, classes, dates, text
 from fogbank.gate.catalog import query
 from fogbank.gate.views import (DEGREES, events, labels, landed_rows, observations, r6,
                                 scored, sheet_rows, stamp, table)
-from fogbank.operators import cleaning, layout
+from fogbank.operators import cleaning, layout, panels
 from fogbank.plans.load import load_rows
 from fogbank.sources import grid
 
@@ -62,6 +62,46 @@ def _(spark, d):
     return labels(spark, d).select("location_id", stamp("ts").alias("ts"), "code")
 
 
+# Cells of characters that fold to several, and what the codes in them mean.
+ENCLOSED = (("3⑪", None), ("⒈", 1), ("⑴ ⑸", 5), ("⑩", 10), ("Ⅷ", None), ("２／３", 3), ("⒈⑵", 2), ("ｶﾞ7", 7))
+
+
+@query("f4_enclosed_codes", "", "SELECT o_orderkey, CAST(CASE o_orderkey % 8 "
+       + " ".join(f"WHEN {i} THEN {'NULL' if c is None else c}" for i, (_, c) in enumerate(ENCLOSED))
+       + " END AS INT) AS code, CASE o_orderkey % 8 WHEN 4 THEN 'VIII' WHEN 7 THEN 'ガ7' END AS folded FROM orders")
+def _(spark, d):
+    which = (F.col("o_orderkey") % 8).cast("int")
+    cell = F.get(F.array(*[F.lit(t) for t, _ in ENCLOSED]), which)
+    return table(spark, d, "orders").select("o_orderkey", text.phenomenon_code(cell).alias("code"),
+                                            F.when(which.isin(4, 7), text.cell_text(cell)).alias("folded"))
+
+
+@query("f2_free_datetimes", "", """SELECT o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+    + CASE WHEN o_orderkey % 6 IN (0, 4) THEN INTERVAL 0 HOUR ELSE to_hours(CAST(o_orderkey % 24 AS INT)) END, '%Y-%m-%d %H:%M:%S') AS ts
+  FROM orders""")
+def _(spark, d):
+    t = F.timestamp_seconds(F.unix_timestamp(F.to_date("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600)
+    forms = ("yyyyMMdd", "MMMM d, yyyy H:mm", "yyyyMMdd HH:mm", "yyyy/MM/dd hh:mm:ss a", "d-MMM-yyyy", "d MMMM yyyy H:mm:ss")
+    cell = F.get(F.array(*[F.date_format(t, f) for f in forms]), (F.col("o_orderkey") % 6).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", stamp(dates.parse_datetime(cell)).alias("ts"))
+
+
+@query("f2_serial_datetimes", "", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0
+    THEN strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') END AS ts FROM orders""")
+def _(spark, d):
+    days = F.datediff(F.to_date("o_orderdate"), F.lit(K.SERIAL_EPOCH).cast("date")) + F.lit(0.25)
+    cell = F.when(F.col("o_orderkey") % 7 != 0, days).otherwise(F.lit(K.SERIAL_MAX) + days)
+    return table(spark, d, "orders").select("o_orderkey", stamp(dates.parse_serial(cell)).alias("ts"))
+
+
+@query("f4_number_codes", "ev", """SELECT event_id, CASE WHEN k < 22 THEN CAST(k // 2 AS INT) END AS code,
+  k % 2 = 0 AND k < 22 AS plausible FROM ev""")
+def _(spark, d):
+    half = F.col("k") / 2
+    return events(spark, d).select("event_id", text.phenomenon_code_number(half).alias("code"),
+                                   text.is_phenomenon_number(half).alias("plausible"))
+
+
 @query("f5_plausible_codes", "ev", f"""SELECT event_id, k < 90 AND NOT (k >= 50 AND k < 60) AS plausible FROM ev""")
 def _(spark, d):
     from fogbank.gate.views import cell_of
@@ -352,8 +392,21 @@ def _(spark, d):
 
 
 @query("s3_load_labels", "lb", f"""+ {CHECKS}, hours AS (SELECT DISTINCT sheet AS file, ts FROM lb)
-  SELECT h.file, strftime(h.ts, '%Y-%m-%d %H:%M:%S') AS ts, letter AS location_id, code
+  SELECT h.file, strftime(h.ts, '%Y-%m-%d %H:%M:%S') AS ts, h.file || '!' || letter AS location_id, letter, code
   FROM hours h JOIN lt ON lt.file = h.file AND lt.ok
   LEFT JOIN lb ON lb.sheet = h.file AND lb.ts = h.ts AND lb.ordinal = lt.ordinal""")
 def _(spark, d):
-    return load_rows(landed_rows(spark, d)).labels.select("file", stamp("ts").alias("ts"), "location_id", "code")
+    return load_rows(landed_rows(spark, d)).labels.select("file", stamp("ts").alias("ts"), "location_id", "letter", "code")
+
+
+@query("j7_two_sheets", "lb", f"""+ {CHECKS}, hours AS (SELECT DISTINCT sheet AS file, ts FROM lb)
+  SELECT lt.file, letter, lt.file || '!' || letter AS location_id, count(*) AS n, 0.5::DOUBLE AS threshold
+  FROM hours h JOIN lt ON lt.file = h.file AND lt.ok GROUP BY ALL""")
+def _(spark, d):
+    # Every sheet has a column I: names and thresholds must find the one of their own sheet.
+    loaded = load_rows(landed_rows(spark, d))
+    scored_rows = loaded.labels.select("location_id", "ts", "code", F.lit(0.1).alias("fog_prob"))
+    limits = loaded.locations.select("location_id", F.lit(0.5).alias("threshold"))
+    named = panels.named_predictions(scored_rows, loaded.locations, limits)
+    return (named.join(loaded.locations.select("location_id", "file", "letter"), "location_id")
+            .groupBy("file", "letter", "location_id").agg(F.count(F.lit(1)).alias("n"), F.max("threshold").alias("threshold")))

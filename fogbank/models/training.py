@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions.classes import best_code, blend, fog_probability
-from fogbank.functions.dates import DAY_US
 from fogbank.models.components import (BOOST_SPACE, FOREST_SPACE, Boosted, BoostParams, Forest, ForestParams, assemble,
                                        draws, params_of)
 from fogbank.operators import metrics, splits
-from fogbank.operators.segments import ordered_rank, time_segment
+from fogbank.operators.segments import time_segment
 from fogbank.session import materialise, new_table_path
 
 
@@ -36,7 +35,9 @@ class Plan:
 
     ``forest_draws`` and ``boosted_draws`` settings are tried per search; 10 and 8 is the full
     search, 0 takes the given parameters. ``search`` says where: once on the pooled rows, or
-    again for every location.
+    again for every location. Either way it sees the fit rows alone, never those a model is
+    later chosen or scored on. Weight and threshold are chosen when at least ``min_validation_rows``
+    rows and two codes are there for it, and keep their defaults otherwise; the registry says so in ``selected``.
     """
 
     kind: str = K.DEFAULT_KIND
@@ -50,6 +51,7 @@ class Plan:
     min_classes: int = K.MIN_CLASSES
     pool_min_rows: int = K.POOL_MIN_ROWS
     rescue_min_rows: int = K.RESCUE_MIN_ROWS
+    min_validation_rows: int = K.MIN_VALIDATION_ROWS
 
 
 @dataclass
@@ -63,6 +65,7 @@ class FogModel:
     threshold: float = K.DEFAULT_THRESHOLD
     tuned: bool = False
     medians: dict[str, float] = field(default_factory=dict)
+    selected: bool = False
 
     def __post_init__(self):
         if self.forest is None and self.boosted is None:
@@ -111,10 +114,18 @@ def _class_counts(df: DataFrame, fit: Column) -> tuple[list[int], list[int], int
 
 
 def search(df: DataFrame, features: Sequence[str], part: str, n: int, ties: Sequence[str] = ()):
-    """Best of ``n`` random settings by mean blend score over forward-chaining folds."""
-    ranked = ordered_rank(df, [], ["ts", *ties], time_segment("ts", DAY_US), "_rank", "_total")
-    folds = materialise(ranked.withColumn("_fold", splits.forward_folds(F.col("_rank"), F.col("_total")))
-                        .select("ts", *ties, "code", *features, "_fold"), "search-folds")
+    """Best of ``n`` random settings by mean blend score over forward-chaining folds.
+
+    The folds are ranges of (ts, ties) whose ends are looked up in counts, so no row is ranked.
+    """
+    total = df.count()
+    k = 3 if total >= 300 else 2
+    size = total // (k + 1)
+    ends = [splits.row_at(df, total - (k - i) * size, "ts", ties) for i in range(k if size else 0)]
+    fold = sum((F.when(~splits.up_to(end), 1).otherwise(0) for end in ends), F.lit(0))
+    if not size:
+        return None
+    folds = df.select("ts", *ties, "code", *features, fold.alias("_fold"))
     sizes = {r["_fold"]: r["classes"] for r in
              folds.groupBy("_fold").agg(F.collect_set("code").alias("classes")).collect()}
     best, best_score = None, -1.0
@@ -136,13 +147,16 @@ def search(df: DataFrame, features: Sequence[str], part: str, n: int, ties: Sequ
 
 
 def fit_and_select(train: DataFrame, fit: Column, features: Sequence[str], plan: Plan,
-                   ties: Sequence[str] = (), tune: bool = False) -> FogModel:
-    """Fit on the rows marked ``fit``, choose weight and threshold on the others, refit on all."""
+                   ties: Sequence[str] = (), tune: bool = False, tuned: bool = False) -> FogModel:
+    """Fit on the rows marked ``fit``, choose weight and threshold on the others, refit on all.
+
+    ``tuned`` says that the plan's parameters already come from a search.
+    """
     kind = resolve_kind(plan.kind)
     classes, fit_classes, n_val = _class_counts(train, fit)
-    have_val = len(fit_classes) >= 2 and n_val >= 10
+    have_val = len(fit_classes) >= 2 and n_val >= plan.min_validation_rows
     inner = train.filter(fit) if have_val else train
-    forest, boosted, tuned = plan.forest, plan.boosted, False
+    forest, boosted = plan.forest, plan.boosted
     if tune and kind != "gbt" and plan.forest_draws:
         forest, tuned = search(inner, features, "forest", plan.forest_draws, ties) or forest, True
     if tune and kind != "rf" and plan.boosted_draws:
@@ -162,7 +176,7 @@ def fit_and_select(train: DataFrame, fit: Column, features: Sequence[str], plan:
         threshold = chosen.first().threshold
     final = _fit_parts(kind, train, features, forest, boosted, classes)
     middle = train.agg(*[F.percentile_approx(f, 0.5).alias(f) for f in features]).first()
-    return FogModel(list(features), *final, weight, threshold, tuned, {f: float(middle[f]) for f in features})
+    return FogModel(list(features), *final, weight, threshold, tuned, {f: float(middle[f]) for f in features}, have_val)
 
 
 @dataclass
@@ -208,8 +222,11 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
     gates = cuts.collect()
     own = [g for g in gates if g.reason is None]
     short = [g for g in gates if g.reason is not None]
-    if plan.search == "pooled" and own and (plan.forest_draws or plan.boosted_draws):
-        plan = _tuned_plan(table, features, plan)
+    searched = plan.search == "pooled" and bool(own) and bool(plan.forest_draws or plan.boosted_draws)
+    if searched:
+        known = cuts.filter(F.col("reason").isNull() & F.col("fit_end").isNotNull()).select("location_id", "fit_end")
+        seen = table.join(known, "location_id").filter(F.col("ts") <= F.col("fit_end")).drop("fit_end")
+        plan = _tuned_plan(materialise(seen, "search-rows"), features, plan)
 
     predictions = new_table_path(spark, "test-predictions")
     models: dict[str, FogModel] = {}
@@ -220,7 +237,7 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
         mine = table.filter(F.col("location_id") == g.location_id)
         train = mine.filter(F.col("ts") <= F.lit(g.train_end))
         model = fit_and_select(train, F.col("ts") <= F.lit(g.fit_end) if g.fit_end else F.lit(False), features, plan,
-                               tune=plan.search == "location")
+                               tune=plan.search == "location", tuned=searched)
         model.predict(mine.filter(F.col("ts") > F.lit(g.train_end)), ["location_id", "ts", "code"]).withColumn(
             "pooled", F.lit(False)).write.parquet(f"{predictions}/own-{i}")
         return g.location_id, model
@@ -230,7 +247,7 @@ def train_locations(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(
 
     pooled, rescued = None, []
     if short:
-        pooled = _fit_pooled(table, features, plan)
+        pooled = _fit_pooled(table, features, plan, searched)
         rescued = [g for g in short if pooled and g.n >= plan.rescue_min_rows and g.n_classes >= 2 and g.n_test_classes]
     if rescued:
         known = cuts.filter(F.col("reason").isNotNull() & (F.col("n") >= plan.rescue_min_rows)
@@ -256,38 +273,44 @@ def _tuned_plan(table: DataFrame, features: Sequence[str], plan: Plan) -> Plan:
         forest = search(table, features, "forest", plan.forest_draws, ["location_id"]) or forest
     if plan.kind != "rf" and plan.boosted_draws:
         boosted = search(table, features, "boosted", plan.boosted_draws, ["location_id"]) or boosted
-    return Plan(**{**plan.__dict__, "forest": forest, "boosted": boosted})
-
-
-def _fit_pooled(table: DataFrame, features: Sequence[str], plan: Plan) -> FogModel | None:
-    """One model from the rows of all locations, split by (ts, location)."""
-    split = splits.temporal_split(table.select("location_id", "ts", "code"), [], ties=["location_id"],
-                                  width_us=DAY_US // 24)
-    last = F.struct("ts", "location_id")
-    ends = split.agg(
-        F.count(F.lit(1)).alias("n"), F.size(F.collect_set("code")).alias("n_classes"),
-        F.size(F.collect_set(F.when(F.col("split") == "train", F.col("code")))).alias("n_train_classes"),
-        F.max(F.when(F.col("part") == "fit", last)).alias("fit_end"),
-        F.max(F.when(F.col("split") == "train", last)).alias("train_end")).first()
-    if ends.n < plan.pool_min_rows or ends.n_classes < 2 or ends.n_train_classes < 2:
+    return replace(plan, forest=forest, boosted=boosted)
+
+
+def _fit_pooled(table: DataFrame, features: Sequence[str], plan: Plan, tuned: bool = False) -> FogModel | None:
+    """One model from the rows of all locations, split by (ts, location).
+
+    Only the two rows at which the parts end are looked up; no row is ranked.
+    """
+    n = table.count()
+    if n < max(plan.pool_min_rows, 3):
+        return None
+    order = ("ts", ["location_id"])
+    n_train = _head(n)
+    train_end = splits.row_at(table, n_train, *order)
+    fit_end = splits.row_at(table, _head(n_train), *order)
+    train = table.filter(splits.up_to(train_end))
+    # At most eleven codes.
+    if len(train.select("code").distinct().collect()) < 2:
         return None
+    return fit_and_select(train, splits.up_to(fit_end), features, plan, ties=["location_id"],
+                          tune=plan.search == "location", tuned=tuned)
 
-    def upto(end) -> Column:
-        t = F.lit(end.ts)
-        return (F.col("ts") < t) | ((F.col("ts") == t) & (F.col("location_id") <= F.lit(end.location_id)))
 
-    return fit_and_select(table.filter(upto(ends.train_end)), upto(ends.fit_end), features, plan, ties=["location_id"])
+def _head(n: int) -> int:
+    """``splits.train_rows`` of a number on the driver."""
+    head = max(1, int(n * (1 - 0.2)))
+    return n - 1 if head >= n else head
 
 
 REGISTRY = ("location_id string, model_type string, blend_weight double, threshold double, tuned boolean, "
-            "pooled boolean, features string, medians string, params string, classes string")
+            "selected boolean, pooled boolean, features string, medians string, params string, classes string")
 
 
 def _describe(location: str, model: FogModel, pooled: bool) -> tuple:
     params = {n: params_of(p.params) for n, p in (("forest", model.forest), ("boosted", model.boosted)) if p}
     classes = model.boosted.classes if model.boosted else []
     return (location, f"pooled({model.kind})" if pooled else model.kind, float(model.weight), float(model.threshold),
-            bool(model.tuned), pooled, json.dumps(model.features), json.dumps(model.medians), json.dumps(params),
+            bool(model.tuned), bool(model.selected), pooled, json.dumps(model.features), json.dumps(model.medians), json.dumps(params),
             json.dumps(classes))
 
 
@@ -371,7 +394,7 @@ def load_models(spark: SparkSession, path: str) -> Trained:
                 boosted = Boosted(OneVsRestModel.load(f"{path}/{r.folder}/boosted"), json.loads(r.classes),
                                   BoostParams(**params["boosted"]))
             shared[r.folder] = FogModel(json.loads(r.features), forest, boosted, r.blend_weight, r.threshold, r.tuned,
-                                        json.loads(r.medians))
+                                        json.loads(r.medians), r.selected)
         models[r.location_id] = shared[r.folder]
     return Trained(models, registry.drop("folder"), spark.read.parquet(f"{path}/eligible"), None)
 
@@ -381,7 +404,7 @@ def load_or_train(spark: SparkSession, path: str | None, train) -> Trained:
     if path:
         try:
             return load_models(spark, path)
-        except (AnalysisException, KeyError, TypeError, json.JSONDecodeError) as unreadable:
+        except (AnalysisException, AttributeError, KeyError, TypeError, json.JSONDecodeError) as unreadable:
             # Missing, empty or incompatible; any other fault is not a reason to train everything again.
             print(f"training again, no usable models in {path}: {type(unreadable).__name__}")
     trained = train()

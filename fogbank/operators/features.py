@@ -161,9 +161,22 @@ def choose_features(df: DataFrame) -> list[str]:
     return names
 
 
-def with_columns_for(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add features the table lacks as null columns."""
-    return df.withColumns({f: F.lit(None).cast("double") for f in features if f not in df.columns})
+def complete_optional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Optional measures that only a part of the rows has, made usable for all rows.
+
+    After ``fill_optional`` such a measure is null in the files that lack it. It takes the middle value of the others
+    there, and ``has_<measure>`` (1 or 0) tells both apart, so no file loses its rows for a measure it does not record.
+    Inside one file both are constant and no tree splits on them. Returns the names of the added columns as well.
+    """
+    optional = [m for m in K.OPTIONAL_MEASURES if m in df.columns]
+    if not optional:
+        return df, []
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[x for m in optional for x in (
+        F.count(m).alias(m), F.percentile_approx(m, 0.5).alias(f"mid_{m}"))]).first()
+    partial = {m: stats[f"mid_{m}"] for m in optional if 0 < stats[m] < stats["n"]}
+    marked = df.withColumns({f"has_{m}": F.col(m).isNotNull().cast("double") for m in partial})
+    return marked.withColumns({m: F.coalesce(F.col(m), F.lit(float(v))) for m, v in partial.items()}), [
+        f"has_{m}" for m in partial]
 
 
 def prepare(df: DataFrame, keys: Sequence[str], ts: str = "ts", lat: float = K.DEFAULT_LAT,

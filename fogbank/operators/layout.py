@@ -238,7 +238,7 @@ def detect(rows: DataFrame, layout: str = "auto") -> Layout:
     rejected = chosen.filter(~F.col("ok")).select(
         "file", "c", letter.alias("letter"), F.col("name").alias("header"),
         F.concat(F.lit(K.REASON_BAD_VALUES), F.when(F.size("samples") > 0, F.concat(
-            F.lit("（例: "), F.array_join("samples", ", "), F.lit("）"))).otherwise("")).alias("reason"))
+            F.lit(": "), F.array_join("samples", ", "))).otherwise("")).alias("reason"))
     named_away = (beside.filter("known").join(files.filter(F.col("_mode") == "auto").select("file"), "file", "left_semi")
                   .select("file", "c", letter.alias("letter"), "header",
                           F.lit(K.REASON_NOT_LOCATION).alias("reason")))

@@ -32,6 +32,35 @@ def temporal_split(df: DataFrame, keys: Sequence[str], ts: str = "ts", ties: Seq
                         .when(F.col("rank") <= F.col("n_train"), "val").otherwise("test")))
 
 
+def row_at(df: DataFrame, position: int, ts: str, ties: Sequence[str] = ()) -> dict:
+    """Values of (ts, ties) in the row at a 1-based position of their order.
+
+    Found in counts per day and then per time of one day; the driver holds as many numbers as there are days, then
+    times of a day. Ties are only put in order among the rows of one time, as many as there are series.
+    """
+    left = position
+    for scope, unit in ((None, F.date_trunc("day", F.col(ts))), ("day", F.col(ts))):
+        rows = df if scope is None else df.filter(F.date_trunc("day", F.col(ts)) == F.lit(at))
+        for r in rows.groupBy(unit.alias("_t")).count().orderBy("_t").toLocalIterator():
+            if left <= r["count"]:
+                at = r["_t"]
+                break
+            left -= r["count"]
+    if not ties:
+        return {ts: at}
+    found = df.filter(F.col(ts) == F.lit(at)).select(*ties).orderBy(*ties).offset(left - 1).limit(1).first()
+    return {ts: at, **found.asDict()}
+
+
+def up_to(end: dict) -> Column:
+    """Rows that are not after the row whose order values are ``end``."""
+    names = list(end)
+    inside = F.col(names[-1]) <= F.lit(end[names[-1]])
+    for name in reversed(names[:-1]):
+        inside = (F.col(name) < F.lit(end[name])) | ((F.col(name) == F.lit(end[name])) & inside)
+    return inside
+
+
 def fold_count(n: Column) -> Column:
     return F.least(F.lit(3), F.greatest(F.lit(2), F.floor(n / 100)))
 
@@ -86,7 +115,17 @@ def skipped_by_reason(eligible: DataFrame, key: str) -> DataFrame:
 
 def class_weights(df: DataFrame, keys: Sequence[str], code: str = "code",
                   name: str = "weight") -> DataFrame:
-    """Balanced weights n / (classes * n_class), joined from counts of at most 11 rows per key."""
+    """Balanced weights n / (classes * n_class) from counts of at most 11 rows per key.
+
+    Without keys the counts are at most eleven numbers, which become part of the expression: no row is shuffled.
+    """
+    if not keys:
+        counts = {r[code]: r["count"] for r in df.groupBy(code).count().collect()}
+        n = sum(counts.values())
+        weight = F.lit(None).cast("double")
+        for value, size in counts.items():
+            weight = F.when(F.col(code) == F.lit(value), F.lit(n / (len(counts) * size))).otherwise(weight)
+        return df.withColumn(name, weight)
     per_class = df.groupBy(*keys, code).agg(F.count(F.lit(1)).alias("_nc"))
     of_key = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
     balanced = F.sum("_nc").over(of_key) / (F.count(F.lit(1)).over(of_key) * F.col("_nc"))

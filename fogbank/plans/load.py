@@ -19,8 +19,9 @@ from fogbank.sources.grid import output_prefix, read_rows
 
 @dataclass
 class Loaded:
-    """``obs``: (file, ts, measures); ``labels``: (file, ts, location_id, ordinal, name, cell, code);
-    ``dated``: every data row with its parsed datetime, for the reports on what was dropped."""
+    """``obs``: (file, ts, measures); ``labels``: (file, ts, location_id, letter, ordinal, name, cell, code);
+    ``locations``: (file, location_id, letter, c, ordinal, name). A column letter says nothing outside its file, so
+    ``location_id`` is the file and the letter. ``dated``: every data row with its parsed datetime, for the reports on what was dropped."""
 
     obs: DataFrame
     labels: DataFrame
@@ -64,13 +65,16 @@ def load_rows(rows: DataFrame, layout: str = "auto") -> Loaded:
     obs = kept.select("file", "ts", *[number(field(f"c_{m}")).alias(m) for m in K.MEASURES],
                       wind_degrees(field(f"c_{K.WIND_DIRECTION}")).alias(K.WIND_DIRECTION))
     # The sheet's location columns travel as one array per file, so no row is shuffled for them.
-    places = found.locations.groupBy("file").agg(
-        F.collect_list(F.struct("location_id", "ordinal", "name", "c")).alias("_places"))
+    locations = found.locations.select(
+        "file", F.concat_ws("!", "file", "location_id").alias("location_id"), F.col("location_id").alias("letter"),
+        "c", "ordinal", "name")
+    places = locations.groupBy("file").agg(
+        F.collect_list(F.struct("location_id", "letter", "ordinal", "name", "c")).alias("_places"))
     labels = (kept.join(places, "file").select("file", "ts", "fields", F.explode("_places").alias("_p"))
-              .select("file", "ts", "_p.location_id", "_p.ordinal", "_p.name",
+              .select("file", "ts", "_p.location_id", "_p.letter", "_p.ordinal", "_p.name",
                       F.get("fields", F.col("_p.c")).alias("cell"))
               .withColumn("code", phenomenon_code("cell")))
-    return Loaded(obs, labels, found.locations, found, dated)
+    return Loaded(obs, labels, locations, found, dated)
 
 
 def load_station_files(spark: SparkSession, paths: str | Sequence[str], layout: str = "auto",

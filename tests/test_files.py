@@ -5,33 +5,31 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fogbank.operators import layout
+from fogbank.operators import layout, panels
 from fogbank.plans.load import load_rows, load_station_files
 from fogbank.sources import exports, grid
 from fogbank.sources.coordinates import read_coordinates
 
-HEADER = ["年月日時", "気温(℃)", "品質情報", "均質番号", "降水量(mm)", "現象なし情報", "風速(m/s)", "風向",
-          "露点温度(℃)", "相対湿度(％)", None, None, None]
+LINE = ["年月日時", "相対湿度(％)", "品質情報", "露点温度(℃)", "気温(℃)", "風向", "風速(m/s)", "備考", "降水量(mm)", None, None, None]
 
 
-def observatory_rows():
-    rows = [["只見川 観測データ"] + [None] * 12, [None] * 10 + ["伊南川合流点", "柴倉橋", "堅盤橋"], HEADER]
-    for i in range(24):
-        rows.append([f"2024年7月1日{i + 1}時", f"{20.0 + i * 0.1:.1f}", "8", "1", "0.0", None, "1.2", "南南西", "18.0",
-                     "88", "/", "1", None])
+def valley():
+    """36 hours of November, dated with the hours 1 to 24; titles and place names stand above the header line."""
+    rows = [["谷の記録"], ["2023年度"], [None] * 9 + ["北谷", "南谷", "東谷"], LINE]
+    for hour in range(36):
+        rows.append([f"2023年11月{5 + hour // 24}日{hour % 24 + 1}時", str(70 + hour % 20), "5", "6.5", str(12.5 - hour / 4), "東", "0.8",
+                     None, None if hour % 6 else "0.5", "4" if hour % 9 == 0 else "/", None, "7"])
     return rows
 
 
-def production_rows(extra_headers=(), extra_values=()):
-    blank = [None] * (10 + len(extra_headers))
-    rows = [["ダウンロードした時刻:2026/06/30 17:09:05"] + blank[1:],
-            [None, "只見", "只見", "只見", "只見", "只見", "只見", None, "A橋", "B橋", *extra_headers],
-            ["年月日時", "気温(°C)", "降水量(mm)", "風速(m/s)", "風速(m/s)", "露点温度(°C)", "相対湿度(%)"],
-            [None, None, None, None, "風向"], [None, "品質情報", None, "品質情報"]]
-    for i in range(300):
-        t = dt.datetime(2024, 6, 1) + dt.timedelta(hours=i)
-        rows.append([t.strftime("%Y-%m-%d %H:%M:%S"), "20.0", "0.0", "1.2", "南南西", "18.0", "90", None,
-                     "/" if i % 5 else "2", "/" if i % 7 else "1", *[v(i) for v in extra_values]])
+def plain_sheet(*extra):
+    """120 hours of March below a header with a line of remarks; ``extra`` are (header, value of the hour) pairs."""
+    rows = [["年月日時", "風速(m/s)", None, "気温(℃)", "湿度(%)", "露点(℃)", "雨と降水(mm)", "沢口", *[h for h, _ in extra]],
+            [None, None, "風向", None, None, None, "均質番号"]]
+    for hour in range(120):
+        t = dt.datetime(2025, 3, 9) + dt.timedelta(hours=hour)
+        rows.append([t.strftime("%Y/%m/%d %H:%M"), "2.4", "西北西", "3.0", "64", "-1.5", "0", "5" if hour % 4 == 1 else "／",
+                     *[v(hour) for _, v in extra]])
     return rows
 
 
@@ -42,62 +40,68 @@ def as_rows(spark, tables):
 
 @pytest.fixture(scope="module")
 def found(spark):
-    tables = {"a": observatory_rows(), "b": production_rows(
-        ["水温", "水温(℃)", "取水口", "C橋"],
-        [lambda i: f"{8.0 + (i % 40) * 0.05:.1f}", lambda i: f"{9.0 + (i % 40) * 0.05:.1f}",
-         lambda i: f"{12.3 + i * 0.01:.2f}", lambda i: None])}
-    return load_rows(as_rows(spark, tables))
+    return load_rows(as_rows(spark, {"v": valley(), "w": plain_sheet(
+        ("水位", lambda h: "2"), ("堰", lambda h: f"{3 + h / 10:.1f}5"), ("岸", lambda h: None))}))
 
 
 def test_measure_columns(found):
     files = {r.file: r for r in found.layout.files.collect()}
-    a, b = files["a"], files["b"]
-    assert (a.header_row, a.dt_col, a.data_start, a.source) == (2, 0, 3, "auto")
-    assert (a.c_temp, a.c_rain, a.c_wind, a.c_dew, a.c_rh, a.c_wind_deg) == (1, 4, 6, 8, 9, 7)
-    # Columns B and D carry 品質情報 in a sub-header row, which makes them metadata.
-    assert (b.header_row, b.data_start, b.c_temp, b.c_rain, b.c_wind, b.c_wind_deg) == (2, 5, None, 2, 4, None)
+    v, w = files["v"], files["w"]
+    assert (v.header_row, v.dt_col, v.data_start, v.source) == (3, 0, 4, "auto")
+    assert (v.c_rh, v.c_dew, v.c_temp, v.c_wind_deg, v.c_wind, v.c_rain) == (1, 3, 4, 5, 6, 8)
+    # The remark in the second line makes the rain column metadata; the wind direction is named there only.
+    assert (w.header_row, w.data_start, w.c_wind, w.c_wind_deg, w.c_temp, w.c_rh, w.c_dew, w.c_rain) == (0, 2, 1, 2, 3, 4, 5, None)
 
 
 def test_location_columns(found):
     rows = found.locations.orderBy("file", "ordinal").collect()
-    assert [(r.location_id, r.name) for r in rows if r.file == "a"] == [
-        ("K", "伊南川合流点"), ("L", "柴倉橋"), ("M", "堅盤橋")]
-    assert [r.name for r in rows if r.file == "b"] == ["A橋", "B橋", "C橋"]
+    assert [(r.location_id, r.letter, r.name) for r in rows if r.file == "v"] == [
+        ("v!J", "J", "北谷"), ("v!K", "K", "南谷"), ("v!L", "L", "東谷")]
+    assert [r.name for r in rows if r.file == "w"] == ["沢口", "岸"]
 
 
 def test_turned_away_columns(found):
-    rows = {r.header: r.reason for r in found.layout.excluded.filter("file = 'b'").collect()}
-    assert set(rows) == {"水温", "取水口"} or "取水口" in rows
-    assert rows["取水口"].startswith("現象コード") and "12.30" in rows["取水口"]
+    rows = {r.header: r.reason for r in found.layout.excluded.filter("file = 'w'").collect()}
+    assert rows["水位"] == "header-not-a-location"
+    assert rows["堰"] == "values-not-codes: 3.05, 3.15, 3.25, 3.35, 3.45"
+    assert found.layout.excluded.filter("file = 'v'").isEmpty()
 
 
 def test_loaded_tables(found):
-    obs = found.obs.filter("file = 'a'").orderBy("ts").collect()
-    assert len(obs) == 24 and obs[0].ts == dt.datetime(2024, 7, 1, 1) and obs[-1].ts == dt.datetime(2024, 7, 2)
-    assert (obs[0].temp, obs[0].rain, obs[0].wind_deg, obs[0].pressure) == (20.0, 0.0, 202.5, None)
-    codes = {(r.file, r.location_id): (r.n, r.codes) for r in found.labels.groupBy("file", "location_id").agg(
+    obs = found.obs.filter("file = 'v'").orderBy("ts").collect()
+    assert len(obs) == 36 and obs[0].ts == dt.datetime(2023, 11, 5, 1) and obs[23].ts == dt.datetime(2023, 11, 6)
+    assert (obs[2].temp, obs[0].rain, obs[1].rain, obs[0].wind_deg, obs[0].pressure) == (12.0, 0.5, None, 90.0, None)
+    codes = {r.location_id: (r.n, r.codes) for r in found.labels.groupBy("location_id").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_set("code")).alias("codes")).collect()}
-    assert codes[("a", "K")] == (24, [0]) and codes[("a", "L")] == (24, [1]) and codes[("a", "M")] == (24, [])
-    assert codes[("b", "I")] == (300, [0, 2])
+    assert codes == {"v!J": (36, [0, 4]), "v!K": (36, []), "v!L": (36, [7]), "w!H": (120, [0, 5]), "w!K": (120, [])}
+
+
+def test_the_same_letter_in_two_files_is_two_locations(spark):
+    loaded = load_rows(as_rows(spark, {"n": valley(), "m": valley()}))
+    ids = [r.location_id for r in loaded.locations.filter("letter = 'J'").collect()]
+    assert sorted(ids) == ["m!J", "n!J"]
+    named = panels.named_predictions(loaded.labels.select("location_id", "ts", "code", F.lit(0.2).alias("fog_prob")),
+                                     loaded.locations, loaded.locations.select("location_id", F.lit(0.4).alias("threshold")))
+    assert named.count() == loaded.labels.count() == 2 * 3 * 36
 
 
 def test_left_out_years(spark):
-    rows = observatory_rows()
-    for row in rows[4:]:
-        row[0] = row[0].replace("2024年", "")
-    obs = load_rows(as_rows(spark, {"a": rows, "b": observatory_rows()})).obs
+    bare = valley()
+    for row in bare[5:]:
+        row[0] = row[0].removeprefix("2023年")
+    obs = load_rows(as_rows(spark, {"bare": bare, "full": valley()})).obs
     ends = obs.groupBy("file").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n")).collect()
     assert {(r.file, r.a, r.z, r.n) for r in ends} == {
-        (f, dt.datetime(2024, 7, 1, 1), dt.datetime(2024, 7, 2), 24) for f in "ab"}
+        (f, dt.datetime(2023, 11, 5, 1), dt.datetime(2023, 11, 6, 12), 36) for f in ("bare", "full")}
 
 
 def test_fixed_layout(spark):
-    found = layout.detect(as_rows(spark, {"a": observatory_rows()}), "fixed")
+    found = layout.detect(as_rows(spark, {"v": valley()}), "fixed")
     f = found.files.first()
-    assert (f.source, f.c_temp, f.c_rain, f.c_wind, f.data_start) == ("fixed", 1, 4, 7, 3)
+    assert (f.source, f.c_temp, f.c_rain, f.c_wind, f.data_start) == ("fixed", 1, 4, 7, 4)
     assert found.locations.count() == 0
     with pytest.raises(ValueError):
-        layout.detect(as_rows(spark, {"a": observatory_rows()}), "guess")
+        layout.detect(as_rows(spark, {"v": valley()}), "guess")
 
 
 def csv_text(rows):
@@ -108,8 +112,9 @@ def csv_text(rows):
 
 
 def test_csv_in_three_encodings(spark, tmp_path):
-    rows = observatory_rows()
-    rows[1][10] = '伊南川\n"合流"点'
+    width = len(LINE)
+    rows = [row + [None] * (width - len(row)) for row in valley()]
+    rows[2][9] = '北\n"奥"谷'
     text = csv_text(rows) + "\n  \n"
     for name, encoding in (("甲 x_1", "utf-8"), ("b", "utf-8-sig"), ("c", "cp932")):
         (tmp_path / f"{name}.csv").write_bytes(text.encode(encoding))
@@ -119,8 +124,8 @@ def test_csv_in_three_encodings(spark, tmp_path):
         fields = [r.fields for r in read if r.file.endswith(f"/{name}.csv")]
         assert fields == rows
     loaded = load_station_files(spark, str(tmp_path))
-    assert loaded.obs.count() == 72 and loaded.labels.count() == 216
-    assert [r.name for r in loaded.locations.filter("location_id = 'K'").select("name").distinct().collect()] == ['伊南川"合流"点']
+    assert loaded.obs.count() == 3 * 36 and loaded.labels.count() == 3 * 3 * 36
+    assert [r.name for r in loaded.locations.filter("letter = 'J'").select("name").distinct().collect()] == ['北"奥"谷']
     prefix = loaded.layout.files.select(grid.output_prefix("file").alias("p")).collect()
     assert "b" in {r.p for r in prefix}
 
@@ -149,9 +154,9 @@ def test_bad_inputs(spark, tmp_path):
 
 def test_coordinates(spark, tmp_path):
     p = tmp_path / "coords.csv"
-    p.write_text("地点名,緯度,経度\n只見,1,1\n 只見 ,37.3,139.3\n田子倉,37.4,139.2\n空,,139\n字,x,139\n", encoding="utf-8")
+    p.write_text("地点名,緯度,経度\n北谷,0,0\n 北谷 ,36.8,138.7\n東谷,36.9,138.6\n無,,138\n文,n,138\n", encoding="utf-8")
     rows = {r.name: (r.lat, r.lon) for r in read_coordinates(spark, str(p)).collect()}
-    assert rows == {"只見": (37.3, 139.3), "田子倉": (37.4, 139.2)}
+    assert rows == {"北谷": (36.8, 138.7), "東谷": (36.9, 138.6)}
     q = tmp_path / "xy.csv"
     q.write_text("x,y\n1,2\n")
     with pytest.raises(ValueError):
