@@ -94,6 +94,28 @@ def _(spark, d):
     return observations(spark, d).agg(*[F.count(c).alias(c) for c in ("pressure", "visibility", "temp")])
 
 
+ALWAYS = [*K.BASE_FEATURES, *K.WIND_FEATURES, *K.LAG_FEATURES, K.SUN_FEATURE]
+
+
+@query("p10_chosen_features", "ob", f"""+ cov AS (SELECT sheet, count(*) AS n, count(pressure) AS p, count(visibility) AS v FROM ob GROUP BY sheet),
+  tot AS (SELECT sum(n) AS n, sum(CASE WHEN p >= {K.OPTIONAL_COVERAGE}::DOUBLE * n THEN n ELSE 0 END) AS p,
+    sum(CASE WHEN v >= {K.OPTIONAL_COVERAGE}::DOUBLE * n THEN n ELSE 0 END) AS v FROM cov)
+  SELECT feature, CAST(n AS BIGINT) AS n FROM (SELECT unnest({ALWAYS}) AS feature, n FROM tot
+    UNION ALL SELECT 'pressure', p FROM tot WHERE p > 0 UNION ALL SELECT 'visibility', v FROM tot WHERE v > 0)""")
+def _(spark, d):
+    obs = observations(spark, d).withColumn("wind_deg", text.wind_degrees("wind_word"))
+    prepared = features.prepare(obs, ["sheet"])
+    names = features.choose_features(prepared)
+    counts = prepared.agg(*[F.count(f).alias(f) for f in names])
+    return counts.unpivot([], names, "feature", "n")
+
+
+@query("p11_absent_features", "ob", f"""SELECT sheet, {TS}, rain, CAST(NULL AS DOUBLE) AS sunshine, CAST(NULL AS DOUBLE) AS radiation FROM ob""")
+def _(spark, d):
+    obs = observations(spark, d).select("sheet", stamp("ts").alias("ts"), "rain")
+    return features.with_columns_for(obs, ["rain", "sunshine", "radiation"])
+
+
 @query("m1_features", "ob", f"""+ {LAGS}, m AS (SELECT sheet, median(pressure) AS mp FROM ob GROUP BY sheet)
   SELECT sheet, {TS}, round(temp - dew, 6) + 0.0 AS dew_gap, round(coalesce(temp - t1, 0), 6) + 0.0 AS temp_change_1h,
     round(coalesce(temp - t3, 0), 6) + 0.0 AS temp_change_3h, round(coalesce(w3, wind), 6) AS wind_mean_3h,

@@ -18,6 +18,7 @@ from fogbank.functions.classes import best_code, blend, fog_probability
 from fogbank.models.components import (BOOST_SPACE, FOREST_SPACE, Boosted, BoostParams, Forest, ForestParams, assemble,
                                        draws, params_of)
 from fogbank.operators import metrics, splits
+from fogbank.operators.features import with_columns_for
 from fogbank.operators.segments import time_segment
 from fogbank.session import materialise, new_table_path
 
@@ -81,8 +82,8 @@ class FogModel:
 
     def slots(self, df: DataFrame) -> DataFrame:
         """Add the slot arrays ``forest`` and ``boosted`` (when there is one) and ``mixed``."""
-        known = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(self.medians.get(f, 0.0)))
-                                if f in df.columns else F.lit(self.medians.get(f, 0.0)) for f in self.features})
+        known = with_columns_for(df, self.features).withColumns({
+            f: F.coalesce(F.col(f).cast("double"), F.lit(self.medians.get(f, 0.0))) for f in self.features})
         out = assemble(known, self.features)
         for part in (self.forest, self.boosted):
             if part is not None:
