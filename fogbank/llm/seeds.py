@@ -57,23 +57,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     The two numbers are of the best stretch of ``span`` item tokens.
     """
     items = (benchmark.select(F.col(item).alias("item_id"), token_hashes(F.col(item_text).cast("string")).alias("tokens"))
-             .where(F.size("tokens") >= least))
+             .where(F.size("tokens") >= least).withColumn("n", F.size("tokens")))
     # The place in the item goes along as a number; the join itself needs one row per seed and item place.
-    wanted = seeds_of(items, ["item_id"]).select("item_id", F.col("at").alias("item_at"), "seed").distinct()
+    wanted = seeds_of(items, ["item_id", "n"]).select("item_id", "n", F.col("at").alias("item_at"), "seed").distinct()
     wanted = materialise(wanted, "benchmark-seeds")
-    small = 24 * wanted.count() <= broadcast_bytes
+    small = 32 * wanted.count() <= broadcast_bytes
     near = F.broadcast if small else (lambda df: df)
     tokens = docs.select(F.col(key).alias("doc_id"), token_hashes(F.col(text).cast("string")).alias("tokens"))
     hits = (seeds_of(tokens, ["doc_id"]).join(near(wanted), "seed")
-            .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
+            .select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     hits = materialise(hits, "benchmark-hits")
 
     # Only documents with a hit are read again; null ids meet null ids.
     again = tokens.join(hits.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-    found = again.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    both = found.join(items.select(F.col("item_id").alias("of"), F.col("tokens").alias("item")), F.col("item_id").eqNullSafe(F.col("of")))
-    same = F.expr("transform(item, (t, j) -> CASE WHEN diagonal + j >= 0 AND diagonal + j < size(tokens) "
-                  "AND element_at(tokens, CAST(diagonal + j + 1 AS INT)) = t THEN 1 ELSE 0 END)")
+    # A hit goes on with the piece of the document that the item would cover, never with the whole text.
+    piece = F.expr("slice(tokens, greatest(diagonal, 0) + 1, n)")
+    found = (again.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+             .select("doc_id", "item_id", "n", F.least("diagonal", F.lit(0)).alias("shift"), piece.alias("piece")))
+    both = found.join(items.select(F.col("item_id").alias("of"), F.col("n").alias("of_n"), F.col("tokens").alias("item")),
+                      F.col("item_id").eqNullSafe(F.col("of")) & (F.col("n") == F.col("of_n")))
+    same = F.expr("transform(item, (t, j) -> CASE WHEN shift + j >= 0 AND shift + j < size(piece) "
+                  "AND element_at(piece, CAST(shift + j + 1 AS INT)) = t THEN 1 ELSE 0 END)")
     wide = F.expr(f"least(size(same), {span})")
     best = F.expr("array_max(transform(sequence(0, size(same) - wide), i -> aggregate(slice(same, i + 1, wide), 0, (s, x) -> s + x)))")
     return (both.select("doc_id", "item_id", same.alias("same")).withColumn("wide", wide)
