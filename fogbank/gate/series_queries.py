@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions import classes, text
-from fogbank.functions.dates import DAY_US
+from fogbank.functions.dates import DAY_US, HOUR_US
 from fogbank.gate.catalog import query
 from fogbank.gate.views import (DEGREES, events, fine_stamp, labels, limits, observations, payloads, place_names,
                                 predictions, r6, scored, stamp, table)
 from fogbank.operators import cleaning, features, forecast, metrics, panels, quality, splits
+from fogbank.operators.segments import fitting_width
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 FINE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
@@ -50,7 +51,8 @@ def _(spark, d):
   INTERVAL '2 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW), 6) AS mean_3h FROM ev""")
 def _(spark, d):
     e = events(spark, d).select("event_id", "location_id", "ts", "value")
-    out = features.rolling(e, ["location_id"], {"mean_3h": (F.avg("value"), 3)}, width_us=2 * DAY_US)
+    width = fitting_width(e, ["location_id"], "ts", rows=2_000, widest=2 * DAY_US, least=3 * HOUR_US)
+    out = features.rolling(e, ["location_id"], {"mean_3h": (F.avg("value"), 3)}, width_us=width)
     return out.select("event_id", r6("mean_3h").alias("mean_3h"))
 
 
@@ -58,7 +60,8 @@ def _(spark, d):
   ORDER BY ts RANGE BETWEEN INTERVAL '23 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW), 6) + 0.0 AS sum_24h FROM ev""")
 def _(spark, d):
     e = events(spark, d).select("event_id", "location_id", "ts", F.when(F.col("k") % 3 != 0, F.col("value")).alias("v"))
-    out = features.rolling(e, ["location_id"], {"sum_24h": (F.sum(F.coalesce("v", F.lit(0.0))), 24)}, width_us=2 * DAY_US)
+    width = fitting_width(e, ["location_id"], "ts", rows=2_000, widest=2 * DAY_US, least=DAY_US)
+    out = features.rolling(e, ["location_id"], {"sum_24h": (F.sum(F.coalesce("v", F.lit(0.0))), 24)}, width_us=width)
     return out.select("event_id", r6("sum_24h").alias("sum_24h"))
 
 
@@ -185,7 +188,9 @@ def _(spark, d):
 
 @query("w7_block_ids", "ev", f"{BK} SELECT location_id, {FINE}, CAST(block AS BIGINT) AS block_id FROM b")
 def _(spark, d):
-    out = quality.recorded_blocks(slash_events(spark, d), ["location_id"], gap_hours=24.0, width_us=5 * DAY_US)
+    rows = slash_events(spark, d)
+    width = fitting_width(rows, ["location_id"], "ts", rows=2_000, widest=5 * DAY_US)
+    out = quality.recorded_blocks(rows, ["location_id"], gap_hours=24.0, width_us=width)
     return out.select("location_id", fine_stamp("ts").alias("ts"), "block_id")
 
 
@@ -378,7 +383,9 @@ def _(spark, d):
 @query("w10_pooled_split", "sc", """SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor(count(*) OVER () * 0.8::DOUBLE)
   THEN 'train' ELSE 'test' END AS split FROM sc""")
 def _(spark, d):
-    out = splits.temporal_split(scored(spark, d).select("event_id", "ts"), [], ties=["event_id"], width_us=DAY_US // 24)
+    rows = scored(spark, d).select("event_id", "ts")
+    width = fitting_width(rows, [], "ts", rows=1_000, widest=DAY_US, least=1_000)
+    out = splits.temporal_split(rows, [], ties=["event_id"], width_us=width)
     return out.select("event_id", "split")
 
 

@@ -43,8 +43,16 @@ def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     """Linear interpolation by row position; the ends take the nearest value.
 
     Neighbouring values are looked up inside a segment; one row per segment carries the
-    nearest values and the row count across its borders.
+    nearest values and the row count across its borders. Only columns with both nulls and
+    values have anything to fill: one aggregate over the rows tells which they are.
     """
+    if not columns:
+        return df
+    held = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
+    whole, columns = columns, [c for c in columns if 0 < held[c] < held["_n"]]
+    df = df.withColumns({c: F.col(c).cast("double") for c in whole})
+    if not columns:
+        return df
     cut = df.withColumn("_seg", guarded(keys, time_segment(ts, width_us)))
     inside = Window.partitionBy(*keys, "_seg").orderBy(ts)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -132,11 +140,21 @@ def forecast_for_each(chosen: DataFrame, own: DataFrame, default: DataFrame,
                       key: str = "location_id") -> DataFrame:
     """Every location with the rows of its forecast.
 
-    Locations with their own forecast meet it by id. The others all share the default, which
-    is one forecast horizon long: joined by itself it is small enough to be broadcast, and no
-    task has to hold everything that shares it.
+    Locations with their own forecast meet it by id. The others all share the default.
     """
     theirs = chosen.filter(F.col("source") != "default").join(own, key)
-    shared = chosen.filter(F.col("source") == "default").join(
-        default.withColumn("source", F.lit("default")), "source")
+    shared = with_horizon(chosen.filter(F.col("source") == "default"), default)
     return theirs.unionByName(shared, allowMissingColumns=True)
+
+
+def with_horizon(locations: DataFrame, horizon: DataFrame, at_most: int = K.HORIZON_ROWS) -> DataFrame:
+    """Every location with every row of one forecast horizon; that many rows are the result.
+
+    The horizon is counted, broadcast, and met in place, so no location moves. More than ``at_most`` rows are an error:
+    that is no forecast.
+    """
+    n = horizon.limit(at_most + 1).count()
+    if n > at_most:
+        raise ValueError(f"a forecast has at most {at_most} rows, this one has more")
+    return locations.withColumn("source", F.lit("default")).join(
+        F.broadcast(horizon.withColumn("source", F.lit("default"))), "source")

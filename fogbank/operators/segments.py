@@ -10,7 +10,7 @@ reach).
 The segment width is an argument of every operator. Observation tables hold one row per
 key and timestamp, so a segment holds at most width / grain rows: with the default of
 ``WIDTH_US`` and the minute grain of station clocks that is 46,080 rows, whatever share of
-the table the key owns.
+the table the key owns. For denser rows ``fitting_width`` chooses the width from counts.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogbank.functions.dates import DAY_US, micros
+from fogbank.functions.dates import DAY_US, HOUR_US, micros
 
 WIDTH_US = 32 * DAY_US
+MINUTE_US = HOUR_US // 60
 ROWS_PER_SEGMENT = 50_000
 
 
@@ -30,6 +31,22 @@ def time_segment(t: Column | str, width_us: int = WIDTH_US) -> Column:
     return F.floor(micros(t) / width_us).cast("bigint")
 
 
+def fitting_width(df: DataFrame, keys: Sequence[str], t: str, rows: int = ROWS_PER_SEGMENT,
+                  widest: int = WIDTH_US, least: int = MINUTE_US) -> int:
+    """The widest of ``widest``, its half, quarter ... (not below ``least``) with no segment of more than ``rows`` rows.
+
+    One aggregate: rows per finest segment combine in the tasks, then add up to the segments of every width. The driver
+    gets one number per width. Where even the finest is too full, the finest is returned: that many rows lie that close.
+    """
+    halvings = max(0, (widest // least).bit_length() - 1)
+    finest = widest >> halvings
+    counts = df.groupBy(*keys, F.floor(micros(t) / finest).cast("bigint").alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = counts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(halvings))))
+    full = (steps.groupBy(*keys, "_k", F.expr("shiftright(_slot, _k)").alias("_slot")).agg(F.sum("_n").alias("_n"))
+            .groupBy("_k").agg(F.max("_n").alias("_n")).filter(F.col("_n") <= rows).agg(F.max("_k")).first()[0])
+    return finest << (full or 0)
+
+
 def row_segment(position: Column | str, width: int = ROWS_PER_SEGMENT) -> Column:
     c = F.col(position) if isinstance(position, str) else position
     return F.floor(c / width).cast("bigint")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
+from fogbank.functions.dates import DAY_US
 from fogbank.models.training import (Plan, Trained, feature_importances, load_or_train, predict_forecast,
                                      train_locations)
 from fogbank.operators import features as feat
 from fogbank.operators import metrics, panels, quality, splits
-from fogbank.operators.forecast import choose_source, forecast_for_each, locate
+from fogbank.operators.forecast import choose_source, forecast_for_each, locate, with_horizon
+from fogbank.operators.segments import fitting_width
 from fogbank.sources.forecast_json import read_forecasts
 
 
@@ -23,11 +25,13 @@ def training_rows(obs: DataFrame, labels: DataFrame, sheet: Sequence[str] = ("fi
     Features belong to a sheet and are computed before labels multiply the rows. A row is dropped for a required
     measure it lacks, never for an optional one that its sheet does not record.
     """
-    prepared, marks = feat.complete_optional(feat.prepare(obs, sheet, lat=lat, lon=lon))
+    width = fitting_width(obs, sheet, "ts", least=DAY_US)
+    prepared, marks = feat.complete_optional(feat.prepare(obs, sheet, lat=lat, lon=lon, width_us=width))
     names = feat.choose_features(prepared) + marks
     recorded = labels.filter(F.col("code").isNotNull()).select(*sheet, "ts", "location_id", "code")
-    blocks = quality.suspicious_blocks(labels, ["location_id"])
-    kept = quality.drop_blocks(recorded, blocks, ["location_id"])
+    width = fitting_width(labels, ["location_id"], "ts")
+    blocks = quality.suspicious_blocks(labels, ["location_id"], width_us=width)
+    kept = quality.drop_blocks(recorded, blocks, ["location_id"], width_us=width)
     joined = kept.join(prepared.select(*sheet, "ts", *names), [*sheet, "ts"])
     return joined.na.drop(subset=names).select("location_id", "ts", "code", *names), names
 
@@ -50,8 +54,7 @@ def forecast_rows(locations: DataFrame, default: DataFrame, own: DataFrame | Non
     """
     base = _prepared_forecast(default.withColumn("location_id", F.lit("default")))
     if own is None:
-        return locations.select("location_id").withColumn("source", F.lit("default")).join(
-            base.withColumnRenamed("location_id", "source"), "source").drop("source")
+        return with_horizon(locations.select("location_id"), base.drop("location_id")).drop("source")
     mine = _prepared_forecast(own)
     chosen = choose_source(locations.select("location_id"), own, default)
     return forecast_for_each(chosen, mine, base.drop("location_id")).drop("source", "mismatched")

@@ -55,6 +55,27 @@ def test_a_key_with_most_rows_is_cut_and_stays_exact(spark):
     assert rolled.count() == 30_000 and rolled.filter("k = 'hot'").agg(F.max("n")).first()[0] == 120
 
 
+def test_widths_follow_the_counts(spark):
+    """One key holds a third of the rows inside a few hours: its segments are cut until none holds too many."""
+    from fogbank.operators.segments import fitting_width, time_segment
+    rows = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"),
+        F.timestamp_micros(F.when(F.col("id") % 3 == 0, F.col("id") * 1_000_000).otherwise(F.col("id") * 200_000_000)).alias("ts"))
+    assert fitting_width(rows, ["k"], "ts", rows=12_000) == 32 * 86_400_000_000
+    width = fitting_width(rows, ["k"], "ts", rows=500)
+    most = lambda w: rows.groupBy("k", time_segment("ts", w)).count().agg(F.max("count")).first()[0]
+    assert most(width) <= 500 < most(2 * width)
+    assert fitting_width(rows, [], "ts", rows=1) == 32 * 86_400_000_000 >> 15
+
+
+def test_a_horizon_is_counted_before_it_is_shared(spark):
+    from fogbank.operators.forecast import with_horizon
+    places = spark.createDataFrame([("a",), ("b",)], "location_id string")
+    assert with_horizon(places, spark.range(5).toDF("h"), at_most=5).count() == 10
+    with pytest.raises(ValueError, match="at most 4 rows"):
+        with_horizon(places, spark.range(5).toDF("h"), at_most=4)
+
+
 def test_null_key_is_an_error(spark):
     df = spark.createDataFrame([(None, T0, 1)], "location_id string, ts timestamp, code int")
     with pytest.raises(Exception, match="null in key column"):
@@ -74,8 +95,11 @@ def test_medians_with_outliers(spark):
     values.sort()
     n = len(values)
     expected = (values[(n - 1) // 2] + values[n // 2]) / 2
-    for levels in (1, 2):
-        assert features.exact_medians(df, ["k"], ["x"], levels=levels).first()["median"] == pytest.approx(expected, abs=0)
+    for accuracy in (100, 10_000):
+        assert features.exact_medians(df, ["k"], ["x"], accuracy=accuracy).first()["median"] == pytest.approx(expected, abs=0)
+    crowded = spark.range(20_001).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 20_001).alias("x"))
+    assert features.exact_medians(crowded, ["k"], ["x"], accuracy=200).first()["median"] == 10_001 / 20_001
+    assert features.exact_medians(crowded.withColumn("x", F.lit(None).cast("double")), ["k"], ["x"]).first()["median"] is None
 
 
 def test_thresholds(spark):
