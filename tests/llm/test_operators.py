@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -274,6 +276,37 @@ def test_planted_leaks_with_substitutions(spark):
     assert rows_of(seeds.overlaps(docs, bench, broadcast_bytes=0)) == rows_of(seeds.overlaps(docs, bench))
 
 
+def test_every_accepted_substitution_keeps_a_seed():
+    for n in range(8, seeds.SPAN + 1):
+        for k in range(n - math.ceil(seeds.AGREE * n) + 1):
+            for lost in combinations(range(n), k):
+                assert any(not {at + i for i in mask} & set(lost) for mask in seeds.MASKS for at in range(n - max(mask))), (n, lost)
+
+
+def test_leaks_with_accepted_substitutions_by_brute_force(spark):
+    """Overlaps of whole tables, computed without masks."""
+    rng = random.Random(8)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (8, 9, 12, 13, 20, 40)}
+    texts = {}
+    for n, words in items.items():
+        for first in range(4):
+            texts[len(texts)] = ["CHANGED" if k % 4 == first else w for k, w in enumerate(words)]
+        for _ in range(20):
+            lost = set(rng.sample(range(n), rng.randrange(1, n // 4 + 2)))
+            texts[len(texts)] = ["before", *("CHANGED" if k in lost else w for k, w in enumerate(words)), "after"]
+    want = set()
+    for i, words in texts.items():
+        for n, item in items.items():
+            wide = min(n, 13)
+            for diagonal in range(-n, len(words)):
+                same = [0 <= diagonal + j < len(words) and words[diagonal + j] == w for j, w in enumerate(item)]
+                if any(sum(same[j: j + wide]) >= math.ceil(0.75 * wide) for j in range(n - wide + 1)):
+                    want.add((i, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    docs = table(spark, [(i, " ".join(w), None, None) for i, w in texts.items()])
+    assert {(r[0], r[1]) for r in rows_of(seeds.overlaps(docs, bench))} == want and len(want) > 40
+
+
 @pytest.mark.parametrize("name", ["op8_decontaminate", "op9_line_quality"])
 def test_oracles(spark, name):
     con = duckdb.connect()
