@@ -22,6 +22,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -260,10 +262,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Of repeated rows (one id several times) one stays. A row without an id stays if no row of its class has one, and then
     one per class.
     """
-    rows = materialise(classed(docs, key, text, width, most, limit), "simhash-classes")
+    return first_of_each(docs, classed(docs, key, text, width, most, limit), key, text,
+                         lambda texts: text_fingerprints([t or "" for t in texts], width).view(np.int64))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, key: str, text: str, marks: Callable[[list], np.ndarray]) -> DataFrame:
+    """``one_of_each`` for given classes (``doc_id, fp, root, component_id``); ``marks`` gives the ``fp`` of texts."""
+    rows = materialise(rows, "near-classes")
     out_ids = rows.where("doc_id <> component_id").select("doc_id").distinct()
     again = materialise(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-                        .select("doc_id"), "simhash-repeated")
+                        .select("doc_id"), "near-repeated")
     kept = docs.where(F.col(key).isNotNull()).join(out_ids.withColumnRenamed("doc_id", "_out_id"), F.col(key) == F.col("_out_id"), "left_anti")
     if not again.isEmpty():
         other = again.withColumnRenamed("doc_id", "_again_id")
@@ -277,8 +285,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
         def make():
             def apply(chunk: pa.RecordBatch) -> pa.RecordBatch:
-                texts = [t or "" for t in chunk.column(text).to_pylist()]
-                return replaced(chunk, "_fp", pa.array(text_fingerprints(texts, width).view(np.int64)))
+                return replaced(chunk, "_fp", pa.array(marks(chunk.column(text).to_pylist())))
 
             return apply
 

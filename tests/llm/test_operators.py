@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fogbank.llm import html, katz, langid, lines, mixing, pii, queries, secrets, seeds, simhash, tokens
+from fogbank.llm import html, katz, langid, lines, mixing, pii, queries, secrets, seeds, similar, simhash, tokens
 from fogbank.llm.common import remainder
 
 SMALL = "/root/testdata/sf0.001"
@@ -185,6 +185,54 @@ def test_simhash_classes_by_brute_force(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
+def similar_classes(rows):
+    """Classes by the Jaccard similarity of 5-word shingles of all pairs."""
+    sets = {}
+    for i, t in rows.items():
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    label = {i: i for i in sets}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if b < a and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8:
+                p, q = sorted((top(a), top(b)))
+                label[q] = p
+    return {i: top(i) for i in sets}
+
+
+def test_pipeline_drops_edited_copies_by_brute_force(spark):
+    import corpus_pipeline
+
+    rows = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in similar_classes(rows).items() if i == c} and kept.columns == docs.columns
+
+
+def test_similar_texts_in_chains_and_odd_rows(spark, odd):
+    """Chains of copies, each edited further, whose ends are not alike; with and without leaders."""
+    rng, texts = random.Random(5), {}
+    for c in range(6):
+        words = [f"c{c}w{k}" for k in range(60)]
+        for _ in range(12):
+            texts[len(texts)] = " ".join(words)
+            words[rng.randrange(60)] = f"new{rng.random()}"
+    want = similar_classes(texts)
+    assert len(set(want.values())) < len(want)
+    docs = table(spark, [(i, t, None, None) for i, t in texts.items()])
+    for turns in (0, 1, 3):
+        assert {r["doc_id"]: r["component_id"] for r in similar.classed(docs, "doc_id", "text", 5, 0.8, turns).collect()} == want, turns
+    kept = similar.one_of_each(odd)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "5", "7", "8", "None"]) and kept.columns == odd.columns
+    assert similar.one_of_each(odd.limit(0)).collect() == []
+
+
 def test_links_survive_every_way_of_dealing(spark):
     """A tiny group limit sends the same close variants through all levels and the tiles."""
     rng = random.Random(2)
