@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm import html, katz, langid, lines, mixing, oracles, pii, secrets, seeds, simhash, tokens
+from fogbank.llm import audit, html, katz, langid, lines, mixing, oracles, pii, retrieval, secrets, seeds, simhash, spots, tokens
 from fogbank.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_language_id, op2_personal_data, op3_secret_scan, op4_token_counts, op5_simhash, op6_katz_scores, op7_html_text,
-    op8_decontaminate, op9_line_quality, op10_mix_sources)}
+    op8_decontaminate, op9_line_quality, op10_mix_sources, op11_filter_audit, op12_ranked_search, op13_spot_fingerprints)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-ORACLES: dict[str, str] = {"op8_decontaminate": oracles.DECONTAMINATE, "op9_line_quality": oracles.LINE_QUALITY}
+ORACLES: dict[str, str] = {"op8_decontaminate": oracles.DECONTAMINATE, "op9_line_quality": oracles.LINE_QUALITY,
+                           "op11_filter_audit": oracles.FILTER_AUDIT, "op12_ranked_search": oracles.RANKED_SEARCH, "op13_spot_fingerprints": oracles.FINGERPRINTS}
