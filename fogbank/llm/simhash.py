@@ -7,9 +7,10 @@ Links. Two fingerprints with at most ``most`` = 3 differing bits agree in one of
 distinct fingerprint goes to the four groups named by its blocks. A group is sorted by Gray rank, which puts similar
 patterns side by side. Runs of ``FAN`` entries get a node that holds the bits all of them share; bits already held by the
 node above are factored out, so that the differences found on the way down only add up. A search drops a whole node as
-soon as its accumulated differences pass ``most``. A group above ``group`` entries is dealt again by a block of its other
-bits, and again; what is still large (close variants of one text) is cut into tiles, and pairs of tiles are searched.
-Within a task a union of the links found keeps one row per fingerprint, so no group emits its pairs.
+soon as its accumulated differences pass ``most``, or when all its entries are known to be of the query's class. A group above
+``limit`` entries is dealt again by a block of its other bits, and again; what is still large (close variants of one text) is
+cut into tiles, and pairs of tiles are searched. Within a task a union of the links found keeps one row per fingerprint, so no
+group emits its pairs.
 
 Classes. The rows of all tasks form a graph over distinct fingerprints, contracted by alternating star steps with
 aggregates and joins; each step is written to the shared folder. Exact copies meet before any search: they share one
@@ -35,7 +36,7 @@ from fogbank.session import materialise
 
 MOST = 3
 FAN = 8
-GROUP = 2048
+GROUP = 8192
 #: Bits per block and level: 4 x 16 of all 64, 4 x 12 of the other 48, 4 x 9 of the other 36.
 LEVELS = (16, 12, 9)
 BITS_AT_ONCE = 1 << 15
@@ -108,14 +109,33 @@ class GrayIndex:
             mask, value, owner = shared, ones, owner[first]
         self.roots = owner
 
-    def search(self, queries: np.ndarray, root: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, entry) with at most ``most`` differing bits, each query below its own root."""
-        who, node = np.arange(len(queries)), root
-        spent = np.zeros(len(queries), dtype=np.int64)
+    def classes(self, label: np.ndarray) -> list[np.ndarray]:
+        """For the nodes of every level the class that all their entries have, or -1."""
+        out = [label]
+        for first, _ in self.children:
+            low, high = np.minimum.reduceat(out[-1], first), np.maximum.reduceat(out[-1], first)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def ends(self) -> list[np.ndarray]:
+        """For the nodes of every level the position of their last entry."""
+        out = [np.arange(len(self.levels[0][0]))]
+        for first, n in self.children:
+            out.append(out[-1][first + n - 1])
+        return out
+
+    def search(self, fp: np.ndarray, some: np.ndarray, root: np.ndarray, most: int, known: list[np.ndarray], ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, later entry) with at most ``most`` differing bits, for the entries ``some``, each below its own root.
+
+        A node whose entries all are of the query's class (``known``) is left out: it holds no new link.
+        """
+        queries, own = fp[some], known[0][some]
+        who, node = np.arange(len(some)), root
+        spent = np.zeros(len(some), dtype=np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             mask, value = self.levels[level]
             spent = spent + np.bitwise_count((queries[who] ^ value[node]) & mask[node])
-            keep = spent <= most
+            keep = (spent <= most) & (known[level][node] != own[who]) & (ends[level][node] > some[who])
             who, node, spent = who[keep], node[keep], spent[keep]
             if level:
                 first, n = self.children[level - 1]
@@ -123,7 +143,7 @@ class GrayIndex:
                 step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 node = np.repeat(first[node], each) + step
                 who, spent = np.repeat(who, each), np.repeat(spent, each)
-        return who, node
+        return some[who], node
 
 
 def merged(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -142,19 +162,22 @@ def merged(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
             label = up
 
 
-def linked(fp: np.ndarray, group: np.ndarray, most: int = MOST, at_once: int = 1 << 12) -> np.ndarray:
-    """For every entry the smallest entry (by position) of its class within its group."""
+def linked(fp: np.ndarray, group: np.ndarray, most: int = MOST, first: int = 1 << 6, at_once: int = 1 << 12) -> np.ndarray:
+    """For every entry the smallest entry (by position) of its class within its group.
+
+    Queries go in batches that grow from ``first`` to ``at_once``: what the early ones join, the later ones need not visit, so that
+    a family of close fingerprints costs about its size and not the number of its pairs.
+    """
     order = np.lexsort((gray_rank(fp), group))
     f, g = fp[order], group[order]
     index = GrayIndex(f, g)
-    root = np.searchsorted(index.roots, g)
-    label = np.arange(len(f))
-    for at in range(0, len(f), at_once):
-        some = np.arange(at, min(at + at_once, len(f)))
-        who, node = index.search(f[some], root[some], most)
-        a = some[who]
-        keep = a < node
-        label = merged(len(f), a[keep], node[keep], label)
+    root, ends = np.searchsorted(index.roots, g), index.ends()
+    label, at = np.arange(len(f)), 0
+    while at < len(f):
+        some = np.arange(at, min(at + first, len(f)))
+        a, b = index.search(f, some, root[some], most, index.classes(label), ends)
+        label = merged(len(f), a, b, label)
+        at, first = at + first, min(2 * first, at_once)
     out = np.empty(len(f), dtype=np.int64)
     out[order] = order[label]
     return out
@@ -218,16 +241,15 @@ def classes(edges: DataFrame) -> DataFrame:
     """``a, root``: the smallest fingerprint of the class of every linked fingerprint, by alternating star steps."""
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") / F.lit(2.0 ** 40)).alias("h"),
-                            F.expr("bit_xor(xxhash64(a, b))")).first())
+        # Whole numbers only: sums of doubles depend on the order of the partitions and would differ for equal tables.
+        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a))")).first())
 
     edges = materialise(edges.where("a <> b").distinct(), "simhash-edges")
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = materialise(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
