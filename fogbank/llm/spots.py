@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogbank.llm.common import texts_of
+from fogbank.session import materialise
 
 #: Common words of English, German, French, Spanish and Italian, fixed.
 ANCHORS = (
@@ -93,9 +94,9 @@ def segments(need: DataFrame, rows: int = ROWS) -> DataFrame:
     return need.withColumn("kind", F.col("doc_id").isNull().cast("int")).withColumn("seg", F.when(F.col("doc_id").isNull(), by_hash).otherwise(fine(k)))
 
 
-def before(dealt: DataFrame) -> DataFrame:
+def before(held: DataFrame) -> DataFrame:
     """``kind, seg, to_kind, to_seg``: every segment that holds rows with the one before it; the first one follows the last."""
-    held = dealt.select("kind", "seg").distinct().withColumn("block", F.shiftright("seg", 12))
+    held = held.select("kind", "seg", F.shiftright("seg", 12).alias("block"))
     near = held.withColumn("before", F.lag("seg").over(Window.partitionBy("kind", "block").orderBy("seg")))
     # Blocks of 4,096 segments: the one window over all of them sees a row per block.
     blocks = held.groupBy("kind", "block").agg(F.min("seg").alias("low"), F.max("seg").alias("high"))
@@ -111,11 +112,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: in
     """``doc_id, text, sigs`` and the same of the next document, ``next_text, next_sigs``."""
     need = texts_of(docs, key, text).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     cut = segments(need, rows)
-    dealt = cut.repartition("kind", "seg")
     order = Window.partitionBy("kind", "seg").orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc())
-    own = signatures(dealt, "text", "sigs").withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
-    heads = dealt.withColumn("at", F.row_number().over(order)).where("at = 1").join(before(cut), ["kind", "seg"])
-    heads = signatures(heads.select(F.col("to_kind").alias("kind_"), F.col("to_seg").alias("seg_"), F.col("text").alias("text_")), "text_", "sigs_")
+    # The tasks that read keep their heads only, before anything is shuffled.
+    heads = materialise(cut.withColumn("at", F.row_number().over(order)).where("at = 1").select("kind", "seg", "text"), "spots-heads")
+    heads = heads.join(before(heads), ["kind", "seg"]).select(F.col("to_kind").alias("kind_"), F.col("to_seg").alias("seg_"), F.col("text").alias("text_"))
+    heads = signatures(heads, "text_", "sigs_")
+    # Dealt out before the signatures are made, so that these do not travel.
+    own = signatures(cut.repartition("kind", "seg"), "text", "sigs").withColumn("next", F.lead(F.struct("text", "sigs")).over(order))
     met = own.join(heads, (F.col("kind") == F.col("kind_")) & (F.col("seg") == F.col("seg_")) & F.col("next").isNull(), "left")
     return met.select("doc_id", "text", "sigs", F.coalesce("next.text", "text_").alias("next_text"), F.coalesce("next.sigs", "sigs_").alias("next_sigs"))
 
