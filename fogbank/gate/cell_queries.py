@@ -11,6 +11,7 @@ from fogbank.gate.views import (DEGREES, events, labels, landed_rows, observatio
                                 scored, sheet_rows, stamp, table)
 from fogbank.operators import cleaning, layout, panels
 from fogbank.plans.load import load_rows
+from fogbank.session import new_table_path
 from fogbank.sources import grid
 
 # --- scalar functions ----------------------------------------------------------------------
@@ -270,21 +271,23 @@ def _(spark, d):
 # --- files ---------------------------------------------------------------------------------
 
 @query("s1_csv_fields", "", """SELECT p_brand AS file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS r,
-  CAST(p_partkey AS VARCHAR) AS a, p_name || '"q", x' || chr(10) || p_type AS b, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS VARCHAR) END AS c
-  FROM part""")
+  CAST(p_partkey AS VARCHAR) AS a, p_name || '"q", x' || chr(10) || p_type AS b, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS VARCHAR) END AS c,
+  CAST(p_size AS VARCHAR) || '" wide "' || p_name AS e, p_type || 'tail"' AS f FROM part""")
 def _(spark, d):
     p = table(spark, d, "part")
-    quoted = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit('"q", x')), F.lit('"'), F.lit('""')))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     size = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string")).otherwise("")
-    first = F.concat(F.col("p_partkey").cast("string"), F.lit(","), quoted)
-    second = F.concat("p_type", F.lit('",'), size)
-    # Three lines per part: the quoted cell spans two, and a blank line follows.
-    lines = p.select(F.col("p_brand").alias("file"), "p_partkey", F.posexplode(F.array(first, second, F.lit(""))))
-    lines = lines.select("file", F.floor(F.col("p_partkey") / 100).alias("block"),
-                         (F.col("p_partkey") * 3 + F.col("pos")).alias("pos"), F.col("col").alias("value"))
-    rows = grid.rows_from_lines(grid.decode_lines(lines))
-    return rows.select("file", F.col("r").cast("bigint").alias("r"), F.get("fields", F.lit(0)).alias("a"),
-                       F.get("fields", F.lit(1)).alias("b"), F.get("fields", F.lit(2)).alias("c"))
+    cells = [F.col("p_partkey").cast("string"), quote(F.concat("p_name", F.lit('"q", x\n'), "p_type")), size,
+             # Quotes inside a cell that does not begin with one, and text behind a closing quote.
+             F.concat(F.col("p_size").cast("string"), F.lit('" wide "'), "p_name"), F.concat(quote(F.col("p_type")), F.lit('tail"'))]
+    # A file per brand, with a blank line after every part; the writer of texts writes line breaks as they are.
+    sheets = p.select("p_brand", "p_partkey", F.concat(F.array_join(F.array(*cells), ","), F.lit("\n")).alias("value"))
+    path = new_table_path(spark, "csv-files")
+    sheets.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    rows = grid.read_rows(spark, path, "*.txt")
+    name = F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]*)/", 1)))  # once for the folder, once for the path
+    return rows.select(name.alias("file"), F.col("r").cast("bigint").alias("r"), *[
+        F.get("fields", F.lit(i)).alias(c) for i, c in enumerate("abcef")])
 
 
 @query("s10_output_prefix", "", """SELECT p_partkey, split_part(split_part(replace(p_name, ' ', '_'), '_', 1), ' ', 1) AS a,

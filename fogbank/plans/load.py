@@ -14,20 +14,22 @@ from fogbank.functions.text import number, phenomenon_code, wind_degrees
 from fogbank.operators.cleaning import resolve_datetimes
 from fogbank.operators.layout import Layout, detect
 from fogbank.session import materialise
-from fogbank.sources.grid import output_prefix, read_rows
+from fogbank.sources.grid import broken_files, output_prefix, read_lines, rows_from_lines
 
 
 @dataclass
 class Loaded:
     """``obs``: (file, ts, measures); ``labels``: (file, ts, location_id, letter, ordinal, name, cell, code);
     ``locations``: (file, location_id, letter, c, ordinal, name). A column letter says nothing outside its file, so
-    ``location_id`` is the file and the letter. ``dated``: every data row with its parsed datetime, for the reports on what was dropped."""
+    ``location_id`` is the file and the letter. ``dated``: every data row with its parsed datetime, for the reports on what was dropped.
+    ``broken``: (file) those that end inside a quoted cell, which have no rows in the other tables."""
 
     obs: DataFrame
     labels: DataFrame
     locations: DataFrame
     layout: Layout
     dated: DataFrame
+    broken: DataFrame | None = None
 
 
 def field(index: str) -> Column:
@@ -80,8 +82,10 @@ def load_rows(rows: DataFrame, layout: str = "auto") -> Loaded:
 def load_station_files(spark: SparkSession, paths: str | Sequence[str], layout: str = "auto",
                        check: bool = True) -> Loaded:
     """Read, infer and type a fleet of files. With ``check`` a fleet in which some file has no
-    valid datetime or no location column is an error that names one such file."""
-    loaded = load_rows(read_rows(spark, paths), layout)
+    valid datetime or no location column is an error that names one such file. A broken file stops no other."""
+    lines = read_lines(spark, paths)
+    loaded = load_rows(rows_from_lines(lines), layout)
+    loaded.broken = broken_files(lines)
     if check:
         files = loaded.layout.files.select("file")
         undated = files.join(loaded.obs.select("file"), "file", "left_anti").limit(1).collect()
