@@ -1,8 +1,8 @@
 """A training-data pipeline: five stages over ``documents``, each written and read again before the next one.
 
-Stages get all documents their predecessor kept. The first three drop documents (texts in no known language, all but one
-of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, texts that hold benchmark passages), the
-fourth replaces personal data in the texts, the last one gives the words that a weighted mix of the sources takes from each
+Stages get all documents their predecessor kept. The first three drop documents (texts in no known language, all but one of
+each class of texts whose SimHash fingerprints of 3-word shingles are linked by 3 or fewer differing bits, texts that hold
+benchmark passages), the fourth replaces personal data in the texts, the last one gives the words that a weighted mix of the sources takes from each
 document. All but the last keep the columns.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import langid, mixing, pii, seeds, similar
+from fogbank.llm import langid, mixing, pii, seeds, simhash
 from fogbank.llm.common import table
 from fogbank.session import materialise
 
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
