@@ -1,9 +1,10 @@
 """Quality rules from cross-document line frequency.
 
 Lines are normalised (A-Z lowered, white space as one blank, digits as 0) and hashed. Per host the distinct documents that
-hold a line are counted; copies of one text count as one document, so a text is not rejected for being copied. A line is
-removed where its count passes both a number and a share of the host's distinct documents. A document that loses more
-than ``lost`` of its words and keeps fewer than ``least`` is depleted and rejected.
+hold a line are counted, and over all hosts; copies of one text count as one document, so a text is not rejected for being
+copied. A line is removed from the documents of a host of which more than ``per_host`` hold it, and everywhere if more than ``anywhere``
+do; the limits are numbers, so a line is as common in a large host as in a small one. A document that loses more than
+``lost`` of its words is depleted and rejected.
 
 Base rules per document come from the words: too few of them, or too many inside repeated three-word windows.
 
@@ -86,26 +87,23 @@ def measures(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return map_texts(texts_of(docs, key, text, host=F.col(host).cast("string")), SCHEMA, make)
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", at_least: int = 10,
-           share: float = 0.01, lost: float = 0.7, least: int = 50, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """The measures, ``n_removed`` words, ``base_failed`` and ``kept`` of every document.
-
-    A line is removed if over ``at_least`` distinct documents of the host and over ``share`` of them hold it.
-    """
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", per_host: int = 10,
+           anywhere: int = 30, lost: float = 0.7, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+    """The measures, ``n_removed`` words, ``base_failed`` and ``kept`` of every document."""
     base = materialise(measures(docs, key, text, host).withColumn("row", F.monotonically_increasing_id()), "line-measures")
     known = base.withColumn("host", F.struct("host"))  # a null host is equal to itself inside a struct
-    distinct = known.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    held = (distinct.select("host", F.explode("lines").alias("line"))
-            .groupBy("host", F.col("line.h").alias("h")).agg(F.count("*").alias("docs")))
-    size = distinct.groupBy("host").agg(F.count("*").alias("of"))
-    common = (held.where(F.col("docs") > at_least).join(size, "host")
-              .where(F.col("docs") > F.lit(share) * F.col("of")).select("host", "h", "docs"))
-    removed = (known.select("row", "host", F.explode("lines").alias("line"))
-               .select("row", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-               .join(materialise(common, "common-lines"), ["host", "h"])
-               .groupBy("row").agg(F.sum("n").alias("n_removed")))
-    left = F.col("n_words") - F.col("n_removed")
+    # One row per text: its hosts and its lines, each once.
+    distinct = known.groupBy("text_hash").agg(F.collect_set("host").alias("hosts"), F.first("lines.h").alias("lines"))
+    held = (distinct.select(F.explode("lines").alias("h"), "hosts").select("h", F.explode(F.concat(F.array(F.lit(None).cast("struct<host: string>")), "hosts")).alias("host"))
+            .groupBy("h", "host").agg(F.count("*").alias("docs")))
+    everywhere = held.where(F.col("host").isNull() & (F.col("docs") > anywhere)).select("h")
+    common = materialise(held.where(F.col("host").isNotNull() & (F.col("docs") > per_host)).select("host", "h")
+                         .unionByName(everywhere.withColumn("host", F.lit(None).cast("struct<host: string>"))), "common-lines")
+    lines = known.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
+    by_host, by_all = common.where("host IS NOT NULL"), common.where("host IS NULL").select(F.col("h").alias("all_h"))
+    removed = (lines.join(by_host.withColumn("here", F.lit(True)), ["host", "h"], "left").join(by_all, F.col("h") == F.col("all_h"), "left")
+               .where(F.col("here") | F.col("all_h").isNotNull()).groupBy("row").agg(F.sum("n").alias("n_removed")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    depleted = (F.col("n_removed") > lost * F.col("n_words")) & (left < least)
+    depleted = F.col("n_removed") > lost * F.col("n_words")
     return (base.drop("lines").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
             .withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row", "text_hash"))

@@ -12,7 +12,11 @@ _MASKS = ", ".join(f"({m}, [{', '.join(map(str, mask))}], {max(mask)})" for m, m
 DECONTAMINATE = f"""
 WITH masks(m, offs, reach) AS (VALUES {_MASKS}),
 d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents),
-b AS (SELECT * FROM (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark) WHERE len(t) >= 8),
+a AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark),
+b AS (SELECT * FROM a WHERE len(t) >= 8),
+few AS (SELECT DISTINCT item_id, t FROM a WHERE len(t) BETWEEN 1 AND 7),
+short AS (SELECT DISTINCT doc_id, item_id, len(few.t) AS n FROM few, d
+          WHERE contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(few.t, ' ') || ' ')),
 dp AS (SELECT doc_id, t, m, offs, unnest(range(1, len(t) - reach + 1)) AS i FROM d, masks),
 bp AS (SELECT item_id, t, m, offs, unnest(range(1, len(t) - reach + 1)) AS i FROM b, masks),
 ds AS (SELECT doc_id, m, i, list_transform(offs, lambda k: t[i + k]) AS key FROM dp),
@@ -26,6 +30,7 @@ runs AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY
          FROM same)
 SELECT doc_id, item_id, CAST(max(got) AS BIGINT) AS n_matched, CAST(max(wide) AS BIGINT) AS n_compared
 FROM runs WHERE j <= n - wide + 1 AND got >= ceil({AGREE} * wide) GROUP BY doc_id, item_id
+UNION ALL SELECT doc_id, item_id, CAST(n AS BIGINT), CAST(n AS BIGINT) FROM short
 """
 
 LINE_QUALITY = rf"""
@@ -41,9 +46,9 @@ ok AS (SELECT doc_id, host, text, line, len(ws) AS n,
        FROM lw WHERE len(ws) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ok GROUP BY doc_id),
 freq AS (SELECT host, k, count(DISTINCT text) AS docs FROM ok GROUP BY host, k),
-size AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-common AS (SELECT f.host, f.k FROM freq f JOIN size s ON f.host = s.host WHERE docs > 10 AND docs > 0.01 * s.n),
-gone AS (SELECT o.doc_id, sum(o.n) AS n FROM ok o JOIN common c ON o.host = c.host AND o.k = c.k GROUP BY o.doc_id),
+every AS (SELECT k, count(DISTINCT text) AS docs FROM ok GROUP BY k),
+gone AS (SELECT o.doc_id, sum(o.n) AS n FROM ok o JOIN freq f ON o.host = f.host AND o.k = f.k JOIN every e ON o.k = e.k
+         WHERE f.docs > 10 OR e.docs > 30 GROUP BY o.doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
       coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed
@@ -51,7 +56,7 @@ m AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws,
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_removed AS BIGINT) AS n_removed,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed > 0.7 * n_words AND n_words - n_removed < 50) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_removed > 0.7 * n_words AS kept
 FROM m
 """
 

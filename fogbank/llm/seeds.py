@@ -10,8 +10,10 @@ share of substitutions.
 The benchmark's seed hashes are broadcast only if their counted size is below ``broadcast_bytes``; a larger benchmark is
 joined by shuffle.
 
-Defined cases: null and empty texts have no tokens and give no rows; items of fewer than ``least`` tokens are not looked
-for (the shortest masks need so many); repeated documents or items give one row per (doc_id, item_id) with the best
+Items of fewer than ``least`` tokens have no room for the masks: they are looked for as a whole, without substitutions, by one
+seed of all their tokens.
+
+Defined cases: null and empty texts have no tokens and give no rows; repeated documents or items give one row per (doc_id, item_id) with the best
 overlap; documents with a null id are checked and reported under null; empty tables give an empty result.
 """
 
@@ -43,13 +45,18 @@ def seed_hashes(tokens: str, mask: tuple, m: int) -> Column:
                   f"i -> xxhash64({m}, {picked})) ELSE array() END")
 
 
-def seeds_of(tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep, m, at, seed``: one row per place and mask."""
+def seeds_of(tokens: DataFrame, keep: list[str], masks: dict[int, tuple]) -> DataFrame:
+    """``keep, m, at, seed``: one row per place and mask; ``masks`` by their numbers."""
     return tokens.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), seed_hashes("tokens", mask, m).alias("s"))
-                                                     for m, mask in enumerate(MASKS)])).alias("e")) \
+                                                     for m, mask in masks.items()])).alias("e")) \
                  .select(*keep, F.posexplode("e.s").alias("at", "seed"))
 
 
+def whole(n: int) -> tuple[int, tuple]:
+    """Number and mask of all tokens of items of length ``n``."""
+    return len(MASKS) + n, tuple(range(n))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
              item_text: str = "text", span: int = SPAN, agree: float = AGREE, least: int = 8,
              broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -58,14 +65,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     The two numbers are of the best stretch of ``span`` item tokens.
     """
     items = (benchmark.select(F.col(item).alias("item_id"), token_hashes(F.col(item_text).cast("string")).alias("tokens"))
-             .where(F.size("tokens") >= least).withColumn("n", F.size("tokens")))
+             .withColumn("n", F.size("tokens")).where("n > 0"))
+    masks = dict(enumerate(MASKS))
+    wanted = seeds_of(items.where(F.col("n") >= least), ["item_id", "n"], masks)
+    # At most ``least`` - 1 lengths.
+    for r in items.where(F.col("n") < least).select("n").distinct().collect():
+        m, mask = whole(r["n"])
+        masks[m] = mask
+        wanted = wanted.unionByName(seeds_of(items.where(F.col("n") == r["n"]), ["item_id", "n"], {m: mask}))
     # The place in the item goes along as a number; the join itself needs one row per seed and item place.
-    wanted = seeds_of(items, ["item_id", "n"]).select("item_id", "n", F.col("at").alias("item_at"), "seed").distinct()
-    wanted = materialise(wanted, "benchmark-seeds")
+    wanted = materialise(wanted.select("item_id", "n", F.col("at").alias("item_at"), "seed").distinct(), "benchmark-seeds")
     small = 32 * wanted.count() <= broadcast_bytes
     near = F.broadcast if small else (lambda df: df)
     tokens = docs.select(F.col(key).alias("doc_id"), token_hashes(F.col(text).cast("string")).alias("tokens"))
-    hits = (seeds_of(tokens, ["doc_id"]).join(near(wanted), "seed")
+    hits = (seeds_of(tokens, ["doc_id"], masks).join(near(wanted), "seed")
             .select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     hits = materialise(hits, "benchmark-hits")
 
@@ -83,7 +96,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     best = F.expr("array_max(transform(sequence(0, size(same) - wide), i -> aggregate(slice(same, i + 1, wide), 0, (s, x) -> s + x)))")
     return (both.select("doc_id", "item_id", same.alias("same")).withColumn("wide", wide)
             .select("doc_id", "item_id", F.col("wide").alias("n_compared"), best.alias("n_matched"))
-            .where(F.col("n_matched") >= F.ceil(F.lit(agree) * F.col("n_compared")))
+            .where(F.col("n_matched") >= F.when(F.col("n_compared") < least, F.col("n_compared")).otherwise(F.ceil(F.lit(agree) * F.col("n_compared"))))
             .groupBy("doc_id", "item_id").agg(F.max("n_matched").cast("long").alias("n_matched"), F.max("n_compared").cast("long").alias("n_compared")))
 
 
