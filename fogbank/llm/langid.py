@@ -2,8 +2,9 @@
 
 A text is the mean of the embeddings of its character n-grams (inside words, borders included), hashed to a fixed
 number of rows. Embeddings and softmax are trained together by stochastic gradient descent on segments of a bounded
-sample of labelled texts. A second part of the sample, never trained on, sets the temperature of the scores and the
-score below which a text is rejected. For prediction, embeddings and softmax weights multiply to one small table of
+sample of labelled texts, and on made-up texts of no language, which are a class of their own: letters of a segment in any
+order, letters and syllables at random, a letter again and again. A second part of the sample, never trained on, sets the
+temperature of the scores and, against made-up texts, the score below which a text is rejected. For prediction, embeddings and softmax weights multiply to one small table of
 logits per hash row, so that a text costs one look-up per n-gram, whatever its length.
 
 Defined cases: a null text or one without letters gets ``und`` with score 0 and is rejected; ties between languages go
@@ -88,7 +89,7 @@ def parts(texts: list[str], size: int = PART) -> Iterator[tuple[list[int], list[
 @dataclass
 class Model:
     langs: list[str]
-    logits: np.ndarray  # (rows + 1, langs); the last row is for "none"
+    logits: np.ndarray  # (rows + 1, langs + 1); the last row is for "none", the last column for no language
     temperature: float = 1.0
     threshold: float = 0.0
 
@@ -96,7 +97,7 @@ class Model:
         """Probabilities (texts, langs), and which texts have a letter."""
         if not texts:
             return np.zeros((0, len(self.langs))), np.zeros(0, dtype=bool)
-        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        total, n = np.zeros((len(texts), len(self.langs) + 1)), np.zeros(len(texts))
         for owners, pieces in parts(texts):
             found, ends = grams(pieces)
             starts = np.append(0, ends[:-1])
@@ -105,7 +106,7 @@ class Model:
                 np.add.at(n, owners, np.add.reduceat((rows >= 0).astype(np.float64), starts))
         z = total / np.maximum(n, 1)[:, None] / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True), n > 0
+        return (e / e.sum(axis=1, keepdims=True))[:, :-1], n > 0
 
 
 def segments(texts: list[str], labels: np.ndarray, rng: np.random.Generator, each: int = 4) -> tuple[list[str], np.ndarray]:
@@ -121,9 +122,34 @@ def segments(texts: list[str], labels: np.ndarray, rng: np.random.Generator, eac
     return out, np.array(y)
 
 
+def made_up(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts of no language, as long as the given ones."""
+    letters = sorted({c for t in texts for c in t.lower() if c.isalpha()}) or ["x"]
+    vowels = [c for c in letters if c in "aeiouyäöü"] or letters
+    other = [c for c in letters if c not in vowels] or letters
+    out = []
+    for k, text in enumerate(texts):
+        held = [c for c in text.lower() if c.isalpha()]
+        kind = k % 4
+        if kind == 0:
+            held = list(rng.permutation(held)) if held else held
+        elif kind == 1:
+            held = list(rng.choice(letters, len(held)))
+        elif kind == 2:
+            # Open syllables, some of them long: words of a language that nobody taught.
+            while len(sounds := "".join(rng.choice(other) + rng.choice(vowels) * int(rng.integers(1, 3)) for _ in range(len(held) // 2 + 1))) < len(held):
+                pass
+            held = list(sounds)
+        else:
+            held = [str(rng.choice(letters))] * min(len(held), int(rng.integers(1, 12)))
+        at = iter(held)
+        out.append("".join(next(at, "") if c.isalpha() else c for c in text))
+    return out
+
+
 def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, rate: float = 4.0, batch: int = 64,
-          keep: float = 0.999, seed: int = 7) -> Model | None:
-    """Model from labelled texts; every fifth text only calibrates it."""
+          keep: float = 0.995, others: float = 0.3, seed: int = 7) -> Model | None:
+    """Model from labelled texts; every fifth text only calibrates it. ``others``: made-up segments per labelled one."""
     langs = sorted(set(labels))
     if not langs:
         return None
@@ -133,6 +159,8 @@ def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, r
     if not fit.any() or not (~fit).any():
         fit[:] = True
     seg, seg_y = segments([t for t, f in zip(texts, fit) if f], y[fit], rng)
+    copied = rng.permutation(len(seg))[:int(others * len(seg))]
+    seg, seg_y = seg + made_up([seg[i] for i in copied], rng), np.append(seg_y, np.full(len(copied), len(langs)))
     rows, ends = grams(seg)
     starts = np.append(0, ends[:-1])
     # One list of hash rows per segment.
@@ -142,7 +170,7 @@ def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, r
     flat = stacked[valid]
     firsts = np.cumsum(counts) - counts
     E = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
-    W = np.zeros((dim, len(langs)), dtype=np.float32)
+    W = np.zeros((dim, len(langs) + 1), dtype=np.float32)
     usable = np.flatnonzero(counts > 0)
     steps, step = epochs * max(1, -(-len(usable) // batch)), 0
     for _ in range(epochs):
@@ -162,17 +190,21 @@ def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, r
             W -= (lr / len(some) * (x.T @ p)).astype(np.float32)
             np.add.at(E, idx, -lr * np.repeat(back, n, axis=0))
             step += 1
-    logits = np.vstack([E @ W, np.zeros((1, len(langs)), np.float32)]).astype(np.float32)
+    logits = np.vstack([E @ W, np.zeros((1, len(langs) + 1), np.float32)]).astype(np.float32)
     model = Model(langs, logits)
     held, held_y = [t for t, f in zip(texts, fit) if not f], y[~fit]
     if held:
         short, short_y = segments(held, held_y, rng, each=2)
-        calibrate(model, held + short, np.append(held_y, short_y), len(held), keep)
+        calibrate(model, held + short, np.append(held_y, short_y), made_up(held, rng), len(held), keep)
     return model
 
 
-def calibrate(model: Model, texts: list[str], y: np.ndarray, whole: int, keep: float) -> None:
-    """Temperature of least log loss; threshold that keeps the share ``keep`` of the ``whole`` first, known texts."""
+def calibrate(model: Model, texts: list[str], y: np.ndarray, junk: list[str], whole: int, keep: float) -> None:
+    """Temperature of least log loss; threshold between the scores of the ``whole`` first, known texts and those of ``junk``.
+
+    It lies half way from the score that all but 5 % of the junk stays below to the one that the share ``keep`` of the known texts
+    reaches. Where the two overlap, the known texts stay. It is never so low that a text of unknown n-grams alone, an even guess, passes.
+    """
     found = []
     for t in np.geomspace(0.05, 4, 25):
         model.temperature = float(t)
@@ -180,11 +212,13 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, whole: int, keep: f
         found.append((-np.log(np.maximum(p[np.arange(len(y)), y], 1e-9))[some].mean(), float(t)))
     model.temperature = min(found)[1]
     p, some = model.scores(texts[:whole])
-    top = np.sort(p.max(axis=1)[some])
-    if len(top):
-        # Half of the lowest accepted score, so that texts like the known ones stay; never above an even guess.
-        at = top[int((1 - keep) * len(top))]
-        model.threshold = float(min(0.5, at / 2))
+    known = np.sort(p.max(axis=1)[some])
+    p, some = model.scores(junk)
+    other = np.sort(p.max(axis=1)[some])
+    if len(known):
+        low = known[int((1 - keep) * len(known))]
+        high = other[int(0.95 * len(other))] if len(other) else 0.0
+        model.threshold = max(float((low + min(low, high)) / 2), 1 / (len(model.langs) + 1) + 0.05)
 
 
 def sample(docs: DataFrame, lang: str, learn: Column, rows: int) -> tuple[list[str], list[str]]:
