@@ -1,9 +1,11 @@
 """Mixing of sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 The documents of a source are laid out end to end in a shuffled order (by a hash of the id), pass after pass. The
-layout is cut into blocks of ``block`` tokens; a block may end in the next pass, so all blocks are equal. Slot i of the
-mix has the point frac(i * golden ratio); the source whose stretch of the cumulative targets holds the point gets the
-slot, and the r-th slot of a source takes its r-th block. Counts of slots differ from the targets by a few blocks only.
+layout is cut into blocks of ``block`` tokens; a block may end in the next pass, so all blocks are equal but the last one of a
+source, which ends at its target. Slot i of the mix has the point frac(i * golden ratio); the source whose stretch of the
+cumulative targets holds the point gets the slot, and the r-th slot of a source takes its r-th block. Counts of slots differ from
+the targets by a few blocks only: slots beyond a source's last block stay empty, and blocks that no slot has taken follow at the
+end, by source. Every source so takes its target, rounded down, however small it is.
 
 Scale: positions in a layout and ranks of slots are prefix sums over (source, hash bucket) and (source, chunk of
 slots), so a hot source is never one task. Only one row per source reaches the driver; sources are names of data sets.
@@ -54,7 +56,11 @@ def by_code_point(names: list[str | None]) -> list[str | None]:
 
 
 def slots(spark, n: int, cumulative: np.ndarray, limits: np.ndarray) -> DataFrame:
-    """``slot, s, block``: the source of every slot and the rank among that source's slots."""
+    """``slot, s, block``: the source of every slot and the rank among that source's slots, below its limit.
+
+    Blocks below the limit for which the sequence has no slot get slots from ``n`` on: a few per source, as the points of
+    the golden ratio leave no stretch short by more.
+    """
     upper = cumulative  # exclusive upper ends, as parts of 1
 
     def dealt(chunk: int) -> np.ndarray:
@@ -87,10 +93,13 @@ def slots(spark, n: int, cumulative: np.ndarray, limits: np.ndarray) -> DataFram
     n_chunks = -(-n // CHUNK)
     pieces = max(1, min(n_chunks, 4 * spark.sparkContext.defaultParallelism))
     counts = spark.range(0, n_chunks, 1, pieces).mapInPandas(counted, "chunk long, s int, n long")
+    got = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    short = [(s, k) for s, limit in enumerate(limits.tolist()) for k in range(got.get(s, 0), limit)]
+    last = spark.createDataFrame([(n + i, s, k) for i, (s, k) in enumerate(short)], "slot long, s int, block long")
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .groupBy("chunk").agg(F.collect_list(F.struct("s", "first")).alias("firsts")))
-    return firsts.mapInPandas(ranked, "slot long, s int, block long")
+    return firsts.mapInPandas(ranked, "slot long, s int, block long").unionByName(last)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple = (1, 2, 3),
@@ -109,8 +118,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sizes = [per[n][0] for n in names]
     goal = targets(sizes, [cycle[i % len(cycle)] for i in range(len(names))], most)
     total = sum(sizes)
-    known = spark.createDataFrame([(i, n, sizes[i], goal[i]) for i, n in enumerate(names)],
-                                  "s int, source string, source_size long, target double")
+    ends = [min(int(g + 1e-6), most * x) for g, x in zip(goal, sizes)]
+    known = spark.createDataFrame([(i, n, sizes[i], goal[i], ends[i]) for i, n in enumerate(names)],
+                                  "s int, source string, source_size long, target double, whole long")
     buckets = max(1, -(-max((per[n][1] for n in names), default=1) // BUCKET_ROWS))
 
     # The place of a document: what lies in buckets before its own, then what lies before it inside.
@@ -124,17 +134,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = (hashed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .join(offsets, ["s", "bucket"])
               .withColumn("start", F.col("offset") + F.col("inner")))
-    laid = placed.select("doc_id", "source", "s", "size", "source_size", "target", "start")
+    laid = placed.select("doc_id", "source", "s", "size", "source_size", "target", "whole", "start")
 
     n_slots = -(-total // block)
     cumulative = np.cumsum(np.array(goal) / max(total, 1)) if names else np.array([1.0])
-    limits = np.array([most * x // block for x in sizes], dtype=np.int64) if names else np.zeros(1, np.int64)
+    limits = np.array([-(-x // block) for x in ends], dtype=np.int64) if names else np.zeros(1, np.int64)
     used = slots(spark, n_slots, cumulative, limits)
     # Each document is cut at block borders, in as many passes over its source as the mix may need.
     passes = F.sequence(F.lit(0), F.least(F.lit(most - 1), F.floor(F.col("target") / F.col("source_size")) + 1).cast("int"))
-    cut = (laid.where("size > 0").select("s", "start", "size", "source_size", F.explode(passes).alias("pass"))
+    cut = (laid.where("size > 0").select("s", "start", "size", "source_size", "whole", F.explode(passes).alias("pass"))
            .withColumn("from", F.col("start") + F.col("pass").cast("long") * F.col("source_size"))
-           .withColumn("to", F.col("from") + F.col("size"))
+           .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("whole"))).where("from < to")
            .withColumn("block", F.explode(F.expr(f"sequence(from div {block}, (to - 1) div {block})")))
            .select("s", "block", F.col("start").alias("doc_start"),
                    (F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)).alias("n")))
