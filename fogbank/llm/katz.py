@@ -262,7 +262,7 @@ def scored_block(row, got: pd.DataFrame, params: Params, ranges: int) -> list[di
                    for p, (a, b) in enumerate(zip(at, at[1:])) if b > a)
 
     some = np.unique(block.pair_before[mine])
-    put(OWNED, some, left=left[some].astype(np.float32), mass=mass[some].astype(np.float32))
+    put(OWNED, some, left=left[some], mass=mass[some])
     # Tokens that back off need their history's weight, unless the history was never seen (its weight is 1).
     off = np.flatnonzero((seen[block.of] == 0) & (count[block.before] > 0))
     owner_doc = np.repeat(np.arange(len(block.sizes)), block.sizes)[off]
@@ -289,7 +289,7 @@ def weights(step: DataFrame) -> DataFrame:
                 continue
             keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_sorted(k) for k in owned["keys"]]])
             distinct, of = np.unique(keys, return_inverse=True)
-            left, mass = [np.bincount(of, np.concatenate([np.zeros(0, np.float32), *[unpack(x, np.float32) for x in owned[c]]]).astype(float),
+            left, mass = [np.bincount(of, np.concatenate([np.zeros(0), *[unpack(x, np.float64) for x in owned[c]]]),
                                       minlength=len(distinct)) for c in ("left", "mass")]
             weight = np.log10(left) - np.log10(np.maximum(1 - mass, 1e-12))
             yield pd.DataFrame([(part, g, pack(weight[np.searchsorted(distinct, unpack_sorted(k))]))
