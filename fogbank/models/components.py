@@ -38,7 +38,7 @@ class BoostParams:
     min_leaf: int = 1
 
 
-# Values the random search draws from. A forest of unlimited depth is not offered by Spark ML,
+# What the random search draws from. A forest of unlimited depth is not offered by Spark ML,
 # whose limit is 30; a column share of 0.8 per tree becomes 0.8 per node.
 FOREST_SPACE = {"trees": (200, 300, 500), "depth": (6, 8, 10, 12, 14, 30), "min_leaf": (1, 2, 3, 5),
                 "features": ("sqrt", "log2", "all")}

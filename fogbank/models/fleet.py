@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions.classes import best_code, blend, fog_probability
-from fogbank.models import grouped
-from fogbank.models.components import BOOST_SPACE, FOREST_SPACE, BoostParams, ForestParams, draws
+from fogbank.models import grouped, store
+from fogbank.models.components import BoostParams, ForestParams, draws
 from fogbank.models.training import Plan, location_cuts, resolve_kind
 from fogbank.operators import metrics, splits
 from fogbank.operators.features import with_columns_for
@@ -35,6 +35,10 @@ class Fleet:
     features: list[str]
     test_predictions: DataFrame | None = None
 
+    @property
+    def has_models(self) -> bool:
+        return not self.registry.isEmpty()
+
     def predict(self, prepared: DataFrame) -> DataFrame:
         """Predictions (location_id, ts, code, fog_prob) of prepared rows of every location; the plan is the same for any number."""
         known = with_columns_for(prepared, self.features).join(self.registry.select("location_id", "grp"), KEY)
@@ -55,13 +59,13 @@ def mixed_slots(scored: DataFrame, weight: Column | str) -> DataFrame:
 
 def predicted(rows: DataFrame, models: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``grp, keep, pred, fog_prob`` and the predictions of the unmixed parts."""
-    scored = grouped.slots(rows, models.drop("weight", "threshold"), features, keep).join(models.select("grp", "weight"), "grp")
+    scored = grouped.slots(rows, models.drop("weight", "threshold", "features"), features, keep).join(models.select("grp", "weight"), "grp")
     out = mixed_slots(scored, "weight")
     alone = [(best_code(n) if n in out.columns else F.lit(None).cast("int")).alias(f"{n}_pred") for n in ("forest", "boosted")]
     return out.select("grp", *keep, best_code("mixed").alias("pred"), fog_probability("mixed").alias("fog_prob"), *alone)
 
 
-def search(rows: DataFrame, features: Sequence[str], part: str, n: int):
+def search(rows: DataFrame, features: Sequence[str], part: str, n: int, space: dict):
     """Best of ``n`` random settings by the mean blend score over forward-chaining folds of pooled rows (location_id, ts, code, features).
 
     The folds of a setting are groups of one pass.
@@ -75,9 +79,8 @@ def search(rows: DataFrame, features: Sequence[str], part: str, n: int):
     fold = sum((F.when(~splits.up_to(end), 1).otherwise(0) for end in ends), F.lit(0))
     folds = materialise(rows.select(*KEY, "ts", "code", *features, fold.alias("_fold")), "search-folds")
     train = folds.withColumn("grp", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("_fold < grp").withColumn("grp", F.col("grp").cast("string"))
-    space, params = (FOREST_SPACE, ForestParams) if part == "forest" else (BOOST_SPACE, BoostParams)
     best, best_score = None, -1.0
-    for setting in draws(space, params, n):
+    for setting in draws(space, ForestParams if part == "forest" else BoostParams, n):
         models = grouped.grow(train, features, "rf" if part == "forest" else "gbt", *((setting, BoostParams()) if part == "forest" else (ForestParams(), setting)))
         test = folds.where("_fold > 0").withColumn("grp", F.col("_fold").cast("string"))
         scored = mixed_slots(grouped.slots(test, models, features, ["code"]), F.lit(1.0))
@@ -89,8 +92,8 @@ def search(rows: DataFrame, features: Sequence[str], part: str, n: int):
 
 def searched(rows: DataFrame, features: Sequence[str], plan: Plan) -> tuple[Plan, bool]:
     kind = resolve_kind(plan.kind)
-    forest = search(rows, features, "forest", plan.forest_draws) if kind != "gbt" and plan.forest_draws else None
-    boosted = search(rows, features, "boosted", plan.boosted_draws) if kind != "rf" and plan.boosted_draws else None
+    forest = search(rows, features, "forest", plan.forest_draws, plan.forest_space) if kind != "gbt" and plan.forest_draws else None
+    boosted = search(rows, features, "boosted", plan.boosted_draws, plan.boosted_space) if kind != "rf" and plan.boosted_draws else None
     return replace(plan, forest=forest or plan.forest, boosted=boosted or plan.boosted), bool(forest or boosted)
 
 
@@ -138,7 +141,7 @@ def train_fleet(rows: DataFrame, features: Sequence[str], plan: Plan = Plan(), l
     models = grown.where("grp LIKE 'train/%'").withColumn("grp", F.substring("grp", 7, 1 << 30))
     models = models.join(enough.withColumnRenamed("base", "grp"), "grp").join(chosen.withColumnRenamed("base", "grp"), "grp", "left")
     weight = {"rf": F.lit(1.0), "gbt": F.lit(0.0)}.get(kind, F.coalesce("weight", F.lit(0.5)))
-    models = materialise(models.withColumns({"weight": weight, "threshold": F.coalesce("threshold", F.lit(K.DEFAULT_THRESHOLD))}), "fleet-models")
+    models = materialise(models.withColumns({"features": F.array(*map(F.lit, features)), "weight": weight, "threshold": F.coalesce("threshold", F.lit(K.DEFAULT_THRESHOLD))}), "fleet-models")
 
     assigned = cuts.where("reason IS NULL").select(*KEY, F.concat(F.lit("own/"), "location_id").alias("grp"), F.lit(False).alias("pooled"))
     if pooled is not None:
@@ -175,3 +178,27 @@ def described(assigned: DataFrame, models: DataFrame, tested: DataFrame, table:
         out = out.join(alone.select(*KEY, F.col("fog_f1").alias(f"{part}_fog_f1")), KEY, "left")
     sizes = table.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("code")).alias("codes"))
     return materialise(out.join(sizes, KEY, "left"), "model-registry")
+
+
+# --- store ---------------------------------------------------------------------------------
+
+TABLES = ("models", "registry", "eligible")
+
+
+def save_fleet(fleet: Fleet, path: str) -> None:
+    """A new version of the store (``store``): three tables."""
+    def write(folder: str) -> None:
+        for name in TABLES:
+            getattr(fleet, name).write.parquet(f"{folder}/{name}")
+
+    store.commit(fleet.models.sparkSession, path, write, {"learner": "grouped", "features": fleet.features})
+
+
+def load_fleet(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Fleet | None:
+    """The newest complete version (with these features), if there is one."""
+    def read(folder: str) -> Fleet:
+        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+        known = tables["models"].select("features").first()["features"]
+        return Fleet(**tables, features=list(known))
+
+    return store.load(spark, path, read, {"learner": "grouped", **({"features": list(features)} if features else {})})

@@ -8,13 +8,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions.classes import best_code, blend, fog_probability
+from fogbank.models import store
 from fogbank.models.components import (BOOST_SPACE, FOREST_SPACE, Boosted, BoostParams, Forest, ForestParams, assemble,
                                        draws, params_of)
 from fogbank.operators import metrics, splits
@@ -32,21 +32,25 @@ def resolve_kind(kind: str | None) -> str:
 
 @dataclass(frozen=True)
 class Plan:
-    """How models are fitted.
+    """How models are fitted. ``learner``: ``grouped`` grows the trees of all locations in one pass (``fleet``), ``ml`` fits every
+    location with Spark ML from a pool of threads.
 
     ``forest_draws`` and ``boosted_draws`` settings are tried per search; 10 and 8 is the full
     search, 0 takes the given parameters. ``search`` says where: once on the pooled rows, or
-    again for every location. Either way it sees the fit rows alone, never those a model is
+    again for every location (learner ``ml`` only), in the given spaces (learner ``grouped`` only). Either way it sees the fit rows alone, never those a model is
     later chosen or scored on. Weight and threshold are chosen when at least ``min_validation_rows``
     rows and two codes are there for it, and keep their defaults otherwise; the registry says so in ``selected``.
     """
 
     kind: str = K.DEFAULT_KIND
+    learner: str = "grouped"
     forest: ForestParams = ForestParams()
     boosted: BoostParams = BoostParams()
     forest_draws: int = 0
     boosted_draws: int = 0
     search: str = "pooled"
+    forest_space: dict = field(default_factory=lambda: FOREST_SPACE)
+    boosted_space: dict = field(default_factory=lambda: BOOST_SPACE)
     threads: int = 4
     min_rows: int = K.MIN_ROWS
     min_classes: int = K.MIN_CLASSES
@@ -190,6 +194,16 @@ class Trained:
     eligible: DataFrame
     test_predictions: DataFrame | None
 
+    @property
+    def has_models(self) -> bool:
+        return bool(self.models)
+
+    def predict(self, prepared: DataFrame) -> DataFrame:
+        return predict_forecast(self.models, prepared)
+
+    def importances(self, n: int = 3) -> DataFrame:
+        return feature_importances(self.registry.sparkSession, self.models, n)
+
 
 def location_cuts(rows: DataFrame, plan: Plan) -> DataFrame:
     """Eligibility and the times at which a location's fit and train parts end.
@@ -364,7 +378,14 @@ def predict_forecast(models: dict[str, FogModel], prepared: DataFrame) -> DataFr
 # --- store ---------------------------------------------------------------------------------
 
 def save_models(trained: Trained, path: str) -> None:
-    """Fitted parts as Spark ML folders, the registry as a table. Shared models are stored once."""
+    """A new version of the store (``store``): fitted parts as Spark ML folders, the registry as a table."""
+    some = next(iter(trained.models.values()))
+    store.commit(trained.registry.sparkSession, path, lambda folder: _write_models(trained, folder),
+                 {"learner": "ml", "features": some.features})
+
+
+def _write_models(trained: Trained, path: str) -> None:
+    """Shared models are stored once."""
     stored: dict[int, str] = {}
     folders = []
     for i, (location, model) in enumerate(trained.models.items()):
@@ -380,7 +401,13 @@ def save_models(trained: Trained, path: str) -> None:
     trained.registry.join(names, "location_id").write.mode("overwrite").parquet(f"{path}/registry")
 
 
-def load_models(spark: SparkSession, path: str) -> Trained:
+def load_models(spark: SparkSession, path: str, features: Sequence[str] | None = None) -> Trained | None:
+    """The newest complete version (with these features), if there is one."""
+    return store.load(spark, path, lambda folder: _read_models(spark, folder),
+                      {"learner": "ml", **({"features": list(features)} if features else {})})
+
+
+def _read_models(spark: SparkSession, path: str) -> Trained:
     registry = spark.read.parquet(f"{path}/registry")
     shared: dict[str, FogModel] = {}
     models: dict[str, FogModel] = {}
@@ -400,15 +427,12 @@ def load_models(spark: SparkSession, path: str) -> Trained:
     return Trained(models, registry.drop("folder"), spark.read.parquet(f"{path}/eligible"), None)
 
 
-def load_or_train(spark: SparkSession, path: str | None, train) -> Trained:
-    """Stored models when they can be read, else ``train()``, whose models are stored."""
-    if path:
-        try:
-            return load_models(spark, path)
-        except (AnalysisException, AttributeError, KeyError, TypeError, json.JSONDecodeError) as unreadable:
-            # Missing, empty or incompatible; any other fault is not a reason to train everything again.
-            print(f"training again, no usable models in {path}: {type(unreadable).__name__}")
+def load_or_train(spark: SparkSession, path: str | None, train, load=load_models, save=save_models, features: Sequence[str] | None = None):
+    """Stored models when a complete version (with these features) can be read, else ``train()``, whose models are stored."""
+    found = load(spark, path, features) if path else None
+    if found is not None:
+        return found
     trained = train()
-    if path and trained.models:
-        save_models(trained, path)
+    if path and trained.has_models:
+        save(trained, path)
     return trained

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fogbank import constants as K
 from fogbank.functions.dates import DAY_US
-from fogbank.models.training import (Plan, Trained, feature_importances, load_or_train, predict_forecast,
-                                     train_locations)
+from fogbank.models.fleet import Fleet, load_fleet, save_fleet, train_fleet
+from fogbank.models.training import Plan, Trained, load_or_train, train_locations
 from fogbank.operators import features as feat
 from fogbank.operators import metrics, panels, quality, splits
 from fogbank.operators.forecast import choose_source, forecast_for_each, locate, with_horizon
@@ -92,18 +92,18 @@ def publish(obs: DataFrame, labels: DataFrame, locations: DataFrame, forecast: D
            "monthly_temperature": panels.monthly_panel(obs, labels, locations, sheet, ("temp", "dew", "rh")),
            "monthly_wind_rain": panels.monthly_panel(obs, labels, locations, sheet, ("wind", "rain"))}
 
-    def train() -> Trained:
-        rows, names = training_rows(obs, labels, sheet, lat, lon)
-        return train_locations(rows, names, plan, locations)
-
-    trained = load_or_train(obs.sparkSession, model_path, train)
+    rows, names = training_rows(obs, labels, sheet, lat, lon)
+    if plan.learner == "grouped":
+        trained = load_or_train(obs.sparkSession, model_path, lambda: train_fleet(rows, names, plan, locations), load_fleet, save_fleet, names)
+    else:
+        trained = load_or_train(obs.sparkSession, model_path, lambda: train_locations(rows, names, plan, locations), features=names)
     out["eligible"] = trained.eligible
     out["skipped"] = splits.skipped_by_reason(trained.eligible, "location_id")
-    if not trained.models:
+    if not trained.has_models:
         return out
     modelled = trained.registry.select("location_id", "threshold")
     prepared = forecast_rows(modelled, forecast, own_forecasts)
-    predictions = predict_forecast(trained.models, prepared)
+    predictions = trained.predict(prepared)
     named = panels.named_predictions(predictions, locations, modelled)
     history = panels.recent_history(obs, labels, history_days, sheet)
     ahead = predictions.join(prepared.select("location_id", "ts", "temp", "dew", "rh"), ["location_id", "ts"])
@@ -111,7 +111,7 @@ def publish(obs: DataFrame, labels: DataFrame, locations: DataFrame, forecast: D
     out |= {
         "registry": trained.registry, "predictions": predictions,
         "run_means": metrics.run_means(trained.registry),
-        "top_features": feature_importances(obs.sparkSession, trained.models),
+        "top_features": trained.importances(),
         "wide": panels.wide_export(*_wide_names(named, trained, locations)),
         "gaps": quality.gap_report(quality.last_observed(labels, key), starts, key),
         "panel": panels.forecast_panel(history.join(modelled, "location_id", "left_semi"), ahead, modelled),
@@ -120,7 +120,7 @@ def publish(obs: DataFrame, labels: DataFrame, locations: DataFrame, forecast: D
     return out
 
 
-def _wide_names(named: DataFrame, trained: Trained, locations: DataFrame) -> tuple[DataFrame, list[str]]:
+def _wide_names(named: DataFrame, trained: Trained | Fleet, locations: DataFrame) -> tuple[DataFrame, list[str]]:
     """Predictions and the column names of the wide table: a place's name, or its id where others share the name."""
     # One row per model location, as the driver already holds.
     rows = locations.join(trained.registry.select("location_id"), "location_id").orderBy("file", "ordinal").select(
