@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from fogbank.gate.views import (DEGREES, events, fine_stamp, labels, limits, obs
                                 predictions, r6, scored, stamp, table)
 from fogbank.operators import cleaning, features, forecast, metrics, panels, quality, splits
 from fogbank.operators.segments import fitting_width
+from fogbank.session import new_table_path
+from fogbank.sources.forecast_json import match_points, read_forecast, read_payloads
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 FINE = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
@@ -204,8 +207,7 @@ def _(spark, d):
 @query("p6_outside_blocks", "ev", f"""{BK} SELECT event_id FROM ev WHERE NOT EXISTS (
   SELECT 1 FROM s WHERE s.location_id = ev.location_id AND ev.ts BETWEEN s.a AND s.z)""")
 def _(spark, d):
-    return quality.drop_blocks(slash_events(spark, d), slash_blocks(spark, d), ["location_id"],
-                               width_us=5 * DAY_US).select("event_id")
+    return quality.drop_blocks(slash_events(spark, d), slash_blocks(spark, d), ["location_id"]).select("event_id")
 
 
 @query("j5_block_anti_join", "lb", """+ b AS (SELECT location_id, min(ts) + INTERVAL 5 DAY AS a, min(ts) + INTERVAL 12 DAY AS z FROM lb GROUP BY ALL)
@@ -214,7 +216,7 @@ def _(spark, d):
     lb = labels(spark, d)
     blocks = lb.groupBy("location_id").agg((F.min("ts") + F.expr("INTERVAL 5 DAY")).alias("start"),
                                            (F.min("ts") + F.expr("INTERVAL 12 DAY")).alias("end"))
-    return quality.drop_blocks(lb, blocks, ["location_id"], width_us=3 * DAY_US).select("location_id", stamp("ts").alias("ts"))
+    return quality.drop_blocks(lb, blocks, ["location_id"]).select("location_id", stamp("ts").alias("ts"))
 
 
 @query("a9_gap_warnings", "lb", """+ l AS (SELECT location_id, coalesce(max(ts) FILTER (code IS NOT NULL), max(ts)) AS last_observed FROM lb GROUP BY ALL)
@@ -276,19 +278,55 @@ def _(spark, d):
     return out.select("location_id", stamp("ts").alias("ts"), r6("temp").alias("temp"), r6("rh").alias("rh"), "dew", "wind")
 
 
-@query("s5_forecast_points", "", """SELECT n_nationkey AS position, n_name AS name, n_nationkey * 1.5::DOUBLE AS temp
-  FROM nation WHERE n_nationkey % 6 <> 0""")
+@query("m8_row_at", "ev", """+ n AS (SELECT count(*) AS n FROM ev), p AS (SELECT CAST(q AS INT) AS tenth, CAST(ceil(n * q / 10.0) AS BIGINT) AS position FROM n, (VALUES (2), (5), (8)) t(q)),
+  r AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT e.ts FROM ev e, range(0, 2)))
+  SELECT tenth, position, strftime(r.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, position AS rows_up_to FROM p JOIN r ON r.i = p.position * 2""")
+def _(spark, d):
+    # Every event twice, so that all times have ties.
+    rows = events(spark, d).select("ts", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("copy"), "event_id")
+    n = rows.count() // 2
+    parts = []
+    for tenth in (2, 5, 8):
+        position = -(-n * tenth // 10)
+        end = splits.row_at(rows, 2 * position, "ts", ["copy", "event_id"])
+        parts.append(rows.filter(splits.up_to(end)).agg(F.max("ts").alias("ts"), (F.count(F.lit(1)) / 2).cast("bigint").alias("rows_up_to"))
+                     .select(F.lit(tenth).alias("tenth"), F.lit(position).cast("bigint").alias("position"), fine_stamp("ts").alias("ts"), "rows_up_to"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("s5_forecast_points", "", """SELECT 'batch-' || n_regionkey AS batch, CAST((SELECT count(*) FROM nation o WHERE o.n_regionkey = nation.n_regionkey AND o.n_nationkey < nation.n_nationkey) AS INT) AS position,
+  n_name AS name, strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)), '%Y-%m-%d %H:%M:%S') AS ts, n_nationkey * 1.5::DOUBLE + h AS temp
+  FROM nation, range(0, 3) t(h) WHERE n_nationkey % 6 <> 0""")
+def _(spark, d):
+    from pyspark.sql import Window
+    n = table(spark, d, "nation").withColumn("batch", F.concat(F.lit("batch-"), "n_regionkey"))
+    position = (F.row_number().over(Window.partitionBy("batch").orderBy("n_nationkey")) - 1).cast("int")
+    asked = n.select("batch", position.alias("position"), F.col("n_name").alias("name"), "n_nationkey")
+    # A response per batch lands as one JSON array; every sixth point has no hours and drops out.
+    hours = F.sequence(F.lit(0), F.lit(2))
+    hourly = F.when(F.col("n_nationkey") % 6 != 0, F.struct(F.transform(hours, lambda h: F.concat(F.lit("2024-01-01T0"), h, F.lit(":00"))).alias("time"),
+                                                            F.transform(hours, lambda h: F.col("n_nationkey") * 1.5 + h).alias("temperature_2m")))
+    items = asked.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("position", hourly.alias("hourly")))).alias("a"))
+    path = new_table_path(spark, "responses")
+    (items.select("batch", F.to_json(F.transform("a", lambda x: F.struct(x["hourly"].alias("hourly")))).alias("value"))
+     .repartition("batch").write.partitionBy("batch").text(path))
+    landed = read_payloads(spark, path).withColumn("batch", F.regexp_extract("file", "batch=([^/]*)/", 1))
+    rows = forecast.payload_rows(match_points(landed, asked.drop("n_nationkey")), ["batch", "position", "name"])
+    return rows.select("batch", "position", "name", stamp("ts").alias("ts"), "temp")
+
+
+@query("s4_landed_forecast", "fc", f"""+ {IP} SELECT location_id, {TS}, round(temp, 6) AS temp, round(rh, 6) AS rh, dew, wind FROM i3
+  WHERE temp IS NOT NULL AND rh IS NOT NULL AND dew IS NOT NULL AND wind IS NOT NULL""")
 def _(spark, d):
-    from fogbank.sources.forecast_json import match_points
-    n = table(spark, d, "nation")
-    names = n.select(F.col("n_nationkey").cast("int").alias("position"), F.col("n_name").alias("name"))
-    hourly = F.struct(F.array(F.lit("2024-01-01T00:00")).alias("time"),
-                      F.array(F.col("n_nationkey") * 1.5).alias("temperature_2m"))
-    # Every sixth point has no hours and drops out.
-    items = n.select(F.col("n_nationkey").cast("int").alias("position"),
-                     F.when(F.col("n_nationkey") % 6 != 0, hourly).alias("hourly"))
-    out = forecast.payload_rows(match_points(items, names), ["position", "name"])
-    return out.select(F.col("position").cast("int").alias("position"), "name", "temp")
+    # A file per point and day, each with one object, read back by the reader of single points.
+    path = new_table_path(spark, "forecasts")
+    whole = payloads(spark, d).groupBy("location_id").agg(F.sort_array(F.collect_list(F.struct("day", "hourly"))).alias("days"))
+    joined = F.struct(*[F.flatten(F.col(f"days.hourly.{c}")).alias(c) for c in (
+        "time", "temperature_2m", "precipitation", "relative_humidity_2m", "dew_point_2m", "wind_speed_10m", "sunshine_duration")])
+    (whole.select("location_id", F.to_json(F.struct(joined.alias("hourly")), {"ignoreNullFields": "false"}).alias("value"))
+     .repartition("location_id").write.partitionBy("location_id").text(path))
+    rows = read_forecast(spark, path).withColumn("location_id", F.regexp_extract("file", "location_id=([^/]*)/", 1))
+    return rows.select("location_id", stamp("ts").alias("ts"), r6("temp").alias("temp"), r6("rh").alias("rh"), "dew", "wind")
 
 
 @query("s6_coordinates", "", """SELECT n_name AS name, CAST(n_nationkey AS DOUBLE) AS lat, n_regionkey + 0.5::DOUBLE AS lon
@@ -384,8 +422,7 @@ def _(spark, d):
   THEN 'train' ELSE 'test' END AS split FROM sc""")
 def _(spark, d):
     rows = scored(spark, d).select("event_id", "ts")
-    width = fitting_width(rows, [], "ts", rows=1_000, widest=DAY_US, least=1_000)
-    out = splits.temporal_split(rows, [], ties=["event_id"], width_us=width)
+    out = splits.temporal_split(rows, [], ties=["event_id"])
     return out.select("event_id", "split")
 
 

@@ -101,21 +101,34 @@ def suspicious_blocks(labels: DataFrame, keys: Sequence[str], ts: str = "ts", co
     return merged.filter((F.col("n") >= min_rows) & (F.col("slash_ratio") <= max_slash_ratio)).drop("_block")
 
 
-def drop_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], ts: str = "ts",
-                width_us: int = WIDTH_US) -> DataFrame:
+def block_index(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks under the nodes of a dyadic tree of times: (keys, _from, _to, _level, _node), two rows a block at most.
+
+    A node of level l covers 2^l microseconds. A block is listed on the level whose nodes are just longer than the block, so it lies
+    in one node or reaches into the next one, however long it is.
+    """
+    bounds = blocks.select(*keys, micros("start").alias("_from"), micros("end").alias("_to")).filter(F.col("_from") <= F.col("_to"))
+    levelled = bounds.withColumn("_level", F.length(F.bin(F.col("_to") - F.col("_from"))))
+    ends = F.array_distinct(F.array(F.expr("shiftright(_from, _level)"), F.expr("shiftright(_to, _level)")))
+    return levelled.withColumn("_node", F.explode(ends))
+
+
+def drop_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Rows outside every block of their location; both ends of a block belong to it.
 
-    The interval test rides on an equi-join by location and segment: a block is listed under
-    each segment it touches, so the rows of a large location stay spread out.
+    A time looks up the nodes above it on the levels that hold blocks in one equi-join by location, level and node, so the times
+    of a large location stay spread out. The times found are few, and their rows go.
     """
-    listed = blocks.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys], F.col("start").alias("_from"), F.col("end").alias("_to"),
-        F.explode(F.sequence(time_segment("start", width_us), time_segment("end", width_us))).alias("_b_seg"))
-    cut = df.withColumn("_seg", time_segment(ts, width_us)).withColumn("_t", F.col(ts).cast("timestamp"))
-    condition = (F.col("_seg") == F.col("_b_seg")) & F.col("_t").between(F.col("_from"), F.col("_to"))
-    for k in keys:
-        condition &= F.col(k) == F.col(f"_b_{k}")
-    return cut.join(listed, condition, "left_anti").drop("_seg", "_t")
+    listed = block_index(blocks, keys)
+    # At most 63 levels.
+    levels = sorted(r["_level"] for r in listed.select("_level").distinct().collect())
+    if not levels:
+        return df
+    nodes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), F.shiftright("_t", n).alias("_node")) for n in levels]))
+    times = df.select(*keys, micros(ts).alias("_t")).select(*keys, "_t", nodes.alias("_n")).select(*keys, "_t", "_n.*")
+    inside = (times.join(listed, [*keys, "_level", "_node"]).filter(F.col("_t").between(F.col("_from"), F.col("_to")))
+              .select(*keys, "_t").distinct())
+    return df.withColumn("_t", micros(ts)).join(inside, [*keys, "_t"], "left_anti").select(*df.columns)
 
 
 def gap_report(last: DataFrame, forecast_start: DataFrame, keys: Sequence[str]) -> DataFrame:

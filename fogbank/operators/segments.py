@@ -66,8 +66,25 @@ def with_halo(df: DataFrame, t: str, reach_us: int, width_us: int = WIDTH_US) ->
             .withColumn("_own", F.col("_seg") == own))
 
 
-def _keys(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in keys] or [F.lit(0)]
+#: Segments whose sizes are added up in one task when there is no key.
+SEGMENTS_PER_GROUP = 4096
+
+
+def _starts(sizes: DataFrame, total: str | None) -> DataFrame:
+    """Rows before each segment of a table without keys, in two levels: groups of segments first, then segments in their group.
+
+    The driver adds up one number per group of segments, so no task sees all segments.
+    """
+    grouped = sizes.withColumn("_group", F.floor(F.col("_seg") / SEGMENTS_PER_GROUP).cast("bigint"))
+    held = sorted((r["_group"], r["n"]) for r in grouped.groupBy("_group").agg(F.sum("_n").alias("n")).collect())
+    before, rows = 0, []
+    for group, n in held:
+        rows.append((group, before))
+        before += n
+    offsets = sizes.sparkSession.createDataFrame(rows, "_group bigint, _offset bigint")
+    inside = F.sum("_n").over(Window.partitionBy("_group").orderBy("_seg")) - F.col("_n")
+    starts = grouped.withColumn("_start", inside).join(offsets, "_group").withColumn("_start", F.col("_start") + F.col("_offset"))
+    return (starts.withColumn(total, F.lit(before).cast("bigint")) if total else starts).drop("_group", "_offset")
 
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column,
@@ -80,14 +97,14 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], segme
     before anything is sorted.
     """
     cut = df.withColumn("_seg", guarded(keys, segment))
-    by_order = Window.partitionBy(*_keys(keys)).orderBy("_seg")
     sizes = cut.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(by_order) - F.col("_n"))
-    if total:
-        starts = starts.withColumn(total, F.sum("_n").over(Window.partitionBy(*_keys(keys))))
+    starts = _starts(sizes, total) if not keys else sizes.withColumn(
+        "_start", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_seg")) - F.col("_n"))
+    if total and keys:
+        starts = starts.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
     if at_most is not None:
         starts = starts.filter(F.col("_start") < at_most)
-    inside = Window.partitionBy(*_keys(keys), "_seg").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
     ranked = (join_on(cut, starts.drop("_n"), [*keys, "_seg"])
               .withColumn(rank, F.col("_start") + F.row_number().over(inside))
               .drop("_start", "_seg"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
+from fogbank.functions.dates import micros
 from fogbank.operators.segments import WIDTH_US, join_on, ordered_rank, time_segment
 
 
@@ -32,33 +33,53 @@ def temporal_split(df: DataFrame, keys: Sequence[str], ts: str = "ts", ties: Seq
                         .when(F.col("rank") <= F.col("n_train"), "val").otherwise("test")))
 
 
-def row_at(df: DataFrame, position: int, ts: str, ties: Sequence[str] = ()) -> dict:
-    """Values of (ts, ties) in the row at a 1-based position of their order.
+#: Bits a pass of a selection settles: the driver gets 2^8 numbers at most.
+DIGIT = 8
+
+
+def select_rank(df: DataFrame, value: Column, position: int) -> tuple[int, int]:
+    """The value at a 1-based position of the order of ``value`` (whole numbers, not null), and the position among its equals.
 
-    Found in counts per day and then per time of one day; the driver holds as many numbers as there are days, then
-    times of a day. Ties are only put in order among the rows of one time, as many as there are series.
+    A radix selection: counts by the highest digit say which digit the value has, then counts by the next one among those.
     """
-    left = position
-    for scope, unit in ((None, F.date_trunc("day", F.col(ts))), ("day", F.col(ts))):
-        rows = df if scope is None else df.filter(F.date_trunc("day", F.col(ts)) == F.lit(at))
-        for r in rows.groupBy(unit.alias("_t")).count().orderBy("_t").toLocalIterator():
-            if left <= r["count"]:
-                at = r["_t"]
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    rest = df.select((value - F.lit(low)).alias("_v"))
+    found, shift = 0, max(0, (high - low).bit_length() - 1) // DIGIT * DIGIT
+    while shift >= 0:
+        digit = F.shiftright("_v", shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        counts = {r["d"]: r["n"] for r in rest.groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for d in sorted(counts):
+            if position <= counts[d]:
                 break
-            left -= r["count"]
+            position -= counts[d]
+        found += d << shift
+        rest = rest.filter(F.shiftright("_v", shift) == F.lit(found >> shift))
+        shift -= DIGIT
+    return low + found, position
+
+
+def tie_order(ties: Sequence[str]) -> Column:
+    """Place of a row among those of its time: by a hash of the tie columns, as a number of 62 bits."""
+    return F.shiftrightunsigned(F.xxhash64(*ties), 2)
+
+
+def row_at(df: DataFrame, position: int, ts: str, ties: Sequence[str] = ()) -> dict:
+    """What ``up_to`` needs of the row at a 1-based position of the order (ts, hash of the ties).
+
+    Two selections by digits: the driver never sees more than 256 numbers at once, whatever the times and however many share one.
+    """
+    at, left = select_rank(df, micros(ts), position)
     if not ties:
-        return {ts: at}
-    found = df.filter(F.col(ts) == F.lit(at)).select(*ties).orderBy(*ties).offset(left - 1).limit(1).first()
-    return {ts: at, **found.asDict()}
+        return {"ts": ts, "at": at}
+    return {"ts": ts, "at": at, "ties": list(ties), "tie": select_rank(df.filter(micros(ts) == F.lit(at)), tie_order(ties), left)[0]}
 
 
 def up_to(end: dict) -> Column:
-    """Rows that are not after the row whose order values are ``end``."""
-    names = list(end)
-    inside = F.col(names[-1]) <= F.lit(end[names[-1]])
-    for name in reversed(names[:-1]):
-        inside = (F.col(name) < F.lit(end[name])) | ((F.col(name) == F.lit(end[name])) & inside)
-    return inside
+    """Rows that are not after the row that ``row_at`` found."""
+    t = micros(end["ts"])
+    if "tie" not in end:
+        return t <= F.lit(end["at"])
+    return (t < F.lit(end["at"])) | ((t == F.lit(end["at"])) & (tie_order(end["ties"]) <= F.lit(end["tie"])))
 
 
 def fold_count(n: Column) -> Column:

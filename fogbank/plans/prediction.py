@@ -31,7 +31,7 @@ def training_rows(obs: DataFrame, labels: DataFrame, sheet: Sequence[str] = ("fi
     recorded = labels.filter(F.col("code").isNotNull()).select(*sheet, "ts", "location_id", "code")
     width = fitting_width(labels, ["location_id"], "ts")
     blocks = quality.suspicious_blocks(labels, ["location_id"], width_us=width)
-    kept = quality.drop_blocks(recorded, blocks, ["location_id"], width_us=width)
+    kept = quality.drop_blocks(recorded, blocks, ["location_id"])
     joined = kept.join(prepared.select(*sheet, "ts", *names), [*sheet, "ts"])
     return joined.na.drop(subset=names).select("location_id", "ts", "code", *names), names
 
@@ -60,17 +60,23 @@ def forecast_rows(locations: DataFrame, default: DataFrame, own: DataFrame | Non
     return forecast_for_each(chosen, mine, base.drop("location_id")).drop("source", "mismatched")
 
 
-def own_forecasts(spark: SparkSession, path: str, locations: DataFrame, coords: DataFrame) -> DataFrame:
-    """Forecasts of the locations that have coordinates, by ``location_id``.
+def request_manifest(locations: DataFrame, coords: DataFrame, per_batch: int = 50) -> DataFrame:
+    """(batch, position, name, lat, lon): the points to ask for, a request per batch.
 
-    A landed response holds its points in the order of the names it was asked for: the located
-    names, each once, in ascending order.
+    Located names, each once. A request asks for the points of its batch in the order of their positions; its response is landed
+    under the batch's name (``batch``.json) and this table beside it.
     """
-    names = locate(locations.select("location_id", "name"), coords)
-    # As many rows as there are places.
-    asked = names.select("name").distinct().withColumn(
-        "position", (F.row_number().over(Window.orderBy("name")) - 1).cast("int"))
-    return read_forecasts(spark, path, asked).join(names.select("location_id", "name"), "name").drop("name")
+    named = locate(locations.select("location_id", "name"), coords).select("name", "lat", "lon").dropDuplicates(["name"])
+    batches = max(1, -(-named.count() // per_batch))
+    dealt = named.withColumn("batch", F.format_string("batch-%06d", F.pmod(F.xxhash64("name"), F.lit(batches))))
+    position = F.row_number().over(Window.partitionBy("batch").orderBy("name")) - 1
+    return dealt.select("batch", position.cast("int").alias("position"), "name", "lat", "lon")
+
+
+def own_forecasts(spark: SparkSession, path: str, locations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Forecasts of the locations that were asked for, by ``location_id``, from landed responses and their ``manifest``."""
+    rows = read_forecasts(spark, path, manifest.select("batch", "position", "name"))
+    return rows.join(locations.select("location_id", "name"), "name").drop("name")
 
 
 def publish(obs: DataFrame, labels: DataFrame, locations: DataFrame, forecast: DataFrame,

@@ -27,9 +27,22 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.posexplode(items).alias("position", "item")).select("file", "position", "item.hourly")
 
 
-def match_points(items: DataFrame, names: DataFrame) -> DataFrame:
-    """Items beside the point they were asked for, matched by position; items without hours drop out."""
-    return items.filter(F.col("hourly").isNotNull()).join(names, "position")
+def with_batch(items: DataFrame) -> DataFrame:
+    """``batch``: the name of the response's file without folder and extension."""
+    return items.withColumn("batch", F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1))
+
+
+def match_points(items: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Items (batch, position, hourly) beside the names that the manifest (batch, position, name) gives them.
+
+    An item the manifest does not know (a response nobody asked for, or more items than points) is an error: names would shift.
+    Items without hours drop out.
+    """
+    asked = manifest.select("batch", "position", F.struct("name").alias("_asked"))
+    matched = items.join(asked, ["batch", "position"], "left")
+    known = F.when(F.col("_asked").isNull(), F.raise_error(F.concat_ws(
+        " ", F.lit("no point was asked for at position"), "position", F.lit("of response"), "batch"))).otherwise(F.col("_asked.name"))
+    return matched.withColumn("name", known).drop("_asked").filter(F.col("name").isNotNull() & F.col("hourly").isNotNull())
 
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
@@ -37,9 +50,9 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     return _not_empty(shape_forecast(read_payloads(spark, path), ["file"]), path)
 
 
-def read_forecasts(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
-    """Hourly rows of a several-point response; ``names`` holds (position, name)."""
-    return _not_empty(shape_forecast(match_points(read_payloads(spark, path), names), ["name"]), path)
+def read_forecasts(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Hourly rows of responses for several points each; ``manifest`` holds (batch, position, name)."""
+    return _not_empty(shape_forecast(match_points(with_batch(read_payloads(spark, path)), manifest), ["name"]), path)
 
 
 def _not_empty(rows: DataFrame, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from fogbank.models.training import FogModel, Plan, load_or_train, resolve_kind,
 from fogbank.plans.prediction import publish, training_rows
 
 START = dt.datetime(2025, 9, 3)
-QUICK = Plan(kind="hybrid", forest=ForestParams(trees=15, depth=6), boosted=BoostParams(rounds=3, depth=3), threads=2)
+QUICK = Plan(kind="hybrid", learner="ml", forest=ForestParams(trees=15, depth=6), boosted=BoostParams(rounds=3, depth=3), threads=2)
 
 
 def weather(spark, days, seed=11):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fogbank.gate import ORACLES, QUERIES
 from fogbank.operators import features, metrics, quality, splits
-from fogbank.plans.prediction import forecast_rows, own_forecasts
+from fogbank.plans.prediction import forecast_rows, own_forecasts, request_manifest
 from fogbank.sources.forecast_json import read_forecast, read_forecasts
 
 DATA = "/root/testdata/sf0.001"
@@ -140,20 +140,32 @@ def test_forecast_of_one_point(spark, tmp_path):
     assert (rows[0].sunshine, rows[0].visibility, rows[0].pressure, rows[0].radiation) == (.25, 12.5, 987.5, pytest.approx(.9))
 
 
-def test_forecast_of_several_points(spark, tmp_path):
-    path = landed(tmp_path / "f.json", [response(4), {"error": True}, response(4, temperature_2m=[31.5] * 4)])
-    names = spark.createDataFrame([(0, "峠"), (1, "沼"), (2, "港")], "position int, name string")
-    rows = read_forecasts(spark, path, names).groupBy("name").agg(F.max("temp").alias("t")).collect()
-    assert {r.name: r.t for r in rows} == {"峠": -1.0, "港": 31.5}
+def test_forecasts_of_several_points_in_two_responses(spark, tmp_path):
+    landed(tmp_path / "batch-1.json", [response(4), {"error": True}, response(4, temperature_2m=[31.5] * 4)])
+    landed(tmp_path / "batch-2.json", [response(4, temperature_2m=[7.0] * 4), response(4, temperature_2m=[8.0] * 4)])
+    manifest = spark.createDataFrame([("batch-1", 0, "峠"), ("batch-1", 1, "沼"), ("batch-1", 2, "港"), ("batch-2", 0, "原"), ("batch-2", 1, "沢")],
+                                     "batch string, position int, name string")
+    rows = read_forecasts(spark, str(tmp_path), manifest).groupBy("name").agg(F.max("temp").alias("t"), F.count("*").alias("n")).collect()
+    assert {r.name: (r.t, r.n) for r in rows} == {"峠": (-1.0, 4), "港": (31.5, 4), "原": (7.0, 4), "沢": (8.0, 4)}
+    for fewer in ("batch = 'batch-1'", "name <> '沢'"):
+        # A response nobody asked for, and one item too many.
+        with pytest.raises(Exception, match="no point was asked for"):
+            read_forecasts(spark, str(tmp_path), manifest.filter(fewer)).collect()
 
 
 def test_own_forecasts_meet_locations_by_coordinates(spark, tmp_path):
-    path = landed(tmp_path / "f.json", [response(4), response(4, temperature_2m=[31.5] * 4)])
     locations = spark.createDataFrame([("a!J", "沼"), ("b!J", "峠"), ("b!K", "沼"), ("b!L", "原")], "location_id string, name string")
     coords = spark.createDataFrame([("沼", 1.0, 2.0), ("峠", 3.0, 4.0)], "name string, lat double, lon double")
-    # Asked in the order of the names: 峠 comes before 沼.
-    rows = own_forecasts(spark, path, locations, coords).groupBy("location_id").agg(F.max("temp").alias("t")).collect()
+    manifest = request_manifest(locations, coords)
+    asked = manifest.orderBy("position").collect()
+    assert [(r.batch, r.position, r.name, r.lat) for r in asked] == [("batch-000000", 0, "峠", 3.0), ("batch-000000", 1, "沼", 1.0)]
+    landed(tmp_path / "batch-000000.json", [response(4), response(4, temperature_2m=[31.5] * 4)])
+    rows = own_forecasts(spark, str(tmp_path), locations, manifest).groupBy("location_id").agg(F.max("temp").alias("t")).collect()
     assert {r.location_id: r.t for r in rows} == {"b!J": -1.0, "a!J": 31.5, "b!K": 31.5}
+    many = request_manifest(spark.range(500).select(F.lit("x").alias("location_id"), F.concat(F.lit("n"), "id").alias("name")),
+                            spark.range(500).select(F.concat(F.lit("n"), "id").alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")), 50)
+    per = many.groupBy("batch").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.count_distinct("position").alias("d")).collect()
+    assert sum(r.n for r in per) == 500 and len(per) == 10 and all(r.n == r.d == r.last + 1 for r in per)
 
 
 def test_absent_wind_direction_is_not_calm(spark, tmp_path):
@@ -171,11 +183,45 @@ def test_empty_forecast_is_an_error(spark, tmp_path):
         read_forecast(spark, landed(tmp_path / "f.json", response(5, wind_speed_10m=[None] * 5)))
 
 
-def test_rows_at_positions(spark):
-    rows = spark.range(500).select(F.timestamp_seconds(F.floor(F.col("id") / 4) * 3600).alias("ts"), F.concat(F.lit("p"), F.col("id") % 4).alias("p"))
-    for position in (1, 4, 97, 98, 500):
+def test_rows_at_positions(spark, monkeypatch):
+    """Times with ties, some a microsecond apart; the driver gets at most 256 rows at once."""
+    micro = F.timestamp_micros(F.floor(F.col("id") / 4) * F.when(F.col("id") < 200, 1).otherwise(3_600_000_007))
+    rows = spark.range(500).select(micro.alias("ts"), F.concat(F.lit("p"), F.col("id") % 4).alias("p"))
+    collect, seen = type(rows).collect, []
+
+    def counted(self):
+        got = collect(self)
+        seen.append(len(got))
+        return got
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    for position in (1, 4, 97, 98, 201, 500):
         end = splits.row_at(rows, position, "ts", ["p"])
         assert rows.filter(splits.up_to(end)).count() == position
+    assert max(seen) <= 256
+    assert splits.select_rank(rows, F.unix_micros("ts"), 7)[1] == 3
+
+
+def test_a_long_block_has_few_entries(spark):
+    year = spark.createDataFrame([("L", "2023-01-01 00:00:00", "2023-12-31 23:59:00"), ("L", "2024-03-01 00:00:00", "2024-03-01 00:00:00"), ("M", "2024-01-01 00:00:00", "2024-01-02 00:00:00")],
+                                 "k string, start string, end string").select("k", F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"))
+    assert quality.block_index(year, ["k"]).count() <= 2 * 3
+    hours = spark.range(0, 24 * 500).select((F.timestamp_seconds(F.lit(1_672_444_800) + F.col("id") * 3600)).alias("ts")).withColumn("k", F.explode(F.array(F.lit("L"), F.lit("M"))))
+    want = hours.join(year, "k").filter(F.col("ts").between(F.col("start"), F.col("end"))).select("k", "ts")
+    kept = quality.drop_blocks(hours, year, ["k"])
+    assert kept.columns == ["ts", "k"] and kept.count() == hours.count() - want.distinct().count()
+    assert kept.join(want, ["k", "ts"], "left_semi").isEmpty()
+    assert quality.drop_blocks(hours, year.limit(0), ["k"]).count() == hours.count()
+
+
+def test_ranks_without_keys_see_segments_in_groups(spark, monkeypatch):
+    from fogbank.operators import segments
+
+    monkeypatch.setattr(segments, "SEGMENTS_PER_GROUP", 3)
+    rows = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 977 % 86_400).alias("ts"), "id")
+    ranked = ordered_rank(rows, [], ["ts", "id"], time_segment("ts", 3_600_000_000), "r", "n")
+    want = {i: r for r, (_, i) in enumerate(sorted((i * 977 % 86_400, i) for i in range(1000)), 1)}
+    assert {x.id: x.r for x in ranked.collect()} == want and {x.n for x in ranked.select("n").distinct().collect()} == {1000}
 
 
 def test_keyless_weights_shuffle_no_row(spark):
@@ -186,7 +232,7 @@ def test_keyless_weights_shuffle_no_row(spark):
 
 
 @pytest.mark.parametrize("name", ["m1_features", "w4_rolling_mean", "w8_suspicious_blocks", "p6_outside_blocks",
-                                  "w10_temporal_split", "w9_interpolation", "a16_best_threshold", "p12_monthly_panel"])
+                                  "w10_temporal_split", "w10_pooled_split", "w9_interpolation", "a16_best_threshold", "p12_monthly_panel"])
 def test_plan_shape(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
