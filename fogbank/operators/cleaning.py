@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fogbank.functions import dates
 from fogbank.functions.text import cell_text
 from fogbank.operators.segments import ROWS_PER_SEGMENT, guarded, join_on, ordered_rank, row_segment
+from fogbank.session import materialise
 
 
 def resolve_datetimes(df: DataFrame, keys: Sequence[str], row: str, cell: str,
@@ -22,9 +23,9 @@ def resolve_datetimes(df: DataFrame, keys: Sequence[str], row: str, cell: str,
     recursion: month and day alone tell where the year turns, so the year of a row is the
     year of the last dated row plus the turns since then.
 
-    A 29 February that falls in a common year has no datetime and must not take part in the
-    chain. A first pass without leap days finds the year each of them would get, the second
-    pass includes the ones that exist.
+    A 29 February that falls in a common year has no datetime and must not take part in the chain. Which ones do depends on
+    the years before them, so series with year-less leap days are carried again until no leap day changes sides: every pass
+    settles one more leap day of a run, as the years up to it no longer change. All other series are carried once.
     """
     parsed = df.withColumn("_p", dates.datetime_parts(cell))
     p = F.col("_p")
@@ -35,17 +36,28 @@ def resolve_datetimes(df: DataFrame, keys: Sequence[str], row: str, cell: str,
     parsed = parsed.withColumn(
         "_open", F.coalesce(year_less & dates.from_parts(p, F.lit(2000)).isNotNull(), F.lit(False)))
     leap_day = F.col("_open") & (p["mo"] == 2) & (p["d"] == 29)
-
+    exists = F.coalesce(dates.from_parts(p, F.col("_year")).isNotNull(), F.lit(False))
     segment = row_segment(row, rows_per_segment)
-    tried = _carry_years(parsed.withColumn("_live", F.col("_open") & ~leap_day),
-                         keys, row, segment, fallback_year)
-    exists = dates.from_parts(p, F.col("_year")).isNotNull()
-    chained = _carry_years(
-        tried.withColumn("_live", F.col("_open") & (~leap_day | F.coalesce(exists, F.lit(False))))
-        .drop("_year"), keys, row, segment, fallback_year)
-    return (chained.withColumn(out, F.coalesce(
-        "_own", F.when(F.col("_live"), dates.from_parts(p, F.col("_year")))))
-        .drop("_p", "_own", "_open", "_live", "_year"))
+
+    def carried(rows: DataFrame) -> DataFrame:
+        return _carry_years(rows, keys, row, segment, fallback_year)
+
+    def finished(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn(out, F.coalesce("_own", F.when(F.col("_live"), dates.from_parts(p, F.col("_year")))))
+                .drop("_p", "_own", "_open", "_live", "_year"))
+
+    first = parsed.withColumn("_live", F.col("_open") & ~leap_day)
+    # A list of series, written once.
+    held = materialise(parsed.filter(leap_day).select(*(keys or [F.lit(0).alias("_none")])).distinct(), "leap-day-series")
+    if held.isEmpty():
+        return finished(carried(first))
+    plain = join_on(first, held, keys, "left_anti") if keys else first.limit(0)
+    rows = join_on(first, held, keys, "left_semi") if keys else first
+    while True:
+        tried = materialise(carried(rows).withColumn("_next", F.col("_open") & (~leap_day | exists)), "leap-days-carried")
+        if tried.filter(F.col("_next") != F.col("_live")).isEmpty():
+            return finished(carried(plain)).unionByName(finished(tried.drop("_next")))
+        rows = tried.withColumn("_live", F.col("_next")).drop("_next", "_year")
 
 
 def _year_turn(month: Column, day: Column, prev: Column) -> Column:
