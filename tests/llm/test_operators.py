@@ -12,6 +12,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (None, ""), (3, "one")], "item_id bigint, text string")
     runs = {
         "langid": lambda d: langid.identify(d, remainder("doc_id", 4) == 2), "pii": pii.personal_data, "secrets": secrets.find_secrets,
-        "tokens": lambda d: tokens.count_tokens(d, queries.public_tokenizers.path("word_bpe_49k.json")),
+        "tokens": lambda d: tokens.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
         "simhash": simhash.near_duplicates, "katz": lambda d: katz.score(d, remainder("doc_id", 7) == 2), "lines": lines.judged,
         "mixing": mixing.mixed_counts}
     for name, run in runs.items():
@@ -142,7 +143,7 @@ def test_secrets_found_and_place_holders_left(spark):
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
 
-    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     counter = tokens.Counter(tokens.Vocabulary(open(path, encoding="utf-8").read()))
     rng = random.Random(1)
