@@ -101,7 +101,7 @@ def test_matrix_numbers_hold_for_all_shards(spark, odd, monkeypatch):
             assert sorted(counts[a:b].tolist()) == sorted(words.values()) and len(set(columns[a:b].tolist())) == b - a
             seen += 1
             numbers[i] = set(columns[a:b].tolist())
-    words = {i: set(t.split()) for i, t in texts.items()}
+    words = {i: set(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
     assert seen == len(texts) and all(len(numbers[i] & numbers[j]) == len(words[i] & words[j]) for i in texts for j in texts)
 
 
