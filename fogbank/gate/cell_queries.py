@@ -290,6 +290,22 @@ def _(spark, d):
         F.get("fields", F.lit(i)).alias(c) for i, c in enumerate("abcef")])
 
 
+@query("s2_file_types", "", """SELECT p_type AS file, count(*) AS n, true AS refused FROM part GROUP BY ALL""")
+def _(spark, d):
+    # A sheet per type is read; a workbook beside them is refused by its name.
+    p = table(spark, d, "part")
+    path = new_table_path(spark, "file-types")
+    for name, rows in ((f"{path}/sheets", p), (f"{path}/book.xlsx", p.limit(1))):
+        rows.select("p_type", F.concat_ws(",", "p_partkey", "p_name").alias("value")).repartition("p_type").write.partitionBy("p_type").text(name)
+    try:
+        grid.read_rows(spark, f"{path}/book.xlsx")
+        refused = False
+    except ValueError:
+        refused = True
+    rows = grid.read_rows(spark, f"{path}/sheets", "*.txt").withColumn("file", F.url_decode(F.url_decode(F.regexp_extract("file", "p_type=([^/]*)/", 1))))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
+
+
 @query("s10_output_prefix", "", """SELECT p_partkey, split_part(split_part(replace(p_name, ' ', '_'), '_', 1), ' ', 1) AS a,
   split_part(p_name, ' ', 1) AS b FROM part""")
 def _(spark, d):
@@ -316,13 +332,12 @@ def _(spark, d):
 
 @query("g3_header_texts", "ev", f"""+ {SHEETS} SELECT file, CAST(c AS INT) AS c, CASE WHEN c = 0 THEN CASE WHEN t = 2 THEN '観測データ ' || file
      || '|観測データ ' || file || '|' WHEN t = 1 THEN '観測データ ' || file || '|' ELSE '' END || '年月日時'
-   ELSE list_extract(['気温(°C)', '品質情報|品質', '降水量(mm)', '風速(m/s)', '風向', '露点温度(°C)', '相対湿度(%)'], CAST(c AS INT)) END AS texts
-   FROM sh, range(0, 8) r(c)""")
+   WHEN c < 8 THEN list_extract(['気温(°C)', '品質情報|品質', '降水量(mm)', '風速(m/s)', '風向', '露点温度(°C)', '相対湿度(%)'], CAST(c AS INT))
+   WHEN c < 39 THEN '地点' || (c - 7) ELSE list_extract(['地点1', '水温', '取水口'], CAST(c - 38 AS INT)) END AS texts
+   FROM sh, range(0, 42) r(c)""")
 def _(spark, d):
     headers = layout.with_headers(layout.with_shapes(layout.head_table(sheet_rows(spark, d))))
-    # The eight columns left of the locations.
-    return (headers.select("file", F.inline("columns")).filter("c < 8")
-            .select("file", "c", F.array_join("texts", "|").alias("texts")))
+    return headers.select("file", F.inline("columns")).select("file", "c", F.array_join("texts", "|").alias("texts"))
 
 
 @query("g4_column_roles", "ev", f"""+ {SHEETS} SELECT file, CAST(1 AS INT) AS c_temp, CAST(3 AS INT) AS c_rain, CAST(4 AS INT) AS c_wind,
@@ -379,11 +394,8 @@ def _(spark, d):
 @query("w12_duplicate_names", "", """SELECT n_nationkey AS c, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) > 1
   THEN 'R' || n_regionkey || '(' || chr(CAST(65 + n_nationkey AS INT)) || ')' ELSE 'R' || n_regionkey END AS name FROM nation""")
 def _(spark, d):
-    from pyspark.sql import Window
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c"), F.concat(F.lit("R"), "n_regionkey").alias("name"))
-    w = Window.partitionBy("name").orderBy("c")
-    return n.withColumn("name", F.when(F.row_number().over(w) > 1, F.concat(
-        "name", F.lit("("), text.sheet_letter("c"), F.lit(")"))).otherwise(F.col("name")))
+    n = table(spark, d, "nation").select(F.lit("sheet").alias("file"), F.col("n_nationkey").alias("c"), F.concat(F.lit("R"), "n_regionkey").alias("name"))
+    return layout.unique_names(n).select("c", "name")
 
 
 @query("s3_load_observations", "ob", f"""SELECT sheet AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(temp, 6) AS temp, rain,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -589,6 +588,15 @@ def _(spark, d):
     return o.groupBy("ym").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("u7_published_month", "", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym FROM orders
+  WHERE strftime(o_orderdate, '%Y-%m') IN (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders UNION ALL SELECT min(strftime(o_orderdate, '%Y-%m')) FROM orders)""")
+def _(spark, d):
+    path, orders = new_table_path(spark, "months"), table(spark, d, "orders")
+    panels.write_months(orders, path, "o_orderdate")
+    ends = panels.partition_by_month(orders, "o_orderdate").agg(F.min("ym"), F.max("ym")).first()
+    return panels.read_months(spark, path, list(ends)).select("o_orderkey", F.col("ym").cast("string").alias("ym"))
+
+
 @query("p8_recorded_locations", "lb", """SELECT location_id, strftime(ts, '%Y-%m') AS ym, count(code) AS n_recorded FROM lb GROUP BY ALL HAVING count(code) > 0""")
 def _(spark, d):
     return panels.recorded_locations(labels(spark, d), ["location_id"])
@@ -646,15 +654,16 @@ def _(spark, d):
     return panels.probability_grid(predictions(spark, d)).withColumn("max_prob_pct", r6("max_prob_pct"))
 
 
-# Every day the events cover.
-DAYS = [dt.date(2024, 1, i) for i in range(1, 31)]
-
-
-@query("a7_wide_grid", "pr", "SELECT location_id, " + ", ".join(
-    f"""round(max(CASE WHEN CAST(ts AS DATE) = DATE '{x}' THEN fog_prob END) * 100, 6) AS "{x}" """ for x in DAYS) + "FROM pr GROUP BY location_id")
+@query("a7_wide_grid", "pr", """+ dy AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM pr), lc AS (SELECT DISTINCT location_id FROM pr),
+  v AS (SELECT location_id, CAST(ts AS DATE) AS day, round(max(fog_prob) * 100, 6) AS fog_percent FROM pr GROUP BY ALL)
+  SELECT lc.location_id, strftime(dy.day, '%Y-%m-%d') AS day, fog_percent FROM lc, dy LEFT JOIN v ON v.location_id = lc.location_id AND v.day = dy.day""")
 def _(spark, d):
-    wide = panels.wide_grid(panels.probability_grid(predictions(spark, d)), DAYS)
-    return wide.select("location_id", *[r6(F.col(f"`{x}`")).alias(str(x)) for x in DAYS])
+    # A column per day that the data cover, turned back into rows for the comparison.
+    grid = panels.probability_grid(predictions(spark, d))
+    days = sorted(r["day"] for r in grid.select("day").distinct().collect())
+    wide = panels.wide_grid(grid, days)
+    long = panels.wide_to_long(wide, ["location_id"], [str(x) for x in days], "day", "fog_percent")
+    return long.select("location_id", "day", r6("fog_percent").alias("fog_percent"))
 
 
 @query("a8_breakdown", "pr", """SELECT location_id, code, count(*) AS hours, max(max(fog_prob)) OVER (PARTITION BY location_id) AS max_fog_prob

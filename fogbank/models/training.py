@@ -30,6 +30,12 @@ def resolve_kind(kind: str | None) -> str:
     return chosen
 
 
+def kind_column(asked: Column) -> Column:
+    """``resolve_kind`` of a column of names."""
+    chosen = F.lower(F.coalesce(asked, F.lit(K.DEFAULT_KIND)))
+    return F.when(chosen.isin(*K.MODEL_KINDS), chosen).otherwise(F.raise_error(F.concat(F.lit("no model kind: "), asked)))
+
+
 @dataclass(frozen=True)
 class Plan:
     """How models are fitted. ``learner``: ``grouped`` grows the trees of all locations in one pass (``fleet``), ``ml`` fits every

@@ -173,6 +173,14 @@ def check_columns(rows: DataFrame, columns: DataFrame) -> DataFrame:
             .withColumn("ok", F.col("n_bad") <= F.col("n_values") * K.CODE_CHECK_TOLERANCE))
 
 
+def unique_names(columns: DataFrame, where: Column | None = None) -> DataFrame:
+    """Columns (file, c, name): a name that stands further left in its sheet gets the column's letter behind it."""
+    again = F.row_number().over(Window.partitionBy("file", "name").orderBy("c")) > 1
+    again = again if where is None else again & where
+    return columns.withColumn("_again", again).withColumn("name", F.when(F.col("_again"), F.concat(
+        "name", F.lit("("), sheet_letter("c"), F.lit(")"))).otherwise(F.col("name"))).drop("_again")
+
+
 def detect(rows: DataFrame, layout: str = "auto") -> Layout:
     """Layout of every file. ``auto`` falls back to the fixed columns where it finds too little.
 
@@ -224,16 +232,11 @@ def detect(rows: DataFrame, layout: str = "auto") -> Layout:
     files = files.withColumns(columns)
 
     chosen = join_on(verdicts, files.select("file", "_mode"), ["file"]).filter(F.col("mode") == F.col("_mode"))
-    same_name = Window.partitionBy("file", "name").orderBy("c")
     in_file = Window.partitionBy("file").orderBy("c")
     letter = sheet_letter("c")
     # Windows over the columns of one sheet.
-    locations = (chosen.filter("ok").withColumn("_i", F.row_number().over(same_name))
-                 .withColumn("ordinal", F.row_number().over(in_file))
+    locations = (unique_names(chosen.filter("ok"), F.col("mode") == "auto").withColumn("ordinal", F.row_number().over(in_file))
                  .withColumn("location_id", letter)
-                 .withColumn("name", F.when((F.col("_i") > 1) & (F.col("mode") == "auto"),
-                                            F.concat("name", F.lit("("), letter, F.lit(")")))
-                             .otherwise(F.col("name")))
                  .select("file", "location_id", "c", "ordinal", "name"))
     rejected = chosen.filter(~F.col("ok")).select(
         "file", "c", letter.alias("letter"), F.col("name").alias("header"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank import constants as K
@@ -149,3 +149,17 @@ def wide_to_long(wide: DataFrame, ids: Sequence[str], columns: Sequence[str], ke
 def partition_by_month(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Add the month column that writers partition by."""
     return df.withColumn("ym", month_key(ts))
+
+
+def write_months(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """A folder per month, its rows sorted by time within and across files.
+
+    Rows are dealt out by ranges of (month, time), so a large month is several files of their own span of time.
+    """
+    (partition_by_month(df, ts).repartitionByRange("ym", ts).sortWithinPartitions("ym", ts).write.partitionBy("ym").parquet(path))
+
+
+def read_months(spark: SparkSession, path: str, months: Sequence[str]) -> DataFrame:
+    """The rows of the given months (2025-03); other folders are not opened."""
+    stored = spark.read.option("basePath", path).parquet(path)
+    return stored.filter(F.col("ym").cast("string").isin(*months))

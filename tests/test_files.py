@@ -180,3 +180,16 @@ def test_a_column_that_turns_bad_late_is_rejected(spark):
     got = {r["c"]: r for r in check_columns(rows, columns).collect()}
     assert got[0]["ok"] and (got[0]["n_values"], got[0]["n_bad"]) == (8000, 0)
     assert not got[1]["ok"] and got[1]["n_bad"] == 4000 and got[1]["samples"] == ["8.3", "8.4", "8.5", "8.6", "8.0"]
+
+
+def test_published_months_are_pruned_and_sorted(spark, tmp_path):
+    days = spark.range(0, 400).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("ts"), "id").orderBy(F.rand(3))
+    path = str(tmp_path / "months")
+    panels.write_months(days, path)
+    some = panels.read_months(spark, path, ["2024-02", "2025-01"])
+    assert some.count() == 29 + 31 and {r.ym for r in some.select("ym").distinct().collect()} == {"2024-02", "2025-01"}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "ym" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    for part in (tmp_path / "months").glob("ym=2024-03/*.parquet"):
+        times = [r.ts for r in spark.read.parquet(str(part)).collect()]
+        assert times == sorted(times)
