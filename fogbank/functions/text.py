@@ -15,12 +15,13 @@ ColumnLike = Column | str
 
 # What str.strip() removes once compatibility spaces have been folded to U+0020.
 _BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029"
-_VOICE_MARKS = "\u3099\u309a"
+#: Assigned planes with characters that fold; surrogates are none.
+_PLANES = ((0x80, 0xD800), (0xE000, 0x10000), (0x10000, 0x20000), (0x2F800, 0x2FA20))
 
 
 def _folds() -> dict[str, str]:
-    """Characters of the basic plane, but for surrogates, whose NFKC form differs, with that form."""
-    points = (chr(p) for block in ((0x80, 0xD800), (0xE000, 0x10000)) for p in range(*block))
+    """Characters whose NFKC form differs, with that form."""
+    points = (chr(p) for block in _PLANES for p in range(*block))
     return {c: folded for c in points if (folded := unicodedata.normalize("NFKC", c)) != c}
 
 
@@ -28,26 +29,39 @@ _FOLDS = _folds()
 _FOLD_FROM = "".join(c for c, folded in _FOLDS.items() if len(folded) == 1)
 _FOLD_TO = "".join(folded for folded in _FOLDS.values() if len(folded) == 1)
 _LONGER = {c: folded for c, folded in _FOLDS.items() if len(folded) > 1}
-# Kana that a voice mark turns into another character; half-width kana carry theirs apart.
-_VOICED = {pair: one for p in range(0x3041, 0x3100) for mark in _VOICE_MARKS
-           if len(one := unicodedata.normalize("NFC", pair := chr(p) + mark)) == 1}
-_REPLACED = {**_LONGER, **_VOICED}
+
+
+def _composed() -> dict[str, str]:
+    """Pairs of a letter and a mark (accent, voice mark of a kana) that are one character, with it. Hangul is no pair of this kind."""
+    out = {}
+    for p in (p for block in _PLANES for p in range(*block)):
+        parts = unicodedata.decomposition(chr(p)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if len(one := unicodedata.normalize("NFC", pair)) == 1:
+                out[pair] = unicodedata.normalize("NFKC", one)
+    return out
+
+
+_COMPOSED = _composed()
+_MARKS = "".join(sorted({pair[1] for pair in _COMPOSED}))
+_REPLACED = {**_LONGER, **_COMPOSED}
 
 
 def _folded(text: Column) -> Column:
-    """NFKC of a text from built-in functions: all folds of single characters, and voice marks of kana.
+    """NFKC of a text from built-in functions: all folds of single characters, and letters with one mark behind them.
 
     Plain ASCII is left alone; characters that fold to several, which are rare, are looked up one by one.
     """
     single = F.translate(text, _FOLD_FROM, _FOLD_TO)
     # One literal, which the optimizer turns into a map; no folded text holds these control characters.
     table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in _REPLACED.items())), F.lit("\x02"), F.lit("\x01"))
-    pieces = F.regexp_extract_all(single, F.lit(f"(?s).[{_VOICE_MARKS}]?"), F.lit(0))
+    pieces = F.regexp_extract_all(single, F.lit(f"(?s).[{_MARKS}]?"), F.lit(0))
     # A character before a mark that it does not join is looked up alone.
     looked_up = F.array_join(F.transform(pieces, lambda p: F.coalesce(
         F.try_element_at(table, p), F.concat(F.coalesce(F.try_element_at(table, F.substring(p, 1, 1)), F.substring(p, 1, 1)),
                                              F.substring(p, 2, 1)))), "")
-    rare = F.translate(single, "".join(_LONGER) + _VOICE_MARKS, "") != single
+    rare = F.translate(single, "".join(_LONGER) + _MARKS, "") != single
     return (F.when(F.octet_length(text) == F.char_length(text), text)
             .when(rare, looked_up).otherwise(single))
 
@@ -78,8 +92,8 @@ def col(c: ColumnLike) -> Column:
 def cell_text(cell: ColumnLike, full: bool = False) -> Column:
     """Comparable form of a cell; never null.
 
-    The default folds characters with built-in functions and is meant for data cells; it equals NFKC but for letters
-    typed apart from their accents and characters outside the basic plane. ``full=True`` runs complete NFKC in a
+    The default folds characters with built-in functions and is meant for data cells; it equals NFKC but for letters with
+    several marks typed apart and Hangul in single jamo. ``full=True`` runs complete NFKC in a
     vectorised UDF and is meant for the few header cells of a file.
     """
     text = F.coalesce(col(cell).cast("string"), F.lit(""))
