@@ -219,7 +219,7 @@ def test_ranks_without_keys_see_segments_in_groups(spark, monkeypatch):
 
     monkeypatch.setattr(segments, "SEGMENTS_PER_GROUP", 3)
     rows = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 977 % 86_400).alias("ts"), "id")
-    ranked = ordered_rank(rows, [], ["ts", "id"], time_segment("ts", 3_600_000_000), "r", "n")
+    ranked = segments.ordered_rank(rows, [], ["ts", "id"], segments.time_segment("ts", 3_600_000_000), "r", "n")
     want = {i: r for r, (_, i) in enumerate(sorted((i * 977 % 86_400, i) for i in range(1000)), 1)}
     assert {x.id: x.r for x in ranked.collect()} == want and {x.n for x in ranked.select("n").distinct().collect()} == {1000}
 
