@@ -148,7 +148,7 @@ def made_up(texts: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, rate: float = 4.0, batch: int = 64,
-          keep: float = 0.995, others: float = 0.3, seed: int = 7) -> Model | None:
+          keep: float = 0.998, others: float = 0.3, seed: int = 7) -> Model | None:
     """Model from labelled texts; every fifth text only calibrates it. ``others``: made-up segments per labelled one."""
     langs = sorted(set(labels))
     if not langs:
