@@ -13,7 +13,7 @@ from fogbank.functions.dates import DAY_US, HOUR_US
 from fogbank.gate.catalog import query
 from fogbank.gate.views import (DEGREES, events, fine_stamp, labels, limits, observations, payloads, place_names,
                                 predictions, r6, scored, stamp, table)
-from fogbank.operators import cleaning, features, forecast, metrics, panels, quality, splits
+from fogbank.operators import features, forecast, metrics, panels, quality, splits
 from fogbank.operators.segments import fitting_width
 from fogbank.session import new_table_path
 from fogbank.sources.forecast_json import match_points, read_forecast, read_payloads

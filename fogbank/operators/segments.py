@@ -35,16 +35,17 @@ def fitting_width(df: DataFrame, keys: Sequence[str], t: str, rows: int = ROWS_P
                   widest: int = WIDTH_US, least: int = MINUTE_US) -> int:
     """The widest of ``widest``, its half, quarter ... (not below ``least``) with no segment of more than ``rows`` rows.
 
-    One aggregate: rows per finest segment combine in the tasks, then add up to the segments of every width. The driver
-    gets one number per width. Where even the finest is too full, the finest is returned: that many rows lie that close.
+    One aggregate per width tried: the fullest segment tells how many halvings are needed at least, as a half of a segment
+    holds half of its rows or more. The driver gets one number. Where even the finest is too full, the finest is returned: that
+    many rows lie that close.
     """
-    halvings = max(0, (widest // least).bit_length() - 1)
-    finest = widest >> halvings
-    counts = df.groupBy(*keys, F.floor(micros(t) / finest).cast("bigint").alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-    steps = counts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(halvings))))
-    full = (steps.groupBy(*keys, "_k", F.expr("shiftright(_slot, _k)").alias("_slot")).agg(F.sum("_n").alias("_n"))
-            .groupBy("_k").agg(F.max("_n").alias("_n")).filter(F.col("_n") <= rows).agg(F.max("_k")).first()[0])
-    return finest << (full or 0)
+    halvings, k = max(0, (widest // least).bit_length() - 1), 0
+    while True:
+        slot = F.floor(micros(t) / (widest >> k)).cast("bigint").alias("_slot")
+        fullest = df.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if fullest <= rows or k == halvings:
+            return widest >> k
+        k = min(halvings, k + (-(-fullest // rows) - 1).bit_length())
 
 
 def row_segment(position: Column | str, width: int = ROWS_PER_SEGMENT) -> Column:

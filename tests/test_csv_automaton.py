@@ -1,7 +1,10 @@
-import csv, io, random
-import pytest
+"""Quotes anywhere: rows of files cut at every line against the csv module, broken files alone."""
+
+import csv
+import io
+import random
+
 from fogbank.sources import grid
-from pyspark.sql import functions as F
 
 
 def replay(text):
@@ -9,13 +12,13 @@ def replay(text):
     return [r for r in rows if r]
 
 
-def test_quotes_anywhere_cut_at_every_line(spark, tmp_path):
+def test_quotes_anywhere_cut_at_every_line(spark):
     rng = random.Random(11)
     pieces = ["a", "b", '"', '""', ",", "\n", " ", "x\"y", '"q,\n"', ""]
     texts = []
     while len(texts) < 150:
         t = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
-        if t.strip() and not any(l != "" and l.strip() == "" for l in t.split("\n")):
+        if t.strip() and not any(x != "" and x.strip() == "" for x in t.split("\n")):
             texts.append(t)
     lines, want = [], {}
     for k, t in enumerate(texts):
