@@ -148,8 +148,11 @@ def made_up(texts: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, rate: float = 4.0, batch: int = 64,
-          keep: float = 0.998, others: float = 0.3, seed: int = 7) -> Model | None:
-    """Model from labelled texts; every fifth text only calibrates it. ``others``: made-up segments per labelled one."""
+          keep: float = 0.998, others: float = 0.3, least_steps: int = 300, seed: int = 7) -> Model | None:
+    """Model from labelled texts; every fifth text only calibrates it. ``others``: made-up segments per labelled one.
+
+    Few texts are gone through more often, for ``least_steps`` steps.
+    """
     langs = sorted(set(labels))
     if not langs:
         return None
@@ -172,7 +175,9 @@ def train(texts: list[str], labels: list[str], dim: int = 12, epochs: int = 3, r
     E = rng.normal(0, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     W = np.zeros((dim, len(langs) + 1), dtype=np.float32)
     usable = np.flatnonzero(counts > 0)
-    steps, step = epochs * max(1, -(-len(usable) // batch)), 0
+    per_epoch = max(1, -(-len(usable) // batch))
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(usable)
         for b in range(0, len(order), batch):
@@ -203,13 +208,13 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, junk: list[str], wh
     """Temperature of least log loss; threshold between the scores of the ``whole`` first, known texts and those of ``junk``.
 
     It lies half way from the score that all but 5 % of the junk stays below to the one that the share ``keep`` of the known texts
-    reaches. Where the two overlap, the known texts stay. It is never so low that a text of unknown n-grams alone, an even guess, passes.
+    reaches. Where the two overlap, it is as low as can be: a text of unknown n-grams alone, an even guess, never passes.
     """
     found = []
-    for t in np.geomspace(0.05, 4, 25):
+    for t in np.geomspace(0.3, 4, 20):
         model.temperature = float(t)
         p, some = model.scores(texts)
-        found.append((-np.log(np.maximum(p[np.arange(len(y)), y], 1e-9))[some].mean(), float(t)))
+        found.append((-np.log(np.maximum(p[np.arange(len(y)), y], 1e-9))[some].sum(), float(t)))
     model.temperature = min(found)[1]
     p, some = model.scores(texts[:whole])
     known = np.sort(p.max(axis=1)[some])
@@ -218,7 +223,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, junk: list[str], wh
     if len(known):
         low = known[int((1 - keep) * len(known))]
         high = other[int(0.95 * len(other))] if len(other) else 0.0
-        model.threshold = max(float((low + min(low, high)) / 2), 1 / (len(model.langs) + 1) + 0.05)
+        model.threshold = max(float((low + high) / 2) if high < low else 0.0, 1 / (len(model.langs) + 1) + 0.05)
 
 
 def sample(docs: DataFrame, lang: str, learn: Column, rows: int) -> tuple[list[str], list[str]]:
