@@ -64,6 +64,14 @@ def head_table(rows: DataFrame) -> DataFrame:
         F.col("_head.r").alias("r"), folded_texts("_head.fields").alias("t")).alias("head"))
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once however often ``then`` reads it.
+
+    Spark joins the steps on a row into one expression: a column read inside a loop over cells would be worked out per cell.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _first_index(texts: Column, words: Sequence[str]) -> Column:
     return F.array_min(F.transform(texts, lambda t, i: F.when(contains_any(t, words), i)))
 
@@ -87,15 +95,17 @@ def with_shapes(heads: DataFrame) -> DataFrame:
     best = F.array_max(F.transform(searched, lambda x: F.struct(hits(x["t"]).alias("n"), (-x["r"]).alias("r"))))
     out = heads.withColumn("_best", best).withColumn("header_row", F.coalesce(
         exact, F.when(F.col("_best.n") >= 2, -F.col("_best.r")), F.lit(0)).cast("int"))
-    in_header = F.filter("head", lambda x: x["r"] <= F.col("header_row"))
-    dt = F.array_min(F.transform(in_header, lambda x: _first_index(x["t"], K.DATETIME_KEYWORDS)))
+    dt = once(F.col("header_row"), lambda h: F.array_min(F.transform(
+        F.filter("head", lambda x: x["r"] <= h), lambda x: _first_index(x["t"], K.DATETIME_KEYWORDS))))
     out = out.withColumn("dt_col", F.coalesce(dt, F.lit(0)).cast("int"))
 
     def start(column: Column) -> Column:
-        filled = F.array_min(F.transform("head", lambda x: F.when(
-            (x["r"] > F.col("header_row")) & (F.get(x["t"], column) != ""), x["r"])))
-        most = F.least(F.col("header_row") + 1 + K.SUBHEADER_ROWS, F.col("n_rows"))
-        return F.least(F.coalesce(filled, most), most).cast("int")
+        def after(at: Column) -> Column:
+            filled = F.array_min(F.transform("head", lambda x: F.when((x["r"] > at["h"]) & (F.get(x["t"], at["c"]) != ""), x["r"])))
+            most = F.least(at["h"] + 1 + K.SUBHEADER_ROWS, F.col("n_rows"))
+            return F.least(F.coalesce(filled, most), most).cast("int")
+
+        return once(F.struct(F.col("header_row").alias("h"), column.alias("c")), after)
 
     return (out.withColumn("data_start", start(F.col("dt_col")))
             .withColumn("data_start_fixed", start(F.lit(K.FIXED_DATETIME_COLUMN))).drop("_best"))
@@ -103,12 +113,14 @@ def with_shapes(heads: DataFrame) -> DataFrame:
 
 def with_headers(shapes: DataFrame) -> DataFrame:
     """``columns``: per column with any header text its number and the texts from the top down."""
-    used = F.filter("head", lambda x: x["r"] < F.col("data_start"))
-    texts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0))), lambda c: F.struct(
-        c.alias("c"), F.filter(F.transform(F.col("_used"), lambda x: F.get(x["t"], c)),
-                               lambda t: t != "").alias("texts")))
-    return (shapes.withColumn("_used", used).withColumn("columns", F.filter(
-        texts, lambda x: F.size(x["texts"]) > 0)).drop("_used"))
+    used = once(F.col("data_start"), lambda start: F.filter("head", lambda x: x["r"] < start))
+    last = F.greatest(F.col("width") - 1, F.lit(0))
+
+    def texts(used: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(
+            c.alias("c"), F.filter(F.transform(used, lambda x: F.get(x["t"], c)), lambda t: t != "").alias("texts")))
+
+    return shapes.withColumn("columns", F.filter(once(used, texts), lambda x: F.size(x["texts"]) > 0))
 
 
 def _unclaimed(name: str, taken: list[str]):

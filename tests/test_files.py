@@ -1,6 +1,7 @@
 """Station files end to end: encodings, quoting, layout, loading."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,16 @@ def test_published_months_are_pruned_and_sorted(spark, tmp_path):
     for part in (tmp_path / "months").glob("ym=2024-03/*.parquet"):
         times = [r.ts for r in spark.read.parquet(str(part)).collect()]
         assert times == sorted(times)
+
+
+def test_headers_of_a_wide_sheet_in_time(spark):
+    # Header row and first data row were worked out again for every column, row and row below.
+    wide = 400
+    head = [("w", 0, ["年月日時", *[f"気温{i}(℃)" for i in range(1, wide)]]), ("w", 1, [None, *["品質"] * (wide - 1)])]
+    data = [("w", 2 + i, [f"2023/11/5 {i}:00", *["1"] * (wide - 1)]) for i in range(13)]
+    rows = spark.createDataFrame(head + data, "file string, r int, fields array<string>").repartition(1)
+    began = time.monotonic()
+    headers = layout.with_headers(layout.with_shapes(layout.head_table(rows)))
+    found = headers.select("file", F.inline("columns")).collect()
+    assert time.monotonic() - began < 15
+    assert {r.c: r.texts for r in found} == {0: ["年月日時"], **{i: [f"気温{i}(°C)", "品質"] for i in range(1, wide)}}
