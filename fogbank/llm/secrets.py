@@ -3,14 +3,14 @@
 Candidates are unbroken runs of 20 or more key-like characters, and values of 8 or more characters assigned to key-like names. Each
 gets features: length, character classes and entropy; how likely its character transitions are in ordinary text; the
 share of it that dictionary words cover; known beginnings of keys; the path (source) it stands in; the words beside it. The
-forest (Spark ML) is trained on labelled findings of a bounded sample: findings of the sample labelled by rule (keys of a known form,
+forest (Spark ML) is trained on the labelled findings of all texts: findings labelled by rule (keys of a known form,
 unnamed values that mix small and capital letters and digits at random, named values that are no words and no place holders), and
-in the place of each of some findings made-up ones: keys of each known form, short passwords and pass phrases behind a name (true), and
+in the place of the first findings of every text made-up ones: keys of each known form, short passwords and pass phrases behind a name (true), and
 place holders, words, numbers, digests and paths (false). Bare secrets, short ones and ones without a digit are so learned wherever
-the sample has none. Transitions and dictionary come from the same sample.
+the texts have none. Transitions and dictionary are counted in all texts.
 
 Defined cases: null and empty texts have no candidates; runs below 20 characters without a key-like name, and named values
-below 8, are none; repeated rows give repeated findings; without a candidate in any sampled text there is no finding; an empty table
+below 8, are none; repeated rows give repeated findings; without a candidate in any text there is no finding; an empty table
 gives an empty result. Starts and ends are code points, end exclusive. A candidate is read whole, however long.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import hash_sample, map_texts, texts_of
+from fogbank.llm.common import map_texts, texts_of
 from fogbank.session import materialise
 
 FEATURES = ("length", "entropy", "digits", "lower", "upper", "other", "switches", "transition", "dictionary", "repeat",
             "named", "assigned", "quoted", "hex", "form", "path", "beside")
-SCHEMA = ("doc_id bigint, start bigint, `end` bigint, sha256 string, labelled boolean, features array<double>")
+SCHEMA = ("doc_id bigint, start bigint, `end` bigint, sha256 string, labelled boolean, made boolean, features array<double>")
 NAMES = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"
 ASSIGNED = re.compile(rf"(?i){NAMES}[A-Za-z0-9_-]{{0,24}}[\"']?(?:\s{{0,4}}(?:=>|=|:)\s{{0,4}}[\"']?|\s{{1,4}}[\"'])([^\s\"'<>,;()]{{8,}})")
 RUN = re.compile(r"eyJ[\w-]{8,}(?:\.[\w-]+)+|[A-Za-z0-9+/_=-]{20,}")
@@ -59,25 +60,32 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+#: Characters of a transition: those of ASCII, the others counted as ``?``.
+PAIRS = 128
+
+
+def pair_keys(low: str) -> np.ndarray:
+    """Numbers of the pairs of neighbouring characters."""
+    points = np.frombuffer(low.encode("ascii", "replace"), np.uint8).astype(np.int64)
+    return points[:-1] * PAIRS + points[1:]
+
+
 class Language:
-    """Transitions and words of ordinary text."""
-
-    def __init__(self, texts: list[str], words: int = 2000):
-        pairs, singles, known = Counter(), Counter(), Counter()
-        for t in texts:
-            low = t.lower()
-            pairs.update(zip(low, low[1:]))
-            singles.update(low)
-            known.update(w for w in re.findall(r"[^\W\d_]{3,}", low))
-        size = len(singles) + 1
-        self.pair = {k: math.log((n + 1) / (singles[k[0]] + size)) for k, n in pairs.items()}
-        self.floor = math.log(1 / size) if size > 1 else -1.0
-        self.words = {w for w, n in known.most_common(words) if n > 1}
+    """Transitions and words of ordinary text. Characters beyond ASCII count as one."""
+
+    def __init__(self, pairs: dict[int, int], words: Iterable[str]):
+        counts = np.zeros(PAIRS * PAIRS)
+        for k, n in pairs.items():
+            counts[k] = n
+        singles = counts.reshape(PAIRS, PAIRS).sum(axis=1)
+        size = int((singles > 0).sum()) + 1
+        floor = math.log(1 / size) if size > 1 else -1.0
+        self.pair = np.where(counts > 0, np.log((counts + 1) / (np.repeat(singles, PAIRS) + size)), floor - 3)
+        self.words = set(words)
         self.longest = max(map(len, self.words), default=0)
 
     def transition(self, s: str) -> float:
-        low = s.lower()
-        return sum(self.pair.get(p, self.floor - 3) for p in zip(low, low[1:])) / max(1, len(s) - 1)
+        return float(self.pair[pair_keys(s.lower())].sum()) / max(1, len(s) - 1)
 
     def coverage(self, s: str) -> float:
         low, at, covered = s.lower(), 0, 0
@@ -138,7 +146,31 @@ NAMES_SAID = ("secret", "token", "password")
 EACH = 2
 
 
-def scanned(docs: DataFrame, language, variants: bool = False) -> DataFrame:
+def language_of(docs: DataFrame, words: int = 2000) -> Language:
+    """Transitions and the most frequent words of all texts. Spark adds up the counts of the tasks; the driver gets one number
+    per pair of ASCII characters, and ``words`` words."""
+
+    def make():
+        def apply(chunk: pa.RecordBatch) -> dict:
+            pairs, known = np.zeros(PAIRS * PAIRS, np.int64), Counter()
+            for text in chunk.column("text").to_pylist():
+                low = (text or "").lower()
+                pairs += np.bincount(pair_keys(low), minlength=PAIRS * PAIRS)
+                known.update(re.findall(r"[^\W\d_]{3,}", low))
+            seen = np.flatnonzero(pairs)
+            return {"pair": [*seen.tolist(), *[None] * len(known)], "word": [*[None] * len(seen), *known], "n": [*pairs[seen].tolist(), *known.values()]}
+
+        return apply
+
+    counts = map_texts(docs.select("text"), "pair int, word string, n bigint", make).groupBy("pair", "word").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "secrets-language")
+    pairs = {r["pair"]: r["n"] for r in counts.where("pair IS NOT NULL").collect()}
+    often = counts.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
+    return Language(pairs, [r["word"] for r in often])
+
+
+def scanned(docs: DataFrame, language) -> DataFrame:
+    """Findings, and the made-up ones (``made``) that stand in the place of the first of every text."""
     import hashlib
 
     def make():
@@ -146,10 +178,10 @@ def scanned(docs: DataFrame, language, variants: bool = False) -> DataFrame:
         words = sorted(lang.words)
 
         def apply(chunk: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "end", "sha256", "labelled", "features")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "end", "sha256", "labelled", "made", "features")}
 
-            def put(doc, a, b, value, before, after, path, label):
-                for k, v in zip(out, (doc, a, b, hashlib.sha256(value.encode()).hexdigest(), label,
+            def put(doc, a, b, value, before, after, path, label, made=False):
+                for k, v in zip(out, (doc, a, b, None if made else hashlib.sha256(value.encode()).hexdigest(), label, made,
                                       features(value, before, after, path, lang))):
                     out[k].append(v)
 
@@ -157,9 +189,9 @@ def scanned(docs: DataFrame, language, variants: bool = False) -> DataFrame:
                 for k, (a, b) in enumerate(candidates(text or "")):
                     value, before, after = text[a:b], text[max(0, a - 2 * AROUND): a], text[b: b + 2 * AROUND]
                     put(doc, a, b, value, before, after, path or "", rule(value, before))
-                    if variants and k < EACH:
+                    if k < EACH:
                         for fake, said, label in made_up(np.random.default_rng(sum(map(ord, value)) + a), words):
-                            put(doc, a, b, fake, before if said is None else said, " " if said is None else after, path or "", label)
+                            put(doc, a, b, fake, before if said is None else said, " " if said is None else after, path or "", label, True)
             return out
 
         return apply
@@ -167,20 +199,16 @@ def scanned(docs: DataFrame, language, variants: bool = False) -> DataFrame:
     return map_texts(docs, SCHEMA, make)
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", rows: int = 600,
-                 trees: int = 30, depth: int = 6, seed: int = 13) -> DataFrame:
+def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", trees: int = 30, depth: int = 6,
+                 seed: int = 13) -> DataFrame:
     """``doc_id, start, end, sha256, score``: the findings left, with the hash of the value instead of the value.
 
-    ``rows`` bounds the texts with candidates that transitions, dictionary and forest are learned from.
+    Transitions and dictionary are counted in all texts, and the forest learns from the findings of all texts.
     """
-    spark = docs.sparkSession
     need = texts_of(docs, key, text, path=F.col(path).cast("string"))
-    possible = F.col("text").rlike(MAY)
-    may, some = need.where(possible), hash_sample(need, rows, possible)
-    language = spark.sparkContext.broadcast(Language([r["text"] for r in some]))
-    found = scanned(may, language)
-    labelled = scanned(spark.createDataFrame([tuple(r) for r in some], need.schema), language, variants=True)
-    known = materialise(labelled.select(F.col("labelled").cast("double").alias("label"), array_to_vector("features").alias("x")), "secrets-labelled")
+    language = docs.sparkSession.sparkContext.broadcast(language_of(need))
+    scan = materialise(scanned(need.where(F.col("text").rlike(MAY)), language), "secrets-scanned")
+    found, known = scan.where("NOT made"), scan.select(F.col("labelled").cast("double").alias("label"), array_to_vector("features").alias("x"))
     kinds = {r["label"] for r in known.groupBy("label").count().collect()}
     if kinds != {0.0, 1.0}:
         return found.where("labelled").select("doc_id", "start", "end", "sha256", F.lit(1.0).alias("score"))

@@ -453,3 +453,17 @@ def test_lines_of_a_large_host_and_of_many_hosts(spark):
     rows += [(20_000 + i, f"{wide}\n{body(20_000 + i, 5)}", None, f"h{i}") for i in range(31)]
     got = {r["doc_id"]: r for r in lines.judged(table(spark, rows)).collect()}
     assert all(got[i]["kept"] for i in range(3000)) and not any(got[10_000 + i]["kept"] for i in range(12)) and not any(got[20_000 + i]["kept"] for i in range(31))
+
+
+def test_language_of_secrets_from_all_texts(spark):
+    # 700 texts with candidates; a word and a pair of characters of each text are its own.
+    names = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}q" for i in range(700)]
+    texts = [f"{n} {n} Straße ~{n[0].upper()} token={i}abcdefgh{i}ABCDEFGH" for i, n in enumerate(names)] + [None, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    language = secrets.language_of(docs)
+    lows = ["".join(c if ord(c) < 128 else "?" for c in (t or "").lower()) for t in texts]
+    pairs = Counter(p for t in lows for p in zip(t, t[1:]))
+    singles = Counter(a for t in lows for a in t[:-1])
+    for (a, b), n in pairs.items():
+        assert language.transition(a + b) == pytest.approx(math.log((n + 1) / (singles[a] + len(singles) + 1)))
+    assert set(names) <= language.words and "straße" in language.words
